@@ -9,7 +9,7 @@ from __future__ import annotations
 from math import log
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -193,7 +193,9 @@ def assembler(groups: dict[str, list[str]], fitted: dict) -> PipelineModel:
     stages, inputs = [], [f"num_{i}" for i in range(len(groups["numeric"]))]
     for i, c in enumerate(groups["categorical"]):
         info = fitted["labels"].get(c, {"kept": [], "rare": False})
-        if indicator_labels(info["kept"], info["rare"]):
+        labels = indicator_labels(info["kept"], info["rare"])
+        if labels:
+            stages.append(_size(f"cat_{i}", len(labels)))
             inputs.append(f"cat_{i}")
     for i, c in enumerate(groups["text"]):
         terms = fitted["terms"][c]
@@ -204,12 +206,18 @@ def assembler(groups: dict[str, list[str]], fitted: dict) -> PipelineModel:
             ElementwiseProduct(scalingVec=Vectors.dense(list(terms.values())), inputCol=f"tf_{i}",
                                outputCol=f"wt_{i}"),
             Normalizer(p=2.0, inputCol=f"wt_{i}", outputCol=f"txt_{i}"),
+            _size(f"txt_{i}", len(terms)),
         ]
         inputs.append(f"txt_{i}")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     return PipelineModel(stages)
 
 
+def _size(column: str, n: int) -> VectorSizeHint:
+    """Tells the assembler the length, so it need not look at a row."""
+    return VectorSizeHint(inputCol=column, size=n, handleInvalid="optimistic")
+
+
 def feature_labels(groups: dict[str, list[str]], fitted: dict) -> list[str]:
     """Name of every position of the ``features`` vector."""
     names = list(groups["numeric"])
