@@ -84,18 +84,25 @@ def squared_silhouette(df: DataFrame, label: str, columns: list[str]) -> DataFra
     """
     sums = df.groupBy(label).agg(
         F.count(F.lit(1)).alias("n"), sum_of_squares(columns).alias("q"),
-        *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]).collect()
-    norm = sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))
-    total = {r[label]: F.greatest(F.lit(0.0), F.lit(float(r["n"])) * norm + F.lit(r["q"]) - 2.0 * sum(
-        (F.col(c) * F.lit(r[f"s{i}"]) for i, c in enumerate(columns)), F.lit(0.0))) for r in sums}
-    sizes = {r[label]: r["n"] for r in sums}
-    own = F.coalesce(*[F.when(F.col(label) == v, total[v] / max(1, sizes[v] - 1)) for v in total])
-    nearest = F.array_min(F.array(*[F.when(F.col(label) != v, total[v] / sizes[v]) for v in total]))
-    alone = F.col(label).isin([v for v in sizes if sizes[v] == 1])
-    rows = df.select(label, own.alias("a"), nearest.alias("b"))
-    s = F.when(alone, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")),
-                                                F.lit(0.0)))
-    return rows.agg(F.avg(s).alias("silhouette_squared"))
+        *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]).orderBy(label).collect()
+    names = [r[label] for r in sums]
+    size = np.array([r["n"] for r in sums], dtype=float)
+    square = np.array([r["q"] for r in sums], dtype=float)
+    total = np.array([[r[f"s{i}"] for i in range(len(columns))] for r in sums], dtype=float)
+
+    @F.pandas_udf("double")
+    def point(own: pd.Series, *values: pd.Series) -> pd.Series:
+        x = np.column_stack([v.to_numpy(dtype=float) for v in values])
+        far = np.maximum(size * (x * x).sum(1)[:, None] + square - 2.0 * x @ total.T, 0.0)
+        mine = own.to_numpy()[:, None] == np.asarray(names)[None, :]
+        a = (far / np.maximum(size - 1, 1))[mine]
+        b = np.where(mine, np.inf, far / size).min(1)
+        top = np.maximum(a, b)
+        s = np.where((top > 0) & np.isfinite(b), (b - a) / np.where(top > 0, top, 1.0), 0.0)
+        return pd.Series(np.where((mine * size).sum(1) == 1, 0.0, s))
+
+    scored = df.select(point(F.col(label), *[F.col(c).cast("double") for c in columns]).alias("s"))
+    return scored.agg(F.avg("s").alias("silhouette_squared"))
 
 
 def sum_of_squares(columns: list[str]):
