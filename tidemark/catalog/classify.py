@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.common import r, rounded, table
+from tidemark.catalog.common import rounded, spread_table, table
 from tidemark.config import NO_WORDS, YES_WORDS, ClassifyConfig
 from tidemark.functions.text import numeric_like
 from tidemark.operators import binary, columns, encode, keyed, labels, split
@@ -28,7 +28,7 @@ def register(name, sql=None):
 
 
 def dirty_orders(spark, d):
-    o = table(spark, d, "orders")
+    o = spread_table(spark, d, "orders")
     whole = F.col("o_totalprice").cast("bigint")
     k = F.col("o_orderkey")
     price = (F.when(k % 4 == 0, F.concat(F.lit("$"), F.format_number(whole, 0)))
@@ -60,7 +60,7 @@ def coerce_numeric_like(spark, d):
 
 
 def _facts(spark, d):
-    t = dirty_orders(spark, d)
+    t = dirty_orders(spark, d).persist()
     return t, columns.profile_columns(t)
 
 
@@ -126,7 +126,7 @@ def drop_bad_columns(spark, d):
   (last_day(o_orderdate) = o_orderdate::DATE)::INT::DOUBLE AS o_orderdate__month_end,
   'customer account number ' || o_custkey AS note FROM orders""")
 def normalize_features(spark, d):
-    t = dirty_orders(spark, d)
+    t = dirty_orders(spark, d).persist()
     return columns.normalize(t, columns.feature_spec(t, "default"))
 
 
@@ -218,7 +218,7 @@ def onehot(spark, d):
   x AS (SELECT doc_id, term, tf * (ln((1 + (SELECT n FROM n)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN v USING (term))
   SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""")
 def tfidf(spark, d):
-    return rounded(encode.tfidf(table(spark, d, "documents"), "doc_id", "text"))
+    return rounded(encode.tfidf(spread_table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"))
 
 
 # --- splits and class balance --------------------------------------------------------
@@ -301,7 +301,7 @@ _CFG = ClassifyConfig(n_estimators=15, max_depth=4)
 
 
 def _order_table(spark, d):
-    return dirty_orders(spark, d).drop("order_code")
+    return dirty_orders(spark, d).drop("order_code").persist()
 
 
 @register("clf_train_metrics")
@@ -314,7 +314,7 @@ def clf_train_metrics(spark, d):
 @register("clf_save_score")
 def clf_save_score(spark, d):
     """Trained on the labelled documents, saved, loaded, applied to all documents."""
-    docs = table(spark, d, "documents")
+    docs = spread_table(spark, d, "documents")
     path = fresh_path(spark, "classifier")
     train = docs.join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
     classification.run_classification(train, "toxic", keys=["doc_id"], cfg=_CFG, export_path=path)

@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import series
 from tidemark.operators.series import ITEM, TS, Y
+from tidemark.sources.readers import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """For work that is heavy per row: the needed columns over all cores."""
+    t = table(spark, sf_dir, name)
+    return spread(t.select(*columns) if columns else t)
+
+
 def r(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.common import r, rounded, table
+from tidemark.catalog.common import rounded, spread_table, table
 from tidemark.functions.text import sanitize_name, storage_key
 from tidemark.operators import dates, profile, query
 from tidemark.session import fresh_path
@@ -15,7 +15,7 @@ QUERIES, ORACLES = {}, {}
 
 def _profile(name, columns):
     def run(spark, d):
-        return rounded(profile.quick_profile(table(spark, d, name)))
+        return rounded(profile.quick_profile(spread_table(spark, d, name)))
     sql = " UNION ALL ".join(
         f"SELECT '{c}' AS name, '{t}' AS dtype, '{role}' AS role, "
         f"round(count(*) FILTER ({c} IS NULL) / greatest(count(*), 1)::DOUBLE, 6) AS missing_rate, "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.common import rounded, table
+from tidemark.catalog.common import rounded, spread_table, table
 from tidemark.operators import cluster, isolation, keyed
 from tidemark.plans import unsupervised as runs
 
@@ -23,7 +23,7 @@ def register(name, sql=None):
 
 
 def points(spark, d):
-    e = table(spark, d, "embeddings")
+    e = spread_table(spark, d, "embeddings")
     return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_DIMS)])
 
 
@@ -89,5 +89,5 @@ def kmeans(spark, d):
 
 @register("isolation_forest")
 def isolation_forest(spark, d):
-    li = table(spark, d, "lineitem")
+    li = spread_table(spark, d, "lineitem")
     return runs.run_anomaly(li, keep=["l_orderkey"]).rows.select("l_orderkey", "raw_score", "decision", "anomaly")

@@ -5,31 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Currency signs stripped from numbers, and the thousand-separator rule.
-CURRENCY = "[€$£¥₽₪₹₩₺]+"
+# Currency signs stripped from numbers, the thousand-separator rule, and the
+# magnitude letters.
+CURRENCY = "€$£¥₽₪₹₩₺"
 THOUSANDS = r"(?<=\d)[,_](?=\d{3}\b)"
 MAGNITUDES = (("k", "e3"), ("m", "e6"), ("b", "e9"))
+_BLANKS = " \t\n\r\f\u000b"
 
-# What counts as a number once the decoration is gone; keeps Java-only spellings such as
-# 1d, 1f or 0x1p3 out.
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_SPECIAL = r"^[+-]?(inf|infinity)$"
+# A number, then an exponent or one magnitude letter, then perhaps a percent sign.  Keeps
+# Java-only spellings such as 1d, 1f or 0x1p3 out.
+_NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+(?![kKmMbB]))?)([kKmMbB]?) *(%?)$"
 
 
 def numeric_like(c: Column) -> Column:
-    """Decorated number to DOUBLE: ``$1,234``, ``12k``, ``5%``; anything else is null."""
-    s = F.trim(c.cast("string"))
-    s = F.regexp_replace(s, CURRENCY, "")
-    s = F.regexp_replace(s, THOUSANDS, "")
-    percent = s.rlike("%$")
-    s = F.regexp_replace(s, "%$", "")
-    for suffix, power in MAGNITUDES:
-        s = F.regexp_replace(s, f"[{suffix}{suffix.upper()}]$", power)
-    s = F.trim(s)
-    number = (F.when(s.rlike(_NUMBER), s.try_cast("double"))
-              .when(F.lower(s).rlike(_SPECIAL),
-                    F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))))
-    return F.when(percent, number / 100.0).otherwise(number)
+    """Decorated number to DOUBLE: ``$1,234``, ``12k``, ``5%``; anything else is null.
+
+    Each step refers to the one before only a few times, so the expression stays small.
+    """
+    s = F.translate(F.btrim(c.cast("string"), F.lit(_BLANKS)), CURRENCY, "")
+    s = F.ltrim(F.regexp_replace(s, THOUSANDS, ""))
+    powers = F.create_map(*[F.lit(v) for pair in MAGNITUDES for v in pair])
+    suffix = F.lower(F.regexp_extract(s, _NUMBER, 2))
+    number = F.concat(F.regexp_extract(s, _NUMBER, 1), F.coalesce(powers[suffix], F.lit(""))).try_cast("double")
+    share = F.when(F.regexp_extract(s, _NUMBER, 3) == "%", number / 100.0).otherwise(number)
+    endless = F.regexp_extract(F.lower(s), r"^([+-]?)inf(inity)?$", 0)
+    return F.coalesce(share, F.when(endless.startswith("-"), F.lit(float("-inf")))
+                      .when(endless != "", F.lit(float("inf"))))
 
 
 def sanitize_name(name: Column) -> Column:

@@ -7,6 +7,7 @@ applies the saved spec and decides nothing.
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,17 +19,19 @@ from tidemark.functions.metrics import finite_or_null
 from tidemark.functions.text import numeric_like
 from tidemark.operators.dates import parse_any, parse_as
 
-# Shapes of a date in text, with the format each stands for (None: ISO).
+# Shapes of a date in text, the format each stands for (None: ISO), and the
+# lengths it can have.
 DATE_SHAPES = (
-    (r"^\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(:\d{2})?)?$", None),
-    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
-    (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
+    (r"^\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(:\d{2})?)?$", None, (10, 16, 19)),
+    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy", (10,)),
+    (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy", (10,)),
+    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd", (10,)),
 )
-EPOCHS = {"epoch_s": r"^\d{10}$", "epoch_ms": r"^\d{13}$"}
+EPOCHS = {"epoch_s": (r"^\d{10}$", 10), "epoch_ms": (r"^\d{13}$", 13)}
 SHAPE_RATIO = 0.6  # fixed value: share of values a shape must reach
 
 _EXACT_ROWS = 1_000_000
+_BATCH = 32  # columns profiled in one job
 
 
 @dataclass
@@ -38,7 +41,6 @@ class ColumnProfile:
     n: int = 0
     nulls: int = 0
     distinct: int = 0
-    constant: bool = False
     mean_length: float = 0.0
     numeric_ratio: float = 0.0
     shape: str | None = None
@@ -54,6 +56,11 @@ class ColumnProfile:
         return isinstance(self.dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
+def _has_shape(c: Column, pattern: str, sizes: tuple[int, ...]) -> Column:
+    """Length first: most values are settled without a regular expression."""
+    return F.when(F.char_length(c).isin(*sizes), c.rlike(pattern)).otherwise(F.when(c.isNotNull(), False))
+
+
 def _parse_shape(c: Column, shape: str | None) -> Column:
     if shape == "epoch_s":
         return F.timestamp_seconds(c.try_cast("bigint")).cast(NTZ)
@@ -64,31 +71,24 @@ def _parse_shape(c: Column, shape: str | None) -> Column:
 
 def profile_columns(df: DataFrame, columns: list[str] | None = None,
                     cfg: ClassifyConfig = ClassifyConfig()) -> dict[str, ColumnProfile]:
-    """Everything the pruning and typing rules need: one aggregate over all rows and columns,
-    a second one for the columns whose shape is known or whose distinct count is near a rule.
+    """Everything the pruning and typing rules need.
+
+    One aggregate per column, united into one job: each reads its own column only, and stays
+    small enough for the JVM to compile.  A second pass covers the columns whose shape is
+    known or whose distinct count is near a rule.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     fields = [f for f in fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
-        aggs += [F.count_if(c.isNull()).alias(f"nulls{i}"), F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}"),
-                 F.approx_count_distinct(c, 0.02).alias(f"d{i}")]
-        if isinstance(f.dataType, T.StringType):
-            aggs += [F.avg(F.char_length(c)).alias(f"len{i}"),
-                     F.avg(numeric_like(c).isNotNull().cast("int")).alias(f"num{i}")]
-            aggs += [F.avg(c.rlike(p).cast("int")).alias(f"s{i}_{j}") for j, (p, _) in enumerate(DATE_SHAPES)]
-            aggs += [F.avg(c.rlike(p).cast("int")).alias(f"s{i}_{k}") for k, p in EPOCHS.items()]
-    row = df.agg(*aggs).first()
-    n = row["n"]
     out: dict[str, ColumnProfile] = {}
-    for i, f in enumerate(fields):
-        p = ColumnProfile(f.name, f.dataType, n, row[f"nulls{i}"], row[f"d{i}"],
-                          constant=row[f"min{i}"] == row[f"max{i}"])
-        if p.is_text:
-            p.mean_length, p.numeric_ratio = row[f"len{i}"] or 0.0, row[f"num{i}"] or 0.0
-            p.shape, p.shape_ratio = _best_shape(row, i, cfg)
-        out[f.name] = p
+    for start in range(0, len(fields), _BATCH):
+        batch = fields[start:start + _BATCH]
+        rows = reduce(DataFrame.unionAll, [_facts(df, i, f) for i, f in enumerate(batch)]).collect()
+        for row in sorted(rows, key=lambda r: r["i"]):
+            f = batch[row["i"]]
+            p = out[f.name] = ColumnProfile(f.name, f.dataType, row["n"], row["nulls"], row["d"])
+            if p.is_text:
+                p.mean_length, p.numeric_ratio = row["len"] or 0.0, row["num"] or 0.0
+                p.shape, p.shape_ratio = _best_shape(row["shapes"], row["epochs"], cfg)
     second = []
     for i, p in enumerate(out.values()):
         c = F.col(f"`{p.name}`")
@@ -108,12 +108,28 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
     return out
 
 
-def _best_shape(row, i: int, cfg: ClassifyConfig) -> tuple[str | None, float]:
-    epochs = {k: row[f"s{i}_{k}"] or 0.0 for k in EPOCHS}
-    if sum(epochs.values()) >= SHAPE_RATIO:
+def _facts(df: DataFrame, i: int, f: T.StructField) -> DataFrame:
+    """One row of counts and ratios for a column."""
+    c = F.col(f"`{f.name}`")
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(c.isNull()).alias("nulls"), F.approx_count_distinct(c).alias("d")]
+    if isinstance(f.dataType, T.StringType):
+        share = lambda flag: F.avg(flag.cast("int"))
+        aggs += [F.avg(F.char_length(c)).alias("len"), share(numeric_like(c).isNotNull()).alias("num"),
+                 F.array(*[share(_has_shape(c, p, sizes)) for p, _, sizes in DATE_SHAPES]).alias("shapes"),
+                 F.array(*[share(_has_shape(c, p, (n,))) for p, n in EPOCHS.values()]).alias("epochs")]
+    else:
+        nothing = F.lit(None)
+        aggs += [nothing.cast("double").alias("len"), nothing.cast("double").alias("num"),
+                 nothing.cast("array<double>").alias("shapes"), nothing.cast("array<double>").alias("epochs")]
+    return df.agg(*aggs).select(F.lit(i).alias("i"), "n", "nulls", "d", "len", "num", "shapes", "epochs")
+
+
+def _best_shape(shapes: list, epochs: list, cfg: ClassifyConfig) -> tuple[str | None, float]:
+    found = dict(zip(EPOCHS, (v or 0.0 for v in epochs)))
+    if sum(found.values()) >= SHAPE_RATIO:
         # without the option an epoch is found but never parsed, so the column stays numeric
-        return (max(epochs, key=epochs.get), sum(epochs.values())) if cfg.parse_epochs else (None, 0.0)
-    ratios = [row[f"s{i}_{j}"] or 0.0 for j in range(len(DATE_SHAPES))]
+        return (max(found, key=found.get), sum(found.values())) if cfg.parse_epochs else (None, 0.0)
+    ratios = [v or 0.0 for v in shapes]
     best = max(range(len(ratios)), key=lambda j: ratios[j])
     return DATE_SHAPES[best][1], ratios[best]
 
@@ -122,9 +138,10 @@ def _near_a_rule(p: ColumnProfile, cfg: ClassifyConfig) -> bool:
     """Is the estimated distinct count too close to a threshold to be trusted?"""
     if p.n <= _EXACT_ROWS:
         return True
-    near_id = p.distinct >= (cfg.id_ratio - 0.1) * p.n
+    near_id = p.distinct >= (cfg.id_ratio - 0.2) * p.n  # four deviations of the estimate
+    near_constant = p.distinct <= 5
     near_text = p.is_text and 0.5 * cfg.text_min_unique <= p.distinct <= 2 * cfg.text_min_unique
-    return near_id or near_text
+    return near_id or near_constant or near_text
 
 
 def is_datetime(p: ColumnProfile, cfg: ClassifyConfig) -> bool:
@@ -138,7 +155,7 @@ def is_textual(p: ColumnProfile, cfg: ClassifyConfig) -> bool:
 def drop_reason(p: ColumnProfile, cfg: ClassifyConfig) -> str | None:
     if p.n and p.nulls / p.n > cfg.missing_drop:
         return f"missing>{int(cfg.missing_drop * 100)}%"
-    if p.nulls == p.n or p.constant:
+    if p.distinct <= 1:
         return "constant"
     if p.distinct <= 2:
         return None

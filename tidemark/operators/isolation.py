@@ -128,4 +128,4 @@ def decision(scored: DataFrame, raw: str = "raw_score", share: float = SHARE,
 
 def low_order_value(df: DataFrame, column: str, share: float = SHARE) -> float:
     """The value at position int(share * n) of the sorted column."""
-    return order_statistics(df, {"v": Rank(F.col(column), lambda n: [int(share * n)])})["v"][0]
+    return order_statistics(df, {"v": Rank(F.col(column), lambda n: [int(share * n)], share)})["v"][0]

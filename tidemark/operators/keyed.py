@@ -42,15 +42,20 @@ def attach(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "left",
 
 @dataclass
 class Rank:
-    """Ask for the values at ``ranks(n)`` (0-based, ascending) among non-null ``value``."""
+    """Ask for the values at ``ranks(n)`` (0-based, ascending) among non-null ``value``.
+
+    ``share`` says about where they lie, as a fraction of n; the first pass brackets them there.
+    """
 
     value: Column
     ranks: Callable[[int], list[int]]
+    share: float = 0.5
     n: int = 0
     ask: list[int] = field(default_factory=list)
     wanted: list[int] = field(default_factory=list)
     lo: object = None
     hi: object = None
+    cuts: list | None = None
     below: int = 0
     within: int = 0
     found: dict[int, object] = field(default_factory=dict)
@@ -68,15 +73,25 @@ def order_statistics(df: DataFrame, asks: dict[str, Rank]) -> dict[str, list]:
     per pass.  The search ends with a bracket of one value or of few enough rows to fetch.
     """
     names = list(asks)
-    row = df.agg(*[agg(asks[k].value).alias(f"{tag}{i}") for i, k in enumerate(names)
-                   for tag, agg in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    margin = 2.0 / _ACCURACY
+    first = []
+    for i, k in enumerate(names):
+        near = [max(0.0, asks[k].share - margin), min(1.0, asks[k].share + margin)]
+        first += [F.count(asks[k].value).alias(f"n{i}"), F.min(asks[k].value).alias(f"lo{i}"),
+                  F.max(asks[k].value).alias(f"hi{i}"),
+                  F.percentile_approx(asks[k].value, near, _ACCURACY).alias(f"q{i}")]
+    row = df.agg(*first).first()
     for i, k in enumerate(names):
         a = asks[k]
         a.n = a.within = row[f"n{i}"]
         a.lo, a.hi = row[f"lo{i}"], row[f"hi{i}"]
+        a.cuts = row[f"q{i}"]
         a.ask = [min(max(r, 0), a.n - 1) for r in a.ranks(a.n)] if a.n else []
         a.wanted = sorted(set(a.ask))
 
+    pending = [a for a in asks.values() if a.wanted and a.lo != a.hi and a.within > _KEEP]
+    if pending:
+        _shrink(df, pending)
     while pending := [a for a in asks.values() if a.wanted and a.lo != a.hi and a.within > _KEEP]:
         _narrow(df, pending)
 
@@ -104,9 +119,16 @@ def _narrow(df: DataFrame, asks: list[Rank]) -> None:
                  min(1.0, (a.wanted[-1] - a.below + 1) / a.within + margin)]
         sketches.append(F.percentile_approx(inside, probs, _ACCURACY).alias(f"q{i}"))
     cuts = df.agg(*sketches).first()
+    for i, a in enumerate(asks):
+        a.cuts = cuts[f"q{i}"]
+    _shrink(df, asks)
+
+
+def _shrink(df: DataFrame, asks: list[Rank]) -> None:
+    """Count around the sketched cuts; accept them, or step inside the ends of the bracket."""
     counts = []
     for i, a in enumerate(asks):
-        lo, hi = cuts[f"q{i}"]
+        lo, hi = a.cuts
         counts += [F.count_if((a.value >= a.lo) & (a.value < lo)).alias(f"b{i}"),
                    F.count_if(a.value.between(lo, hi)).alias(f"w{i}"),
                    F.count_if(a.value == a.lo).alias(f"l{i}"),
@@ -118,7 +140,7 @@ def _narrow(df: DataFrame, asks: list[Rank]) -> None:
         below, within = a.below + row[f"b{i}"], row[f"w{i}"]
         if within < a.within and below <= a.wanted[0] and a.wanted[-1] < below + within:
             a.below, a.within = below, within
-            a.lo, a.hi = cuts[f"q{i}"]
+            a.lo, a.hi = a.cuts
             continue
         # heavy ties sit at an end of the bracket: settle the ranks they cover, step inside
         at_lo, at_hi = a.below + row[f"l{i}"], a.below + a.within - row[f"h{i}"]
@@ -136,7 +158,7 @@ def quantile_ranks(p: float) -> Callable[[int], list[int]]:
 
 def quantiles(df: DataFrame, columns: list[str], p: float) -> dict[str, float | None]:
     """Exact quantile with linear interpolation for each column; None when all null."""
-    asks = {c: Rank(F.col(f"`{c}`").cast("double"), quantile_ranks(p)) for c in columns}
+    asks = {c: Rank(F.col(f"`{c}`").cast("double"), quantile_ranks(p), p) for c in columns}
     out = {}
     for c, pair in order_statistics(df, asks).items():
         if not pair:

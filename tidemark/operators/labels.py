@@ -43,7 +43,8 @@ def apply_rule(c: Column, rule: LabelRule) -> Column:
 def label_rules(df: DataFrame, columns: list[str] | None = None) -> dict[str, LabelRule | None]:
     """Rule for each column, None when it is not binary.
 
-    Two aggregates over all columns: the smallest and largest value, then whether any value
+    One aggregate over all columns settles numbers and yes/no words.  Text columns with a
+    handful of values get two more: the smallest and largest value, then whether any value
     differs from both.  No set of values is ever gathered.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
@@ -62,17 +63,22 @@ def label_rules(df: DataFrame, columns: list[str] | None = None) -> dict[str, La
         s = normal_form(F.col(f"`{c}`"))
         aggs += [F.count_if(~s.isin(*YES_WORDS, *NO_WORDS)).alias(f"other_{c}"),
                  F.bool_or(s.isin(*YES_WORDS)).alias(f"yes_{c}"), F.bool_or(s.isin(*NO_WORDS)).alias(f"no_{c}"),
-                 F.min(s).alias(f"lo_{c}"), F.max(s).alias(f"hi_{c}")]
+                 F.approx_count_distinct(s).alias(f"d_{c}")]
     row = df.agg(*aggs).first()
-    open_pairs = []
+    few = []
     for c in numbers:
         if row[f"other_{c}"] == 0 and row[f"no_{c}"] and row[f"yes_{c}"]:
             rules[c] = LabelRule("numeric")
     for c in texts:
         if row[f"other_{c}"] == 0 and row[f"no_{c}"] and row[f"yes_{c}"]:
             rules[c] = LabelRule("words")
-        elif row[f"lo_{c}"] is not None and row[f"lo_{c}"] != row[f"hi_{c}"]:
-            open_pairs.append(c)
+        elif 1 <= row[f"d_{c}"] <= 5:
+            few.append(c)
+    open_pairs = []
+    if few:
+        s = {c: normal_form(F.col(f"`{c}`")) for c in few}
+        row = df.agg(*[F.min(s[c]).alias(f"lo_{c}") for c in few], *[F.max(s[c]).alias(f"hi_{c}") for c in few]).first()
+        open_pairs = [c for c in few if row[f"lo_{c}"] != row[f"hi_{c}"]]
     if open_pairs:
         between = df.agg(*[F.count_if(~normal_form(F.col(f"`{c}`")).isin(row[f"lo_{c}"], row[f"hi_{c}"]))
                            .alias(c) for c in open_pairs]).first()

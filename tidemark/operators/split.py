@@ -72,7 +72,7 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_share: flo
     asks = {}
     for value, n in sizes.items():
         k = max(1, int(share * n + 0.5))
-        asks[value] = Rank(F.when(F.col(label) == value, hash_key(keys, seed)), lambda _, k=k: [k - 1])
+        asks[value] = Rank(F.when(F.col(label) == value, hash_key(keys, seed)), lambda _, k=k: [k - 1], k / n)
     cuts = order_statistics(df, asks)
     in_test = F.lit(False)
     for value, (cut,) in cuts.items():

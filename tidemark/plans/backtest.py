@@ -239,19 +239,22 @@ def grid_search(df: DataFrame, model_name: str, space, plan: FoldPlan, freq: str
 
 def leaderboard(df: DataFrame, names: list[str], plan: FoldPlan, metric: str = "mape", freq: str = "D",
                 features: FeatureConfig | None = None, exog: tuple[str, ...] = (), season: int | None = None,
-                options: dict[str, dict] | None = None) -> tuple[DataFrame, list[dict]]:
+                options: dict[str, dict] | None = None, threads: int = 4) -> tuple[DataFrame, list[dict]]:
     """Models ranked on the validation folds, best first; failing ones come last with the error."""
     season = season or SEASON.get(freq, 1)
     df = df.persist()
-    rows = []
-    for name in names:
+
+    def attempt(name: str) -> dict:
         try:
             model = make(name, freq=freq, season=season, exog=tuple(exog), features=features or FeatureConfig(),
                          params=dict((options or {}).get(name, {})), horizon=plan.horizon)
             got = pooled_metrics(rolling_backtest(df, model, plan), df, plan, season).first().asDict()
-            rows.append({"model": name, "score": got[metric.lower()], **got, "error": None})
-        except Exception as e:
-            rows.append({"model": name, "score": None, "error": str(e).splitlines()[0]})
+            return {"model": name, "score": got[metric.lower()], **got, "error": None}
+        except Exception as e:  # a failing model is reported, not fatal
+            return {"model": name, "score": None, "error": str(e).splitlines()[0]}
+
+    with ThreadPool(min(threads, len(names))) as pool:
+        rows = pool.map(inheritable_thread_target(df.sparkSession)(attempt), names)
     rows.sort(key=lambda r: (r["score"] is None, r["score"] or 0.0))
     spark = df.sparkSession
     table = spark.createDataFrame(

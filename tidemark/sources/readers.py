@@ -81,6 +81,17 @@ def sniff_table(spark: SparkSession, path: str) -> DataFrame:
         return read_csv(spark, path, strict=False)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A freshly read table over all cores when it came in fewer pieces than there are.
+
+    One small file is one task, which starves work that is heavy per row.  A table of many
+    splits passes through as it is.  Meant for plain scans: the piece count is then known
+    without running anything.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop)
