@@ -171,7 +171,7 @@ def encode_columns(df: DataFrame, groups: dict[str, list[str]], fitted: dict, ra
         out = out.withColumn(c, value)
         if info["rare"] and rare is not None:
             known = F.col(f"`{c}`").isin(info["kept"])
-            slot = F.concat(F.lit("\u0000"), F.pmod(F.spark_partition_id(), F.lit(64)).cast("string"))
+            slot = F.concat(F.lit("\u0000"), F.pmod(F.spark_partition_id(), F.lit(4096)).cast("string"))
             seen = rare.where(F.col("column") == c).select(F.col("value").alias("__v"), F.lit(RARE).alias("__r"))
             out = (out.withColumn("__v", F.when(known, slot).otherwise(F.col(f"`{c}`")))
                       .join(seen, "__v", "left")

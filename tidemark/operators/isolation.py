@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.keyed import Rank, hash_key, order_statistics, quantiles
+from tidemark.operators.keyed import HASH_BITS, Rank, hash_key, order_statistics, quantiles
 from tidemark.session import cut_lineage
 
 TREES, SAMPLE, SHARE = 100, 256, 0.01  # fixed values: forest size, rows per tree, contamination
@@ -43,8 +43,10 @@ def draw_sample(df: DataFrame, columns: list[str], n: int, trees: int, per_tree:
     need = trees * per_tree
     passes = -(-need // n)
     x = F.array(*[F.col(f"`{c}`") for c in columns]).alias("x")
-    order = hash_key(key, seed) if key else F.rand(seed)
-    rows = df.select(x, order.alias("o")).orderBy("o").limit(min(n, need))
+    order = hash_key(key, seed) / float(1 << HASH_BITS) if key else F.rand(seed)
+    # about a fifth more than needed passes the filter, so the sort never sees the whole table
+    enough = min(1.0, (1.2 * need + 1000) / n)
+    rows = df.select(x, order.alias("o")).where(F.col("o") <= enough).orderBy("o").limit(min(n, need))
     rows = rows.select("x", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("p"), "o")
     shuffled = rows.withColumn("o", F.xxhash64("o", "p", F.lit(seed)))
     # bounded by trees * per_tree plus one pass, whatever the table holds

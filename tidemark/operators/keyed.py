@@ -181,13 +181,15 @@ def hash_key(columns: list[str], seed: int = 42) -> Column:
 
 
 def hash_rank(df: DataFrame, within: list[str], keys: list[str], seed: int = 42,
-              name: str = "rank", buckets: int = 256) -> DataFrame:
+              name: str = "rank", buckets: int | None = None) -> DataFrame:
     """1-based rank of each row in hash order inside each ``within`` group.
 
     The hash is uniform, so equal-width buckets hold equal shares however large the group:
     counts per bucket give the offsets and each bucket is numbered on its own.
     ``keys`` should identify a row.
     """
+    if buckets is None:
+        buckets = max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shift = HASH_BITS - (buckets - 1).bit_length()
     rows = (df.withColumn("__h", hash_key(keys, seed))
               .withColumn("__b", F.shiftright("__h", shift)))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.errors import first_line
 from tidemark.config import SEASON, FeatureConfig
 from tidemark.functions import metrics as M
 from tidemark.models.arrays import ArrayForecaster
@@ -222,7 +223,7 @@ def grid_search(df: DataFrame, model_name: str, space, plan: FoldPlan, freq: str
                 raise ValueError("series too short for a single fold")
             return {"params": params, **row, "error": None}, result
         except Exception as e:  # a failing candidate must not end the search
-            return {"params": params, "rmse": None, "error": str(e).splitlines()[0]}, None
+            return {"params": params, "rmse": None, "error": first_line(e)}, None
 
     with ThreadPool(min(threads, len(tries))) as pool:
         done = pool.map(inheritable_thread_target(df.sparkSession)(attempt), tries)
@@ -251,7 +252,7 @@ def leaderboard(df: DataFrame, names: list[str], plan: FoldPlan, metric: str = "
             got = pooled_metrics(rolling_backtest(df, model, plan), df, plan, season).first().asDict()
             return {"model": name, "score": got[metric.lower()], **got, "error": None}
         except Exception as e:  # a failing model is reported, not fatal
-            return {"model": name, "score": None, "error": str(e).splitlines()[0]}
+            return {"model": name, "score": None, "error": first_line(e)}
 
     with ThreadPool(min(threads, len(names))) as pool:
         rows = pool.map(inheritable_thread_target(df.sparkSession)(attempt), names)

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import SparkSession
 
+from tidemark.errors import first_line
 from tidemark.config import RF_SERVICE_GRID, ClassifyConfig, FeatureConfig, MultiSeriesConfig, RunConfig
 from tidemark.operators import profile
 from tidemark.plans import classification, forecasting, unsupervised
@@ -88,7 +89,7 @@ def run_config(spark: SparkSession, path: str, config: dict, root: str, dataset_
         else:
             out = {"error": f"unknown run type: {kind}"}
     except Exception as e:
-        out = {"error": str(e).splitlines()[0] if str(e) else type(e).__name__}
+        out = {"error": first_line(e)}
     return sinks.write_artifact(spark, root, dataset_id, out)
 
 
@@ -102,7 +103,7 @@ def profile_config(spark: SparkSession, path: str, root: str, dataset_id: int =
             c.pop("rows", None)
         payload = {"rows": rows, "cols": len(columns), "schema": columns}
     except Exception as e:
-        return {"dataset_id": dataset_id, "error": str(e).splitlines()[0]}
+        return {"dataset_id": dataset_id, "error": first_line(e)}
     document = {"dataset_id": dataset_id, **payload}
     sinks.write_text(spark, f"{root}/profiles/{dataset_id}.json",
                      json.dumps(payload, ensure_ascii=False, default=sinks.plain))

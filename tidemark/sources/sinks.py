@@ -9,6 +9,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.errors import first_line
 from tidemark.operators.series import ITEM, TS
 
 PREVIEW_ROWS = 20  # fixed value: records shown when no file is asked for
@@ -47,7 +48,7 @@ def write_artifact(spark: SparkSession, root: str, dataset_id: int, payload: dic
     try:
         write_text(spark, f"{root}/{key}", json.dumps(document, ensure_ascii=False, default=plain))
     except Exception as e:
-        document["artifact_write_error"] = str(e).splitlines()[0]
+        document["artifact_write_error"] = first_line(e)
     return document
 
 
