@@ -99,10 +99,23 @@ def resample(df: DataFrame, freq: str, how: str = "mean", columns: list[str] | N
     agg = {"mean": F.avg, "sum": F.sum}[how]
     binned = (df.groupBy(ITEM, bucket(F.col(TS), freq).alias(TS))
                 .agg(*[agg(c).alias(c) for c in columns]))
-    out = step_grid(binned, freq).drop("step").join(binned, [ITEM, TS], "left")
+    out = _open_gaps(binned, freq, columns)
     return out.fillna(0.0, subset=columns) if how == "sum" else out
 
 
+def _open_gaps(binned: DataFrame, freq: str, columns: list[str]) -> DataFrame:
+    """Empty rows between neighbouring bins.
+
+    Each bin knows the next one and fills the way to it, so the raw rows are read once; a
+    separate grid would read them again for its bounds.
+    """
+    ahead = binned.withColumn("__next", F.lead(TS).over(by_item()))
+    gap = F.coalesce(steps_between(F.col(TS), F.col("__next"), freq), F.lit(1))
+    rows = ahead.withColumn("__k", F.explode(F.sequence(F.lit(0), gap - 1)))
+    return rows.select(ITEM, plus_steps(F.col(TS), F.col("__k"), freq).alias(TS),
+                       *[F.when(F.col("__k") == 0, F.col(c)).alias(c) for c in columns])
+
+
 def regular_grid(df: DataFrame, freq: str, y_fill: float = 0.0, max_ffill_steps: int | None = None,
                  exog: list[str] | None = None) -> DataFrame:
     """Grid from first to last time: target carried forward, rest ``y_fill``; covariates as they are."""
