@@ -55,3 +55,105 @@ def test_pieces_file(spark):
     df = spark.createDataFrame([(1, "some text here"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in count_tokens(df, "piece_bpe_32k.model").collect()}
     assert got == {1: len(sp.encode("some text here")), 2: 0}
+
+
+def test_simple8b_round_trip():
+    import numpy as np
+
+    from tidemark.llm.token_files import BLOCK, decode_blocks, encode_blocks
+
+    r = np.random.default_rng(5)
+    wide = r.integers(0, 2**64, 9000, np.uint64) >> r.integers(0, 64, 9000).astype(np.uint64)
+    for ids in (np.zeros(0, np.uint32), np.zeros(5000, np.uint32), np.arange(BLOCK), r.integers(0, 50257, 3 * BLOCK + 7),
+                wide, np.full(300, 2**64 - 1, np.uint64), np.repeat(wide[:99], 120)):
+        blocks = encode_blocks(ids)
+        assert sum(n for n, _, _ in blocks) == len(ids)
+        assert decode_blocks(blocks).tolist() == ids.tolist()
+
+
+def expected_index(rows, library):
+    import zlib
+
+    import numpy as np
+
+    at, out = 0, []
+    for i, t in rows:
+        ids = np.array(library(t) + [2], "<u4")
+        out.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    return out
+
+
+def test_token_files(spark, library, tmp_path):
+    from tidemark.llm.token_files import read_token_files, token_index, write_token_files
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    write_token_files(docs, f"{tmp_path}/a", file_bytes=100_000)
+    got = sorted(tuple(r) for r in token_index(spark, f"{tmp_path}/a").collect())
+    assert got == expected_index(sorted((r.doc_id, r.text) for r in docs.collect()), library)
+
+    rows = [(i, t) for i, t in enumerate(HARD)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows[::-1]] + [(None, "nobody", "y")],
+                               "doc_id long, text string, ids string")
+    write_token_files(df, f"{tmp_path}/b")
+    got = sorted((tuple(r) for r in token_index(spark, f"{tmp_path}/b").collect()), key=lambda r: r[1])
+    assert got == expected_index([(None, "nobody")] + rows, library)
+    ids = {r.doc_id: r.ids for r in read_token_files(spark, f"{tmp_path}/b", with_ids=True).collect()}
+    assert all(ids[i] == library(t) + [2] for i, t in rows)
+    write_token_files(df.limit(0), f"{tmp_path}/c")
+    assert token_index(spark, f"{tmp_path}/c").count() == 0
+
+
+def test_fill_is_the_best_subset():
+    import itertools
+    import random
+
+    from tidemark.llm.packing import fill
+
+    r = random.Random(3)
+    for _ in range(200):
+        pieces = [r.randint(1, 40) for _ in range(r.randint(0, 9))]
+        room = r.randint(1, 90)
+        lengths = {n: pieces.count(n) for n in set(pieces)}
+        best = max(s for k in range(len(pieces) + 1) for c in itertools.combinations(pieces, k)
+                   if (s := sum(c)) <= room)
+        got = fill(lengths, room)
+        assert sum(n * k for n, k in got.items()) == best
+        assert all(k <= lengths[n] for n, k in got.items())
+
+
+def test_packing(spark, library):
+    import zlib
+
+    import numpy as np
+
+    from tidemark.llm.packing import pack
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    hard = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(HARD)] + [(None, "nobody")],
+                                 "doc_id long, text string")
+    df = docs.union(hard)
+    for capacity in (64, 2048):
+        pieces = pack(df, capacity).collect()
+        want = {r.doc_id: np.array(library(r.text) + [1], "<u4") for r in df.collect()}
+        by_doc, by_seq = {}, {}
+        for p in pieces:
+            by_doc.setdefault(p.doc_id, []).append(p)
+            by_seq.setdefault(p.sequence_id, []).append(p)
+        assert set(by_doc) == set(want)
+        for doc, own in by_doc.items():
+            at = 0
+            for p in sorted(own, key=lambda p: p.start):
+                assert p.start == at and p.doc_tokens == len(want[doc])
+                assert p.ids_crc32 == zlib.crc32(want[doc][at:at + p.length].tobytes())
+                at += p.length
+            assert at == len(want[doc])
+        for own in by_seq.values():
+            at = 0
+            for p in sorted(own, key=lambda p: p.offset):
+                assert p.offset == at
+                at += p.length
+            assert at == own[0].sequence_tokens and (at == capacity or at < capacity and at & at - 1 == 0)
+    assert pack(df.limit(0)).count() == 0
+    same = spark.createDataFrame([(1, "word " * 1499)] * 40, "doc_id long, text string")
+    assert sum(p.length for p in pack(same).collect()) == 40 * (len(library("word " * 1499)) + 1)

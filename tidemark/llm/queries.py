@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import table
+from tidemark.llm.packing import pack
 from tidemark.llm.token_counts import count_tokens
+from tidemark.llm.token_files import token_index, write_token_files
+from tidemark.session import fresh_path
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts,)}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_index(spark, path)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op7_token_files, op8_packing)}
 ORACLES: dict[str, str] = {}
