@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 from tidemark.llm.packing import pack
+from tidemark.llm.secrets import scan_secrets, span_text
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.token_files import token_index, write_token_files
 from tidemark.session import fresh_path
@@ -15,6 +17,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+                        count("hex").alias("n_hex"),
+                        F.sha2(span_text(F.col("spans"), ("assign", "access", "hex")), 256).alias("base_sha256"),
+                        span_text(F.col("spans")).alias("spans"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
@@ -25,5 +36,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op7_token_files, op8_packing)}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op6_secrets, op7_token_files, op8_packing)}
 ORACLES: dict[str, str] = {}
