@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import find_contamination, hit_words
+from tidemark.llm.neardup import find_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.secrets import scan_secrets, span_text
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.token_files import token_index, write_token_files
+from tidemark.llm.topk import top_k
 from tidemark.session import fresh_path
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -44,5 +54,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_decontamination, op6_secrets, op7_token_files, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_token_counts, op5_decontamination, op6_secrets, op7_token_files, op8_packing)}
 ORACLES: dict[str, str] = {}
