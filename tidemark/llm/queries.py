@@ -13,6 +13,7 @@ from tidemark.llm.secrets import scan_secrets, span_text
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.token_files import token_index, write_token_files
 from tidemark.llm.topk import top_k
+from tidemark.llm.warc import archive_pages
 from tidemark.session import fresh_path
 
 
@@ -28,6 +29,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive_pages(table(spark, sf_dir, "pages"), fresh_path(spark, "arc"), fresh_path(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
@@ -54,5 +60,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_token_counts, op5_decontamination, op6_secrets, op7_token_files, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_token_counts, op4_warc, op5_decontamination, op6_secrets, op7_token_files, op8_packing)}
 ORACLES: dict[str, str] = {}
