@@ -10,6 +10,7 @@ from tidemark.llm.decontaminate import find_contamination, hit_words
 from tidemark.llm.neardup import find_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.secrets import scan_secrets, span_text
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.token_files import token_index, write_token_files
 from tidemark.llm.topk import top_k
@@ -60,5 +61,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_token_counts, op4_warc, op5_decontamination, op6_secrets, op7_token_files, op8_packing)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_token_counts, op4_warc, op5_decontamination, op6_secrets, op7_token_files, op8_packing,
+                               op9_suffix_dedup)}
 ORACLES: dict[str, str] = {}
