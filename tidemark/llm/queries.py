@@ -9,6 +9,7 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import find_contamination, hit_words
 from tidemark.llm.neardup import find_duplicates
 from tidemark.llm.packing import pack
+from tidemark.llm.quality import classify, fit
 from tidemark.llm.secrets import scan_secrets, span_text
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_counts import count_tokens
@@ -66,6 +67,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_token_counts, op4_warc, op5_decontamination, op6_secrets, op7_token_files, op8_packing,
-                               op9_suffix_dedup)}
+                               op9_suffix_dedup, op10_quality)}
 ORACLES: dict[str, str] = {}
