@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -254,3 +255,40 @@ def _merged(runs: set) -> list[dict]:
 def hit_words():
     """Number of covered words."""
     return F.aggregate("hit", F.lit(0).cast("bigint"), lambda a, r: a + r["end"] - r["start"])
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_column: str = "text",
+               item_column: str = "item_id", item_text: str = "text", block_windows: int = 500_000) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns.
+
+    The same search as ``find_contamination``; the texts are only asked yes or no, so rows
+    do not travel.
+    """
+    columns = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    own = f"c{columns.index(text_column)}"
+    text = F.coalesce(F.col(own).cast("string"), F.lit(""))
+    probe = plain.select(F.lit(0).alias("id"), text.alias("text"))
+    kept = plain
+    for block in benchmark_blocks(benchmark, window, block_windows, item_column, item_text):
+        prefixes = rarest_prefixes(block, shingle_frequencies(probe, block))
+        if prefixes:
+            kept = kept.where(~_occurs(kept, block, prefixes)(text))
+    return kept.toDF(*columns)
+
+
+def _occurs(docs: DataFrame, block: Block, prefixes: list[Prefixes]):
+    shared = docs.sparkSession.sparkContext.broadcast((block, prefixes))
+
+    @F.pandas_udf("boolean")
+    def occurs(texts: pd.Series) -> pd.Series:
+        own, keys = shared.value
+        column = pa.array(texts, pa.string())
+        found = np.zeros(len(column), bool)
+        for first, last in parts(column):
+            data, bounds = text_buffer(column.slice(first, last - first))
+            for t, _, _ in find_windows(data, bounds, own, keys)[0]:
+                found[first + t] = True
+        return pd.Series(found)
+
+    return occurs
