@@ -117,7 +117,7 @@ def test_fill_is_the_best_subset():
         lengths = {n: pieces.count(n) for n in set(pieces)}
         best = max(s for k in range(len(pieces) + 1) for c in itertools.combinations(pieces, k)
                    if (s := sum(c)) <= room)
-        got = fill(lengths, room)
+        got = fill(sorted(lengths), lengths.get, room)
         assert sum(n * k for n, k in got.items()) == best
         assert all(k <= lengths[n] for n, k in got.items())
 

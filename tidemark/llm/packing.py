@@ -15,8 +15,9 @@ which need no padding.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +33,16 @@ _POOL_IDS = 1 << 22  # waiting ids before sequences are made: 16 MB
 _SEQUENCE_BITS = 36  # sequences of one task
 
 
-def fill(lengths: dict[int, int], room: int) -> dict[int, int]:
+def fill(lengths: list[int], count: Callable[[int], int], room: int) -> dict[int, int]:
     """How many pieces of each length sum closest to ``room`` without passing it.
 
-    ``lengths`` has the number of pieces by length.  Longer pieces are tried first and the
-    search ends as soon as the room can be filled to the last id.
+    ``lengths`` are ascending, ``count`` has the number of pieces of a length.  Longer pieces
+    are tried first and the search ends as soon as the room can be filled to the last id.
     """
     reach, mask, steps = 1, (1 << room + 1) - 1, []
-    for length in sorted((n for n in lengths if n <= room), reverse=True):
-        left, group = min(lengths[length], room // length), 1
+    for k in range(bisect_right(lengths, room) - 1, -1, -1):
+        length = lengths[k]
+        left, group = min(count(length), room // length), 1
         while left:
             take = min(group, left)
             more = reach | reach << length * take & mask
@@ -65,7 +67,8 @@ class Packer:
 
     def __init__(self, capacity: int, first: int):
         self.capacity, self.sequence = capacity, first
-        self.pool: dict[int, deque] = defaultdict(deque)
+        self.pool: dict[int, deque] = {}
+        self.lengths: list[int] = []  # of the pool, ascending
         self.waiting = 0
         self.out: list[tuple] = []
 
@@ -79,14 +82,14 @@ class Packer:
     def pack(self, leave: int) -> None:
         """Make full sequences until at most ``leave`` ids wait."""
         while self.waiting > leave and self.waiting >= self.capacity:
-            pieces = [self._take(max(self.pool))]
+            pieces = [self._take(self.lengths[-1])]
             room = self.capacity - len(pieces[0][2])
             if room:
-                for length, n in fill({k: len(v) for k, v in self.pool.items()}, room).items():
+                for length, n in fill(self.lengths, lambda k: len(self.pool[k]), room).items():
                     pieces += [self._take(length) for _ in range(n)]
                     room -= length * n
             if room:
-                pieces.append(self._cut(max(self.pool), room))
+                pieces.append(self._cut(self.lengths[-1], room))
             self._emit(pieces)
 
     def finish(self) -> None:
@@ -95,13 +98,17 @@ class Packer:
             room = 1 << self.waiting.bit_length() - 1
             pieces = []
             while room:
-                length = max(self.pool)
+                length = self.lengths[-1]
                 pieces.append(self._take(length) if length <= room else self._cut(length, room))
                 room -= len(pieces[-1][2])
             self._emit(pieces)
 
     def _wait(self, piece: tuple) -> None:
-        self.pool[len(piece[2])].append(piece)
+        length = len(piece[2])
+        if length not in self.pool:
+            self.pool[length] = deque()
+            insort(self.lengths, length)
+        self.pool[length].append(piece)
         self.waiting += len(piece[2])
 
     def _take(self, length: int) -> tuple:
@@ -109,6 +116,7 @@ class Packer:
         piece = queue.popleft()
         if not queue:
             del self.pool[length]
+            del self.lengths[bisect_left(self.lengths, length)]
         self.waiting -= length
         return piece
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_size, spread
-from tidemark.llm.tokens import BYTE_BPE, load, load_pieces
+from tidemark.llm.tokens import BYTE_BPE, encode_ids, load
 from tidemark.session import cut_lineage
 
 MARGIN = 32  # more than any added token's text and any look-ahead of the pre-splitting
@@ -50,10 +50,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = BYTE_BPE, limit: int = 1024,
             texts = batch.column(1).to_pylist()
             counts: list[int] = []
             for part in by_size(texts, map(len, texts), _AT_ONCE):
-                if whole:
-                    counts += map(len, load_pieces(tokenizer).encode(part, num_threads=1))
-                else:
-                    counts += map(len, load(tokenizer).encode_batch_fast(part, add_special_tokens=False))
+                counts += [len(ids) // 4 for ids in encode_ids(tokenizer, part)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 

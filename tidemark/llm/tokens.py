@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -42,80 +44,79 @@ def load_pieces(name: str):
 # A space between two characters that are no white space.  The byte-level pattern always
 # starts a new match there, whatever stands around it, so both sides encode on their own.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"^ | $| \s|\s ")
+_OTHER_SPACES = ("\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
 # Letters whose class every Unicode version agrees on, then marks that take no letter with them.
-_WORD_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?%$&*#|]+)")
-_GENERATION = 400_000
-_CALL = 4000
+_WORD_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?%$&*#|]*)")
+# The byte-level alphabet: bytes that print stand for themselves, the others for 256, 257, ...
+_HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+_ALPHABET = {b: 256 + k for k, b in enumerate(_HIDDEN)}
+_KNOWN = 500_000
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of whole texts for byte-level BPE, remembering the ids of words seen before.
 
     A text is cut at single spaces (see ``_CUT``); each unseen piece goes through the
     tokenizers library once and its ids are kept as little-endian unsigned 32-bit bytes.
-    Two generations of at most ``_GENERATION`` pieces bound the memory; a piece still in
-    use moves to the younger one.
+    A space and letters are one word of the pre-splitting and go to the library's model at
+    once; marks behind it are a word of their own, and so is a line feed between two
+    characters that are no white space: a piece that starts with one stands at a line's start.  When more than ``_KNOWN`` pieces are
+    kept, the later ones go: frequent words come early.
     """
 
     def __init__(self, name: str):
+        super().__init__()
         self.tokenizer = load(name)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.split = self.tokenizer.model.tokenize
         self.plain: dict[str, bytes] = {}
 
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha() and word.isascii():
+            ids = self._model_ids("Ġ" + word)
+        elif word[:1] == "\n":
+            ids = self._marks("\n") + self._word("", word[1:])
+        else:
+            ids = self._word(" ", word)
+        self[word] = ids
+        return ids
+
+    def _word(self, start: str, word: str) -> bytes:
+        lettered = _WORD_MARKS.fullmatch(word)
+        if not lettered:
+            return self._one(start + word)
+        if start and lettered[2]:
+            return self[lettered[1]] + self._marks(lettered[2])
+        return self._model_ids((start + lettered[1]).encode().decode("latin-1").translate(_ALPHABET)) + \
+            self._marks(lettered[2])
+
+    def _model_ids(self, spelled: str) -> bytes:
+        """Ids of one word spelled in the byte-level alphabet."""
+        return array("I", [t.id for t in self.split(spelled)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        first = self._library([c[0] for c in cut])
-        wanted: set[str] = set()
-        for c in cut:
-            wanted.update(c[1:])
-        known = self._known(wanted)
-        return [head + b"".join([known[w] for w in c[1:]]) for head, c in zip(first, cut)]
-
-    def _library(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(pieces), _CALL):
-            part = pieces[at:at + _CALL]
-            out += [np.array(e.ids, "<u4").tobytes()
-                    for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        cut = [_CUT.split(t) if _odd(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        out = [self._one(c[0]) + b"".join(map(self.__getitem__, c[1:])) for c in cut]
+        if len(self) > _KNOWN:
+            kept = list(itertools.islice(self.items(), _KNOWN * 3 // 5))
+            self.clear()
+            self.update(kept)
+            self.plain.clear()
         return out
 
-    def _known(self, words: set[str]) -> dict[str, bytes]:
-        known, new, joined = {}, [], []
-        young, old = self.young, self.old
-        for w in words:
-            ids = young.get(w)
-            if ids is None:
-                ids = old.get(w)
-                if ids is None:
-                    m = _WORD_MARKS.fullmatch(w)
-                    if m:
-                        joined.append((w, m[1], m[2]))
-                    else:
-                        new.append(w)
-                    continue
-                young[w] = ids
-            known[w] = ids
-        stems = {s for _, s, _ in joined} - known.keys() - set(new)
-        for s in list(stems):
-            ids = young.get(s) or old.get(s)
-            if ids is not None:
-                known[s] = ids
-                stems.discard(s)
-        new += stems
-        fresh = dict(zip(new, self._library([" " + w for w in new])))
-        marks = list({m for _, _, m in joined} - self.plain.keys())
-        self.plain.update(zip(marks, self._library(marks)))
-        known.update(fresh)
-        fresh.update((w, known[s] + self.plain[m]) for w, s, m in joined)
-        known.update(fresh)
-        young.update(fresh)
-        if len(young) > _GENERATION:
-            self.old, self.young = young, {}
-        if len(self.plain) > 50_000:
-            self.plain = {}
-        return known
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.plain:
+            self.plain[marks] = self._one(marks) if marks else b""
+        return self.plain[marks]
+
+    def _one(self, piece: str) -> bytes:
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+
+def _odd(text: str) -> bool:
+    """Whether white space stands at an end of the text or beside other white space, or is of a rare kind."""
+    return (text[:1].isspace() or text[-1:].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+            or any(c in text for c in _OTHER_SPACES))
 
 
 @functools.cache
