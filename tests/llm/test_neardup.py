@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from tidemark.llm import neardup
 from tidemark.llm.graph import components
 from tidemark.llm.neardup import find_duplicates
 
@@ -48,7 +49,9 @@ def test_documents(spark, size):
     assert result(docs, size) == want and sum(not r[3] for r in want) > 5
 
 
-def test_chains_and_hard_rows(spark):
+@pytest.mark.parametrize("cell", [5, 2048])
+def test_chains_and_hard_rows(spark, monkeypatch, cell):
+    monkeypatch.setattr(neardup, "CELL", cell)
     r = random.Random(11)
     words = [f"w{k}" for k in range(400)]
     rows = [(i, t) for i, t in enumerate([None, "", " \n", "one", "ONE", "one two", "one  two", "one two three"], 1)]
