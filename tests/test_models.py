@@ -114,3 +114,53 @@ def test_no_overlap_is_an_error(spark, weekly):
     ahead = make("seasonal_naive").forecast(weekly, 3)
     with pytest.raises(ValueError):
         evaluate.require_overlap(evaluate.align(weekly, ahead))
+
+
+@pytest.fixture(scope="module")
+def uneven(spark):
+    """Items of different length, and one too short for any fold."""
+    rows = [(i, dt.datetime(2023, 1, 1) + dt.timedelta(days=t), 10.0 + t % 7 + 0.1 * t)
+            for i, n in (("a", 120), ("b", 100), ("c", 90), ("d", 20)) for t in range(n)]
+    return spark.createDataFrame(rows, "item_id string, timestamp timestamp_ntz, target double").persist()
+
+
+@pytest.mark.parametrize("plan", [bt.FoldPlan(60, 14, 14), bt.FoldPlan(60, 14, 14, 1), bt.FoldPlan(1, 1, 14, 2)])
+def test_all_models_answer_the_same_folds(uneven, plan):
+    def keys(name, **params):
+        model = make(name, features=SMALL, params=params, horizon=plan.horizon)
+        got = bt.rolling_backtest(uneven, model, plan).select(ITEM, "fold", "h").collect()
+        assert len(got) == len(set(got))
+        return set(got)
+
+    want = keys("seasonal_naive")
+    assert {k[0] for k in want} >= {"a", "b", "c"}
+    for name in ("rf", "recursive_tabular", "direct_tabular"):
+        assert keys(name, n_estimators=2, max_depth=3) == want
+
+
+def test_depth_beyond_spark_is_an_error(uneven):
+    with pytest.raises(ValueError):
+        make("rf", features=SMALL, params={"max_depth": 31}, horizon=3).fit(uneven)
+
+
+def test_short_items_are_named(spark, uneven):
+    cfg = RunConfig(model_name="seasonal_naive", horizon=14, initial_train=60, step=14)
+    run = forecasting.run_forecasting(uneven, cfg, Y, TS, freq="D", item_col=ITEM)
+    assert [r[ITEM] for r in run.skipped.collect()] == ["d"]
+    assert run.result()["backtest"]["skipped_count"] == 1
+
+
+def test_ljung_box_of_overlapping_folds_is_determined(uneven):
+    plan = bt.FoldPlan(60, 3, 14)
+    made = bt.rolling_backtest(uneven, make("seasonal_naive", horizon=14), plan).withColumn(HAT, F.col(HAT) + F.rand(1))
+    made = made.persist()
+    first = {r[ITEM]: r["lb_stat"] for r in evaluate.ljung_box(made).collect()}
+    again = {r[ITEM]: r["lb_stat"] for r in evaluate.ljung_box(made.repartition(7, "h")).collect()}
+    assert first == pytest.approx(again)
+
+
+def test_search_space_forms():
+    assert bt.candidates({"order": [1, 0, 0], "seasonal_order": (0, 1, 1, 7)}) == [{"order": (1, 0, 0), "seasonal_order": (0, 1, 1, 7)}]
+    assert bt.candidates({"order": {"p": 1, "d": 0, "q": 2}}) == [{"order": (1, 0, 2)}]
+    assert bt.candidates({"order": [(1, 0, 0), (0, 1, 1)]}) == [{"order": (1, 0, 0)}, {"order": (0, 1, 1)}]
+    assert len(bt.candidates({"max_depth": [3, 5], "n_estimators": [10, 20]})) == 4

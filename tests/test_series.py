@@ -88,3 +88,19 @@ def test_thinning_and_window(spark):
     df = make(spark, [("a", D(2024, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(10)])
     assert values(series.thin(df, 3)) == [0.0, 3.0, 6.0, 9.0]
     assert values(series.recent_history(df, 2)) == [7.0, 8.0, 9.0]
+
+
+def test_month_grids_keep_the_time_of_day(spark):
+    ends = make(spark, [("a", D(2024, m, d, 5), float(m)) for m, d in ((1, 31), (2, 29), (3, 31), (4, 30))])
+    out = series.as_freq(ends, "M").orderBy(TS).collect()
+    assert [(r[TS], r[Y]) for r in out] == [(D(2024, m, d, 5), float(m)) for m, d in ((1, 31), (2, 29), (3, 31), (4, 30))]
+    assert series.lone_frequency(ends) == "M"
+    starts = make(spark, [("a", D(2024, m, 1, 7, 30), float(m)) for m in (1, 2, 4)])
+    assert values(series.regular_grid(starts, "MS")) == [1.0, 2.0, 2.0, 4.0]
+
+
+def test_month_grids_stay_inside_the_times(spark):
+    df = make(spark, [("a", D(2024, 1, 15), 1.0), ("a", D(2024, 2, 1), 2.0), ("a", D(2024, 4, 10), 3.0)])
+    assert [r[TS] for r in series.as_freq(df, "MS").orderBy(TS).collect()] == [D(2024, m, 1) for m in (2, 3, 4)]
+    assert [r[TS] for r in series.as_freq(df, "M").orderBy(TS).collect()] == [D(2024, 1, 31), D(2024, 2, 29), D(2024, 3, 31)]
+    assert series.as_freq(make(spark, [("a", D(2024, 1, 2), 1.0)]), "MS").count() == 0

@@ -30,12 +30,15 @@ def test_csv_strict_and_lenient(spark):
     good = "a,b\n" + "".join(f"{i},x\n" for i in range(1200))
     t = readers.load_table(spark, write(spark, "good", good))
     assert t.count() == 1200 and dict(t.dtypes) == {"a": "int", "b": "string"}
-    path = write(spark, "bad", good + "oops,y\n")
+    path = write(spark, "bad", good + "7,y,too many\n")
     with pytest.raises(Exception):
         readers.load_table(spark, path).collect()
     kept = readers.sniff_table(spark, path)
     rows = kept.collect()
-    assert len(rows) == 1201 and [r["_corrupt_record"] for r in rows if r["_corrupt_record"]] == ["oops,y"]
+    assert len(rows) == 1201 and [r["_corrupt_record"] for r in rows if r["_corrupt_record"]] == ["7,y,too many"]
+    path = write(spark, "late", good + "oops,y\n")
+    with pytest.raises(Exception):
+        readers.read_csv(spark, path, infer_rows=1000).collect()
 
 
 def test_parquet_is_known_by_its_mark(spark):
@@ -192,8 +195,8 @@ def test_clusters_and_anomalies(spark):
     assert lowest["id"] == 400 and lowest["anomaly"] == 1 and run.metrics["n"] == 401
     again = unsupervised.run_anomaly(df, keep=["id"], key=["x", "y"])
     assert again.metrics == run.metrics
-    assert unsupervised.run_clustering(df.limit(3), 5).metrics == {"note": "insufficient rows for chosen k"}
-    assert unsupervised.run_anomaly(df.select(F.lit("a").alias("s"))).metrics == {"note": "no numeric columns"}
+    assert unsupervised.run_clustering(df.limit(3), 5).metrics == {"note": "3 rows cannot make 5 clusters"}
+    assert unsupervised.run_anomaly(df.select(F.lit("a").alias("s"))).metrics == {"note": unsupervised.NO_NUMBERS}
 
 
 def test_dispatch_writes_results_and_errors(spark):
@@ -205,3 +208,73 @@ def test_dispatch_writes_results_and_errors(spark):
     assert "error" in dispatch.run_config(spark, path, {"type": "nothing"}, root, 8)
     assert "error" in dispatch.run_config(spark, path + ".gone.csv", {"type": "anomaly"}, root, 9)
     assert dispatch.profile_config(spark, path, root, 7)["cols"] == 2
+
+
+# --- cases the first version got wrong ------------------------------------------------
+
+
+@pytest.mark.parametrize("sql", [
+    "select * from identifier('other_view')", "select * from identifier('other' || '_view')",
+    "select * from (with other_view as (select 1 x) select * from other_view) a, other_view",
+    "with a as (select * from other_view), other_view as (select 1) select * from a",
+    "select (select max(id) from identifier('other_view')) from t"])
+def test_sql_guard_cannot_be_walked_around(spark, sql):
+    spark.range(7).createOrReplaceTempView("other_view")
+    with pytest.raises(Exception):
+        query.select(spark.range(3), sql)
+
+
+def test_sql_guard_keeps_the_callers_view(spark):
+    spark.range(9).createOrReplaceTempView("t")
+    nested = "with a as (select id from t), b as (select * from a where id > 0) select count(*) c from b join t using (id)"
+    assert query.select(spark.range(3), nested).first()["c"] == 2
+    assert spark.table("t").count() == 9
+    spark.catalog.dropTempView("t")
+    assert query.select(spark.range(3), "with t as (select 5 as x) select * from t").first()["x"] == 5
+
+
+def test_csv_quotes_and_line_feeds(spark):
+    path = write(spark, "quotes", 'id,say\n1,"he said ""hi, you"" ok"\n2,plain\n')
+    assert {r["id"]: r["say"] for r in readers.read_csv(spark, path).collect()} == {1: 'he said "hi, you" ok', 2: "plain"}
+    path = write(spark, "lines", 'id,say\n1,"two\nlines"\n2,x\n')
+    assert [r["say"] for r in readers.read_csv(spark, path, multi_line=True).orderBy("id").collect()] == ["two\nlines", "x"]
+    df = spark.createDataFrame([(1, 'a "b" c\nd'), (2, "e,f"), (3, None)], "id int, say string")
+    root = fresh_path(spark, "out")
+    assert sinks.scored_output(spark, df, root, 4, True)["rows"] == 3
+    back = readers.read_csv(spark, f"{root}/results/4_scored.csv", multi_line=True)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_csv_types_come_from_all_rows(spark):
+    path = write(spark, "late", "a\n" + "".join(f"{i}\n" for i in range(1500)) + "2.5\n")
+    assert readers.read_csv(spark, path).agg(F.max("a")).first()[0] == 1499.0
+    assert dict(readers.read_csv(spark, path, strict=False, infer_rows=1000).dtypes)["a"] == "int"
+
+
+def test_split_of_equal_rows_keeps_the_share(spark):
+    rows = [(0, "same")] * 6000 + [(0, f"k{i}") for i in range(4000)] + [(1, "same")] * 1000
+    parts = split.stratified_split(spark.createDataFrame(rows, "y int, k string"), "y", ["k"])
+    shares = {r["y"]: r["s"] for r in parts.groupBy("y").agg(F.avg((F.col("part") == "test").cast("int")).alias("s")).collect()}
+    assert abs(shares[0] - 0.2) < 0.03 and abs(shares[1] - 0.2) < 0.05
+
+
+def test_target_choice_by_rank(spark):
+    df = spark.createDataFrame([("x", 1, True, "Yes"), ("y", 0, False, "no"), ("x", 1, True, "yes")],
+                               "two string, number int, flag boolean, churn string")
+    assert (labels.infer_target(df).column, labels.infer_target(df).reason) == ("churn", "likely_name")
+    assert labels.infer_target(df.drop("churn")).reason == "boolean"
+    assert labels.infer_target(df.select("two", "number")).reason == "zero_one"
+    assert labels.infer_target(df.select("two")).reason == "two_texts"
+    assert labels.infer_target(df.select(F.lit("a").alias("a"))).column is None
+
+
+def test_worker_errors_name_the_cause(spark):
+    from tidemark.errors import first_line
+
+    @F.udf("int")
+    def fail(x):
+        raise KeyError("lost it")
+
+    with pytest.raises(Exception) as e:
+        spark.range(1).select(fail("id")).collect()
+    assert first_line(e.value) == "KeyError: 'lost it'"

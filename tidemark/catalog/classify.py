@@ -146,7 +146,7 @@ def _words(words):
 
 @register("infer_target", f"""WITH {_DIRTY}, m AS (SELECT CASE WHEN lower(trim("default")) IN {_words(YES_WORDS)} THEN 1
     WHEN lower(trim("default")) IN {_words(NO_WORDS)} THEN 0 END AS y FROM t)
-  SELECT 'default' AS "column", 'name_match' AS reason, y::INT AS y, count(*) AS n FROM m
+  SELECT 'default' AS "column", 'likely_name' AS reason, y::INT AS y, count(*) AS n FROM m
   WHERE (SELECT count(DISTINCT y) = 2 AND count(*) = count(y) FROM m) GROUP BY y""")
 def infer_target(spark, d):
     t = dirty_orders(spark, d)

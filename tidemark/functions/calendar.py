@@ -46,7 +46,23 @@ def plus_steps(ts: Column, k: Column | int, freq: str) -> Column:
     if freq == "W":
         return ts + F.make_dt_interval(days=k * 7)
     moved = F.add_months(F.to_date(ts), k)
-    return (F.last_day(moved) if freq == "M" else F.trunc(moved, "month")).cast(NTZ)
+    return _at_clock_of(F.last_day(moved) if freq == "M" else F.trunc(moved, "month"), ts)
+
+
+def _at_clock_of(day: Column, ts: Column) -> Column:
+    """That day at the time of day of ``ts``."""
+    return day.cast(NTZ) + (ts - F.to_date(ts).cast(NTZ))
+
+
+def first_on_grid(ts: Column, freq: str) -> Column:
+    """The first point of a grid that is not before ``ts``; only months have fixed points."""
+    day = F.to_date(ts)
+    if freq == "M":
+        return _at_clock_of(F.last_day(day), ts)
+    if freq == "MS":
+        month = F.trunc(day, "month")
+        return _at_clock_of(F.when(day == month, month).otherwise(F.add_months(month, 1)), ts)
+    return ts
 
 
 def _clock(ts: Column) -> Column:
@@ -57,7 +73,8 @@ def _clock(ts: Column) -> Column:
 def steps_between(lo: Column, hi: Column, freq: str) -> Column:
     """Whole steps from ``lo`` to ``hi``, never more than fit."""
     if freq in ("M", "MS"):
-        return (F.year(hi) - F.year(lo)) * 12 + F.month(hi) - F.month(lo)
+        months = (F.year(hi) - F.year(lo)) * 12 + F.month(hi) - F.month(lo)
+        return months - (plus_steps(lo, months, freq) > hi).cast("int")
     seconds = F.datediff(hi, lo).cast("long") * 86400 + (_clock(hi) - _clock(lo))
     width = {"H": 3600, "D": 86400, "W": 7 * 86400}[freq]
     return F.floor(seconds / width).cast("int")

@@ -21,13 +21,15 @@ from tidemark.models.base import HAT, ITEM, STEP, TS, Forecaster
 from tidemark.operators.features import complete_cases, feature_matrix, feature_names
 from tidemark.operators.future import expand_future, future_exog
 from tidemark.operators.series import Y, by_item
-from tidemark.session import fresh_path
+from tidemark.session import discard, fresh_path
 
 MAX_DEPTH = 30  # the deepest tree Spark grows
+DEFAULT_DEPTH = 12  # the deepest of the search grids
+MAX_NODES = 5_000_000  # of a recursive model: its nodes go through the driver and to every executor
 
 
 class NodeTable:
-    """Fitted trees as flat arrays; the size is set by the model, not by the data."""
+    """Fitted trees as flat arrays; ``RecursiveForest.node_table`` checks their number first."""
 
     def __init__(self, spark, path: str, weights: list[float]):
         d = F.col("nodeData")
@@ -74,8 +76,11 @@ class _TreeForecaster(Forecaster):
 
     def estimator(self, **defaults):
         p = {**defaults, **self.params}
+        depth = int(p.get("max_depth") or DEFAULT_DEPTH)
+        if depth > MAX_DEPTH:
+            raise ValueError(f"max_depth {depth} is more than {MAX_DEPTH}")
         common = dict(featuresCol="features", labelCol=Y, predictionCol=HAT,
-                      maxDepth=min(int(p.get("max_depth") or MAX_DEPTH), MAX_DEPTH),
+                      maxDepth=depth,
                       minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=int(p.get("random_state", 42)))
         if self.boosted:
             return GBTRegressor(maxIter=int(p.get("n_estimators", 50)), stepSize=float(p.get("learning_rate", 0.1)),
@@ -111,11 +116,18 @@ class RecursiveForest(_TreeForecaster):
         return self
 
     def node_table(self, spark) -> NodeTable:
+        nodes = self.model.totalNumNodes
+        if nodes > MAX_NODES:
+            raise ValueError(f"the model has {nodes} nodes, more than {MAX_NODES}: lower max_depth or n_estimators, "
+                             "or raise min_samples_leaf")
         path = fresh_path(spark, "trees")
         self.model.write().save(path)
         n = self.model.getNumTrees
         weights = self.model.treeWeights if self.boosted else [1.0 / n] * n
-        return NodeTable(spark, path, weights)
+        try:
+            return NodeTable(spark, path, weights)
+        finally:
+            discard(spark, path)
 
     def forecast(self, history: DataFrame, horizon: int, future: DataFrame | None = None) -> DataFrame:
         spark = history.sparkSession

@@ -30,7 +30,6 @@ DATE_SHAPES = (
 EPOCHS = {"epoch_s": (r"^\d{10}$", 10), "epoch_ms": (r"^\d{13}$", 13)}
 SHAPE_RATIO = 0.6  # fixed value: share of values a shape must reach
 
-_EXACT_ROWS = 1_000_000
 _BATCH = 32  # columns profiled in one job
 
 
@@ -75,7 +74,7 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
 
     One aggregate per column, united into one job: each reads its own column only, and stays
     small enough for the JVM to compile.  A second pass covers the columns whose shape is
-    known or whose distinct count is near a rule.
+    known, and distinct counts, which are exact at any size.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     fields = [f for f in fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
@@ -85,7 +84,7 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
         rows = reduce(DataFrame.unionAll, [_facts(df, i, f) for i, f in enumerate(batch)]).collect()
         for row in sorted(rows, key=lambda r: r["i"]):
             f = batch[row["i"]]
-            p = out[f.name] = ColumnProfile(f.name, f.dataType, row["n"], row["nulls"], row["d"])
+            p = out[f.name] = ColumnProfile(f.name, f.dataType, row["n"], row["nulls"])
             if p.is_text:
                 p.mean_length, p.numeric_ratio = row["len"] or 0.0, row["num"] or 0.0
                 p.shape, p.shape_ratio = _best_shape(row["shapes"], row["epochs"], cfg)
@@ -99,9 +98,9 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
         for i, p in enumerate(out.values()):
             if p.shape_ratio >= SHAPE_RATIO:
                 p.parse_ratio = row[f"p{i}"] or 0.0
-    unclear = [p for p in out.values() if _near_a_rule(p, cfg)]
-    for start in range(0, len(unclear), 8):
-        part = unclear[start:start + 8]
+    counted = list(out.values())
+    for start in range(0, len(counted), 8):
+        part = counted[start:start + 8]
         row = df.agg(*[F.countDistinct(F.col(f"`{p.name}`")).alias(f"d{i}") for i, p in enumerate(part)]).first()
         for i, p in enumerate(part):
             p.distinct = row[f"d{i}"]
@@ -111,7 +110,7 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
 def _facts(df: DataFrame, i: int, f: T.StructField) -> DataFrame:
     """One row of counts and ratios for a column."""
     c = F.col(f"`{f.name}`")
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(c.isNull()).alias("nulls"), F.approx_count_distinct(c).alias("d")]
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(c.isNull()).alias("nulls")]
     if isinstance(f.dataType, T.StringType):
         share = lambda flag: F.avg(flag.cast("int"))
         aggs += [F.avg(F.char_length(c)).alias("len"), share(numeric_like(c).isNotNull()).alias("num"),
@@ -121,7 +120,7 @@ def _facts(df: DataFrame, i: int, f: T.StructField) -> DataFrame:
         nothing = F.lit(None)
         aggs += [nothing.cast("double").alias("len"), nothing.cast("double").alias("num"),
                  nothing.cast("array<double>").alias("shapes"), nothing.cast("array<double>").alias("epochs")]
-    return df.agg(*aggs).select(F.lit(i).alias("i"), "n", "nulls", "d", "len", "num", "shapes", "epochs")
+    return df.agg(*aggs).select(F.lit(i).alias("i"), "n", "nulls", "len", "num", "shapes", "epochs")
 
 
 def _best_shape(shapes: list, epochs: list, cfg: ClassifyConfig) -> tuple[str | None, float]:
@@ -134,16 +133,6 @@ def _best_shape(shapes: list, epochs: list, cfg: ClassifyConfig) -> tuple[str |
     return DATE_SHAPES[best][1], ratios[best]
 
 
-def _near_a_rule(p: ColumnProfile, cfg: ClassifyConfig) -> bool:
-    """Is the estimated distinct count too close to a threshold to be trusted?"""
-    if p.n <= _EXACT_ROWS:
-        return True
-    near_id = p.distinct >= (cfg.id_ratio - 0.2) * p.n  # four deviations of the estimate
-    near_constant = p.distinct <= 5
-    near_text = p.is_text and 0.5 * cfg.text_min_unique <= p.distinct <= 2 * cfg.text_min_unique
-    return near_id or near_constant or near_text
-
-
 def is_datetime(p: ColumnProfile, cfg: ClassifyConfig) -> bool:
     return p.is_text and p.shape_ratio >= SHAPE_RATIO and p.parse_ratio >= cfg.datetime_ratio
 

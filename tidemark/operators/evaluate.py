@@ -82,15 +82,17 @@ def residual_summary(pairs: DataFrame) -> DataFrame:
 
 
 def ljung_box(pairs: DataFrame, lags: int = 10) -> DataFrame:
-    """Ljung-Box statistic and p-value per item, residuals in time order.
+    """Ljung-Box statistic and p-value per item.
 
-    ``lags`` is even, so the chi-square tail is a finite sum.
+    Residuals stand in time order, or by fold and step where ``pairs`` has these: folds that
+    overlap hold the same time more than once.  ``lags`` is even, so the chi-square tail is a
+    finite sum.
     """
     if lags % 2:
         raise ValueError("lags must be even")
     res = residuals(pairs)
     centred = res.withColumn("__c", F.col("residual") - F.avg("residual").over(W.partitionBy(ITEM)))
-    w = by_item()
+    w = by_item("fold", "h") if {"fold", "h"} <= set(pairs.columns) else by_item()
     products = centred.withColumns({f"__p{k}": F.col("__c") * F.lag("__c", k).over(w)
                                     for k in range(1, lags + 1)})
     sums = products.groupBy(ITEM).agg(

@@ -1,6 +1,6 @@
 """Building blocks that stay balanced when one key holds a large share of the rows.
 
-* ``attach`` joins per-key facts onto rows with the key salted on the row side.
+* ``attach`` joins per-key facts onto rows, leaving skew to the adaptive planner.
 * ``order_statistics`` / ``quantiles`` find exact ranks by narrowing a bracket, so no task
   ever holds all values of a column.
 * ``hash_rank`` numbers rows in a hash order through equal-width hash buckets.
@@ -17,24 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SALTS = 16
-SALT = "__salt"
-
-
-def attach(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "left",
-           salts: int = SALTS) -> DataFrame:
+def attach(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join ``facts`` (one row per key) to every row of ``df``.
 
-    Each fact row is copied to ``salts`` slots and each data row picks one, so a key with a
-    third of the rows is spread over ``salts`` tasks.  The slot comes from row content and
-    the input partition: a retried task picks the same one.  When the facts turn out small
-    the adaptive planner broadcasts them by their measured size instead.
+    The facts are few against the rows and nothing is copied: the adaptive planner broadcasts
+    them when their measured size allows, and otherwise splits the partitions of a key that
+    holds a large share of the rows, which an inner or left join permits.
     """
-    rest = [c for c in df.columns if c not in keys] or list(keys)
-    slot = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rest]) + F.spark_partition_id(), F.lit(salts))
-    rows = df.withColumn(SALT, slot.cast("int"))
-    copies = facts.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.join(copies, [*keys, SALT], how).drop(SALT)
+    return df.join(facts, keys, how)
 
 
 # --- exact order statistics ----------------------------------------------------------

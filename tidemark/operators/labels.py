@@ -20,8 +20,9 @@ class LabelRule:
     high: str | None = None
 
     def describe(self) -> str:
-        return {"bool": "bool->int", "numeric": "numeric(0/1)", "words": "string->binary(heuristic)"}.get(
-            self.kind, f"string->binary({{'{self.low}': 0, '{self.high}': 1}})")
+        if self.kind == "pair":
+            return f"{self.low!r} is 0, {self.high!r} is 1"
+        return {"bool": "false is 0, true is 1", "numeric": "as it is", "words": "no-words are 0, yes-words are 1"}[self.kind]
 
 
 def normal_form(c: Column) -> Column:
@@ -94,32 +95,30 @@ class TargetChoice:
     checked: list[dict]
 
 
+# Why a column may be the label, best reason first; rules of one kind rank by the kind of column.
+REASONS = ("likely_name", "boolean", "zero_one", "two_texts")
+_BY_KIND = {"bool": "boolean", "numeric": "zero_one", "words": "two_texts", "pair": "two_texts"}
+
+
 def infer_target(df: DataFrame) -> TargetChoice:
-    """Likely names first, then the first bool, the first 0/1 number, the first two-valued text."""
+    """The candidate with the best rank.
+
+    Every column with a rule is a candidate; its rank is its reason's, then the place of its
+    name among the likely ones, then its place in the table.  Yes/no words under another name
+    count as two texts only when just two spellings occur.
+    """
     rules = label_rules(df)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    lower = {c.lower(): c for c in df.columns}
-    checked: list[dict] = []
-
-    def choice(c: str, reason: str) -> TargetChoice:
-        return TargetChoice(c, rules[c], reason, checked)
-
-    for name in LIKELY_TARGET_NAMES:
-        if name in lower:
-            c = lower[name]
-            checked.append({"column": c, "reason": "name_match", "ok": rules[c] is not None})
-            if rules[c] is not None:
-                return choice(c, "name_match")
-    scans = ((T.BooleanType, "bool_dtype", "scan_bool"), (T.NumericType, "numeric_01", "scan_numeric_01"),
-             (T.StringType, "object_2_unique", "scan_object_2_unique"))
-    for dtype, reason, scan in scans:
-        for c in df.columns:
-            ok = isinstance(types[c], dtype) and rules[c] is not None
-            if ok and dtype is T.StringType and rules[c].kind == "words" and not _two_values(df, c):
-                ok = False
-            if ok:
-                return choice(c, reason)
-            checked.append({"column": c, "reason": scan, "ok": False})
+    likely = {name: k for k, name in enumerate(LIKELY_TARGET_NAMES)}
+    ranked = []
+    for place, c in enumerate(df.columns):
+        rule, name = rules.get(c), likely.get(c.lower())
+        if rule is not None:
+            reason = "likely_name" if name is not None else _BY_KIND[rule.kind]
+            ranked.append(((REASONS.index(reason), name or 0, place), c, reason))
+    checked = [{"column": c, "reason": reason, "rule": rules[c].kind} for _, c, reason in sorted(ranked)]
+    for _, c, reason in sorted(ranked):
+        if reason != "two_texts" or rules[c].kind == "pair" or _two_values(df, c):
+            return TargetChoice(c, rules[c], reason, checked)
     return TargetChoice(None, None, None, checked)
 
 

@@ -13,7 +13,7 @@ from tidemark.operators.dates import fully_parsable
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType)
-PREVIEW_ROWS, PREVIEW_LIMIT = 50, 200_000  # fixed values of the preview
+PREVIEW_ROWS = 50  # fixed value of the preview
 
 
 def role_of(dtype: T.DataType) -> str:
@@ -60,10 +60,9 @@ def _profile_batch(df: DataFrame, fields: list[T.StructField], approximate: bool
     return df.agg(*aggs).select(F.inline(F.array(*entries)))
 
 
-def preview(df: DataFrame, limit: int = PREVIEW_ROWS) -> DataFrame | None:
-    """First rows of a table of at most 200,000; None for a larger one."""
-    too_long = df.limit(PREVIEW_LIMIT + 1).count() > PREVIEW_LIMIT
-    return None if too_long else df.limit(limit)
+def preview(df: DataFrame, limit: int = PREVIEW_ROWS) -> DataFrame:
+    """First rows of a table of any size: a limit reads no more than it needs."""
+    return df.limit(limit)
 
 
 def suggest(df: DataFrame) -> DataFrame:

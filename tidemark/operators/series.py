@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.calendar import NTZ, bucket, check_freq, on_grid_flags, plus_steps, steps_between
+from tidemark.functions.calendar import (NTZ, bucket, check_freq, first_on_grid, on_grid_flags, plus_steps,
+                                         steps_between)
 from tidemark.operators.keyed import attach
 
 ITEM, TS, Y = "item_id", "timestamp", "target"
@@ -85,9 +86,14 @@ def require_unique_times(df: DataFrame) -> DataFrame:
 
 
 def step_grid(df: DataFrame, freq: str) -> DataFrame:
-    """(item, time, step) from each item's first to last time, anchored at the first."""
-    bounds = df.groupBy(ITEM).agg(F.min(TS).alias("lo"), F.max(TS).alias("hi"))
-    steps = F.sequence(F.lit(0), steps_between(F.col("lo"), F.col("hi"), freq))
+    """(item, time, step) inside each item's first and last time.
+
+    The first point is the first time, for months the first month end or start not before
+    it; the time of day is kept.  A range without such a point gives no rows.
+    """
+    bounds = (df.groupBy(ITEM).agg(F.min(TS).alias("first"), F.max(TS).alias("hi"))
+                .select(ITEM, first_on_grid(F.col("first"), freq).alias("lo"), "hi"))
+    steps = F.when(F.col("lo") <= F.col("hi"), F.sequence(F.lit(0), steps_between(F.col("lo"), F.col("hi"), freq)))
     return (bounds.select(ITEM, "lo", F.explode(steps).alias("step"))
                   .select(ITEM, plus_steps(F.col("lo"), F.col("step"), freq).alias(TS), "step"))
 
@@ -206,13 +212,13 @@ def longest_item(df: DataFrame) -> DataFrame:
     return df.groupBy(ITEM).count().orderBy(F.desc("count"), ITEM).limit(1)
 
 
-def thin(df: DataFrame, k: int | None, order: str = TS) -> DataFrame:
+def thin(df: DataFrame, k: int | None, *order: str) -> DataFrame:
     """Every ``max(1, n // k)``-th row per item when an item has more than ``k`` rows."""
     if not k:
         return df
     sizes = W.partitionBy(ITEM)
     n = F.count(F.lit(1)).over(sizes)
-    position = F.row_number().over(by_item(order)) - 1
+    position = F.row_number().over(by_item(*order)) - 1
     stride = F.when(n > k, F.greatest(F.lit(1), F.floor(n / k))).otherwise(1)
     return df.withColumn("__keep", position % stride == 0).where("__keep").drop("__keep")
 

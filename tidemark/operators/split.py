@@ -63,7 +63,9 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_share: flo
 
     A row goes to test when its key hash is among the smallest ``round(share * n)`` of its
     class, at least one.  The cut hash per class is found by exact selection, so rows are
-    not shuffled at all.  The test part has two rows at least.
+    not shuffled at all.  Rows that share the cut hash (copies of one row, or one key) are
+    parted by a second hash over their place in the table, in the share that is still missing; only
+    then is the number met on average and not to the row.  The test part has two rows at least.
     """
     sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect() if r[label] is not None}
     if len(sizes) < 2:
@@ -74,9 +76,16 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_share: flo
         k = max(1, int(share * n + 0.5))
         asks[value] = Rank(F.when(F.col(label) == value, hash_key(keys, seed)), lambda _, k=k: [k - 1], k / n)
     cuts = order_statistics(df, asks)
+    key = hash_key(keys, seed)
+    below = df.agg(*[f for i, (value, (cut,)) in enumerate(cuts.items()) for f in (
+        F.count_if((F.col(label) == value) & (key < cut)).alias(f"b{i}"),
+        F.count_if((F.col(label) == value) & (key == cut)).alias(f"e{i}"))]).first()
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     in_test = F.lit(False)
-    for value, (cut,) in cuts.items():
-        in_test = in_test | ((F.col(label) == value) & (hash_key(keys, seed) <= cut))
+    for i, (value, (cut,)) in enumerate(cuts.items()):
+        wanted = max(1, int(share * sizes[value] + 0.5)) - below[f"b{i}"]
+        ties = F.lit(True) if wanted >= below[f"e{i}"] else place < wanted / below[f"e{i}"]
+        in_test = in_test | ((F.col(label) == value) & ((key < cut) | ((key == cut) & ties)))
     return df.withColumn("part", F.when(in_test, F.lit("test")).otherwise(F.lit("train")))
 
 

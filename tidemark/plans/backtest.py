@@ -125,25 +125,32 @@ def _split_name(df: DataFrame) -> DataFrame:
 
 
 def _pooled_folds(indexed: DataFrame, truth: DataFrame, model: Forecaster, plan: FoldPlan, threads: int) -> DataFrame:
-    """One fit per fold over all items; features are built once for all folds."""
+    """One fit per fold over all items that have it; features are built once for all folds.
+
+    Folds are counted from an item's first one, or from its last one when only the last are
+    asked for, so items of any length meet in a fit and each is cut at its own place.  A fit
+    sees the rows before the cut of items that are tested in it.
+    """
     base = feature_matrix(indexed, model.features) if model.name != "direct_tabular" else indexed
-    base = base.persist()
-    n_max = indexed.agg(F.max("n").alias("n")).select(plan.count(F.col("n")).alias("k"),
-                                                      plan.first(F.col("n")).alias("f")).first()
-    if not n_max["k"]:
+    n = F.col("n")
+    base = base.withColumn("__count", plan.count(n)).persist()
+    most = base.agg(F.max("__count")).first()[0]
+    if not most:
         raise ValueError("series too short for a single fold")
+    from_end = plan.last is not None
+    folds = range(min(plan.last, most) if from_end else most)
 
     def one(k: int) -> DataFrame:
-        cut = plan.initial + k * plan.step
-        train = base.where(F.col(RN) < cut)
+        number = F.col("__count") - 1 - k if from_end else F.lit(k)
+        train = base.where((F.col("__count") > k) & (F.col(RN) < plan.initial + number * plan.step))
         fitted = make(model.name, freq=model.freq, season=model.season, exog=model.exog, features=model.features,
                       params=dict(model.params), horizon=plan.horizon).fit(train)
-        # an item takes part in the fold when its whole test window exists
-        known = train.where(F.col("n") >= cut + plan.horizon)
-        ahead = truth.where(F.col(FOLD) == k).select(ITEM, TS, STEP, *model.exog)
-        return fitted.forecast(known.select(ITEM, TS, Y, *model.exog), plan.horizon, ahead).withColumn(FOLD, F.lit(k))
+        tested = truth.where((plan.count(n) > k) & (F.col(FOLD) == (plan.count(n) - 1 - k if from_end else F.lit(k))))
+        ahead = tested.select(ITEM, TS, STEP, *model.exog)
+        made = fitted.forecast(train.select(ITEM, TS, Y, *model.exog), plan.horizon, ahead)
+        numbers = tested.select(ITEM, FOLD).distinct()
+        return made.join(numbers, ITEM)
 
-    folds = list(range(n_max["f"], n_max["k"]))
     with ThreadPool(min(threads, len(folds))) as pool:
         parts = pool.map(inheritable_thread_target(indexed.sparkSession)(one), folds)
     return reduce(DataFrame.unionByName, parts)
@@ -174,20 +181,27 @@ def candidates(space: dict | list | None) -> list[dict]:
         return [{}]
     if isinstance(space, list):
         return [_tuples(d) for d in space]
-    if any(k in space for k in ("order", "seasonal_order")) and not _is_grid(space):
+    # an option of fixed length is one setting, not a list of choices, when its values are plain
+    fixed = [k for k, letters in _LENGTHS.items() if k in space]
+    if fixed and all(isinstance(space[k], dict) or _is_setting(k, space[k]) for k in fixed):
         return [_tuples(space)]
     keys = sorted(space)
     choices = [v if isinstance(v, (list, tuple)) else [v] for v in (space[k] for k in keys)]
     return [_tuples(dict(zip(keys, values))) for values in itertools.product(*choices)]
 
 
-def _is_grid(space: dict) -> bool:
-    return any(isinstance(v, list) and v and all(isinstance(t, (tuple, list)) for t in v) for v in space.values())
+_LENGTHS = {"order": "pdq", "seasonal_order": "PDQm"}
+
+
+def _is_setting(name: str, value) -> bool:
+    """Is this one value of an option of fixed length (as many whole numbers as it has letters)?"""
+    return (isinstance(value, (list, tuple)) and len(value) == len(_LENGTHS[name])
+            and all(isinstance(x, int) for x in value))
 
 
 def _tuples(d: dict) -> dict:
     out = dict(d)
-    for key, letters in (("order", "pdq"), ("seasonal_order", "PDQm")):
+    for key, letters in _LENGTHS.items():
         v = out.get(key)
         if isinstance(v, dict):
             low = {k.lower() if k != "m" else "m": x for k, x in v.items()}

@@ -17,10 +17,13 @@ from tidemark.operators import evaluate, profile, series, split
 from tidemark.operators.dates import parse_times
 from tidemark.operators.future import future_exog, repeat_last_covariates
 from tidemark.operators.series import ITEM, TS, Y
-from tidemark.plans.backtest import (FoldPlan, fold_cutoffs, grid_search, index_rows, leaderboard, pooled_metrics,
+from tidemark.plans.backtest import (FOLD, FoldPlan, fold_cutoffs, grid_search, index_rows, leaderboard, pooled_metrics,
                                      rolling_backtest)
 from tidemark.session import cut_lineage
 
+QUANTILE_FOLDS = 3  # last folds whose residuals, over all steps, give the quantiles of a multi-series run
+SHOWN_SKIPPED = 1000  # skipped items named in a result document; the frame has all
+
 
 def parse_key(df: DataFrame, ts_col: str | None) -> tuple[DataFrame, str]:
     """Table with a time-typed key column; text is parsed, and must parse whole."""
@@ -52,12 +55,14 @@ def prepare_series(df: DataFrame, target: str | None = None, ts_col: str | None
     return series.regular_grid(long, freq, 0.0, max_ffill_steps, exog).drop("step"), freq, exog
 
 
-def require_length(df: DataFrame, cfg: RunConfig) -> None:
+def require_length(df: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Items that cannot be backtested, with the reason; an error when none can."""
     reach = cfg.feature_config.reach if cfg.model_name == "rf" else 0
     report = series.length_report(df, cfg.initial_train, cfg.horizon, reach)
     row = report.agg(F.count_if(F.col("problem").isNull()).alias("ok"), F.max("problem").alias("why")).first()
     if not row["ok"]:
         raise ValueError(f"no series can be backtested: {row['why']}")
+    return report.where(F.col("problem").isNotNull())
 
 
 @dataclass
@@ -73,12 +78,13 @@ class ForecastRun:
     forecast: DataFrame
     model: Forecaster
     config: RunConfig
+    skipped: DataFrame  # items without a fold: item_id, n, problem
 
     def result(self) -> dict:
         """Nested result document; the optional thinning keeps it small."""
         k = self.config.max_serialize_points
-        shown = series.thin(self.backtest.withColumn("ts", F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss")), k)
-        rows = [r.asDict() for r in shown.orderBy(ITEM, TS).select(ITEM, "ts", Y, HAT).collect()]
+        shown = series.thin(self.backtest.withColumn("ts", F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss")), k, FOLD, STEP)
+        rows = [r.asDict() for r in shown.orderBy(ITEM, FOLD, STEP).select(ITEM, "ts", Y, HAT).collect()]
         several = self.forecast.select(ITEM).distinct().limit(2).count() > 1
         key = (lambda r: {"item_id": r[ITEM]}) if several else (lambda r: {})
         ahead = self.forecast.withColumn("ts", F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss")).orderBy(ITEM, TS)
@@ -88,7 +94,9 @@ class ForecastRun:
                          "preds": [{**key(r), "ts": r["ts"], "y_hat": r[HAT]} for r in rows],
                          "trues": [{**key(r), "ts": r["ts"], "y": r[Y]} for r in rows],
                          "horizon": self.config.horizon, "step": self.config.step,
-                         "initial_train": self.config.initial_train},
+                         "initial_train": self.config.initial_train,
+                         "skipped": [r.asDict() for r in self.skipped.orderBy(ITEM).limit(SHOWN_SKIPPED).collect()],
+                         "skipped_count": self.skipped.count()},
             "diagnostics": {"residuals": {
                 "summary": [r.asDict() for r in self.residual_summary.collect()],
                 "ljung_box": [r.asDict() for r in self.ljung_box.collect()]}},
@@ -104,34 +112,39 @@ def run_forecasting(df: DataFrame, config: RunConfig | None = None, target: str
     use = list(exog_cols or []) if (cfg.use_exog or exog_cols) else []
     y, freq, exog = prepare_series(df, target, ts_col, use, item_col, freq, cfg.max_ffill_steps)
     y = y.persist()
-    require_length(y, cfg)
+    skipped = require_length(y, cfg)
     season = cfg.mase_m or SEASON.get(freq, 1)
     plan = FoldPlan(cfg.initial_train, cfg.step, cfg.horizon, max_folds)
     found = grid_search(y, cfg.model_name, cfg.search_space, plan, freq, cfg.feature_config, tuple(exog), season)
-    pairs = found.backtest.select(ITEM, TS, Y, HAT)
+    pairs = found.backtest.select(ITEM, TS, FOLD, STEP, Y, HAT)
     metrics = pooled_metrics(found.backtest, y, plan, season).first().asDict()
     model = make(cfg.model_name, freq=freq, season=season, exog=tuple(exog), features=cfg.feature_config,
                  params=found.params, horizon=cfg.horizon).fit(y)
     future = future_exog(y, exog, cfg.horizon, freq) if exog else None
     return ForecastRun(cfg.model_name, found.params, found.scores, metrics, found.backtest,
                        fold_cutoffs(index_rows(y), plan), evaluate.residual_summary(pairs),
-                       evaluate.ljung_box(pairs), model.forecast(y, cfg.horizon, future), model, cfg)
+                       evaluate.ljung_box(pairs), model.forecast(y, cfg.horizon, future), model, cfg, skipped)
 
 
 # --- many series ---------------------------------------------------------------------
 
 
-def with_quantiles(forecast: DataFrame, backtest: DataFrame, levels: tuple[float, ...]) -> DataFrame:
-    """Quantile columns from backtest residuals of the same item and step, added to the mean.
+def with_quantiles(forecast: DataFrame, backtest: DataFrame, levels: tuple[float, ...],
+                   by_step: bool = True) -> DataFrame:
+    """Quantile columns from backtest residuals of the same item, added to the mean.
 
-    Models that bring quantiles of their own keep them.
+    ``by_step`` takes the residuals of the same step only, which wants many folds; without it
+    all steps of an item are pooled.  ``n_residuals`` is the number a quantile rests on.  Models that
+    bring quantiles of their own keep them.
     """
     names = [quantile_name(q) for q in levels]
     if all(c in forecast.columns for c in names):
         return forecast
-    spread = (evaluate.residuals(backtest).groupBy(ITEM, STEP)
-              .agg(F.percentile("residual", F.array(*[F.lit(q) for q in levels])).alias("__q")))
-    out = forecast.drop(*names).join(spread, [ITEM, STEP], "left")
+    keys = [ITEM, STEP] if by_step else [ITEM]
+    spread = (evaluate.residuals(backtest).groupBy(*keys)
+              .agg(F.percentile("residual", F.array(*[F.lit(q) for q in levels])).alias("__q"),
+                   F.count(F.lit(1)).alias("n_residuals")))
+    out = forecast.drop(*names).join(spread, keys, "left")
     return out.withColumns({c: F.col(HAT) + F.col("__q")[i] for i, c in enumerate(names)}).drop("__q")
 
 
@@ -223,8 +236,8 @@ def run_multi_series(df: DataFrame, config: MultiSeriesConfig | None = None, tar
     model = model.fit(grid)
     future = repeat_last_covariates(grid, exog, cfg.horizon, freq) if exog else None
     forecast = with_quantiles(model.forecast(grid, cfg.horizon, future),
-                              rolling_backtest(usable, model, FoldPlan(1, cfg.horizon, cfg.horizon, 3)),
-                              cfg.quantiles)
+                              rolling_backtest(usable, model, FoldPlan(1, cfg.horizon, cfg.horizon, QUANTILE_FOLDS)),
+                              cfg.quantiles, by_step=False)
     if save_dir:
         model.save(df.sparkSession, save_dir)
     return MultiSeriesRun(best, rows[0]["score"], board, holdout, metrics, evaluate.worst_items(pairs), meta,

@@ -8,29 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-INFER_ROWS = 1000  # fixed value: rows the CSV types are read from
 CORRUPT = "_corrupt_record"
+# One way to write a cell everywhere: quotes inside a quoted cell are doubled.
+CSV_QUOTES = {"quote": '"', "escape": '"'}
 
 
-def infer_csv_schema(spark: SparkSession, path: str, rows: int = INFER_ROWS) -> T.StructType:
-    """Types from the header and the first rows."""
-    head = spark.read.text(path).limit(rows + 1)
-    lines = [r["value"] for r in head.collect()]
-    sample = spark.sparkContext.parallelize(lines, 1)
-    return spark.read.csv(sample, header=True, inferSchema=True).schema
+def infer_csv_schema(spark: SparkSession, path: str, rows: int | None = None, multi_line: bool = False) -> T.StructType:
+    """Types from all rows, or from the first ``rows`` when a prefix is enough for the caller."""
+    if rows is None:
+        return spark.read.csv(path, header=True, inferSchema=True, multiLine=multi_line, **CSV_QUOTES).schema
+    cells = spark.read.csv(path, header=True, multiLine=multi_line, **CSV_QUOTES)
+    head = [tuple(r) for r in cells.limit(rows).collect()]
+    lines = [",".join("" if c is None else '"' + c.replace('"', '""').replace("\n", " ") + '"' for c in r) for r in head]
+    typed = spark.read.csv(spark.sparkContext.parallelize(lines, 1), inferSchema=True, **CSV_QUOTES).schema if lines else None
+    kinds = [f.dataType for f in typed.fields] if typed else [T.StringType()] * len(cells.columns)
+    return T.StructType([T.StructField(n, k) for n, k in zip(cells.columns, kinds)])
 
 
-def read_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, strict: bool = True, multi_line: bool = False,
+             infer_rows: int | None = None) -> DataFrame:
     """Strict: a value that breaks the inferred type stops the read.
 
     Lenient: every row is kept, broken values are null and the raw line goes to
-    ``_corrupt_record``.
+    ``_corrupt_record``.  ``multi_line`` reads quoted cells that hold line feeds; a file is then
+    read by one task, since no place inside it is known to start a row.
     """
-    schema = infer_csv_schema(spark, path)
+    schema = infer_csv_schema(spark, path, infer_rows, multi_line)
+    options = {"header": True, "multiLine": multi_line, **CSV_QUOTES}
     if strict:
-        return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST")
+        return spark.read.csv(path, schema=schema, mode="FAILFAST", **options)
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return spark.read.csv(path, header=True, schema=wide, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    return spark.read.csv(path, schema=wide, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options)
 
 
 def trim_header(df: DataFrame) -> DataFrame:

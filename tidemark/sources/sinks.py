@@ -6,11 +6,12 @@ import datetime as dt
 import decimal
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.errors import first_line
 from tidemark.operators.series import ITEM, TS
+from tidemark.sources.readers import CSV_QUOTES
 
 PREVIEW_ROWS = 20  # fixed value: records shown when no file is asked for
 
@@ -60,9 +61,16 @@ def json_rows(df: DataFrame) -> DataFrame:
                                                     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("value"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV folder with headers; each task writes its own part."""
-    df.write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str) -> int:
+    """CSV folder with headers; each task writes its own part.  Returns the rows written.
+
+    Quotes are written as ``read_csv`` reads them.  The rows are counted on their way out: a
+    file with line feeds in its cells has more lines than rows.
+    """
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode("overwrite").csv(path, header=True, **CSV_QUOTES)
+    return seen.get["rows"]
 
 
 def forecast_export(forecast: DataFrame) -> DataFrame:
@@ -76,6 +84,5 @@ def scored_output(spark: SparkSession, scored: DataFrame, root: str, dataset_id:
     """Whole scored table as CSV, or its size and first records."""
     if return_file:
         key = f"results/{dataset_id}_scored.csv"
-        write_csv(scored, f"{root}/{key}")
-        return {"scored_key": key, "rows": spark.read.csv(f"{root}/{key}", header=True).count()}
+        return {"scored_key": key, "rows": write_csv(scored, f"{root}/{key}")}
     return {"rows": scored.count(), "preview": [r.asDict(recursive=True) for r in scored.limit(PREVIEW_ROWS).collect()]}
