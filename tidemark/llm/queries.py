@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import oracles
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import find_contamination, hit_words
 from tidemark.llm.neardup import find_duplicates
@@ -74,4 +75,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_token_counts, op4_warc, op5_decontamination, op6_secrets, op7_token_files, op8_packing,
                                op9_suffix_dedup, op10_quality)}
-ORACLES: dict[str, str] = {}
+# the others need a tokenizer, a fitted model or, for op6, a lexer; op9's windows are too many for SQL on whole tables
+ORACLES: dict[str, str] = {"op1_topk": oracles.TOPK, "op2_neardup": oracles.NEARDUP, "op4_warc": oracles.WARC,
+                           "op5_decontamination": oracles.DECONTAMINATION}
