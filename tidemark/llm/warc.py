@@ -88,8 +88,11 @@ RECORD = ("record_id string, page_id bigint, url string, ip string, date string,
           "payload binary, payload_bytes bigint, payload_digest string, block_digest string, source string")
 
 
-def arc_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ARC record below ``path`` (columns ``RECORD``); the file description is none."""
+def arc_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row per ARC record below ``path`` (columns ``RECORD``); the file description is none.
+
+    Without ``payloads`` the columns http and payload are null.
+    """
     names = [f.strip().split()[0] for f in RECORD.split(",")]
     kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
     types = [kinds[f.strip().split()[1]] for f in RECORD.split(",")]
@@ -100,7 +103,8 @@ def arc_records(spark: SparkSession, path: str) -> DataFrame:
                 rows: list[tuple] = []
                 held = 0
                 for r in arc.parse(arc.inflate(content.as_buffer().to_pybytes())):
-                    rows.append(_row(file, r))
+                    row = _row(file, r)
+                    rows.append(row if payloads else row[:6] + (None, None) + row[8:])
                     held += len(r.body)
                     if held > 4 << 20:
                         yield _batch(rows, names, types)
@@ -148,19 +152,21 @@ def timestamp(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def convert(records: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write ARC records as WARC files below ``path``.
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0) -> None:
+    """Write the ARC files below ``arc_path`` as WARC files below ``warc_path``.
 
     Of records with equal payloads of at least ``least_bytes`` bytes, that with the largest page id
     (then record id; null ids last) is the response and the others revisit it.  Payloads that
     came without an HTTP header become ``resource`` records, or revisits.
     """
+    records = arc_records(spark, arc_path)
+    slim = cut_lineage(arc_records(spark, arc_path, payloads=False).select(
+        "record_id", "page_id", "url", "date", "payload_digest", "payload_bytes"))
     order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("page"), "record_id", "url", "date")
-    counted = (records.where(F.col("payload_bytes") >= least_bytes)
+    counted = (slim.where(F.col("payload_bytes") >= least_bytes)
                       .groupBy("payload_digest", "payload_bytes")
                       .agg(F.max(order).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
-    slim = records.select("record_id", "payload_digest", "payload_bytes")
-    revisits = (slim.join(counted, ["payload_digest", "payload_bytes"])
+    revisits = (slim.select("record_id", "payload_digest", "payload_bytes").join(counted, ["payload_digest", "payload_bytes"])
                     .where(F.col("record_id") != F.col("first.record_id"))
                     .select("record_id", F.col("first.record_id").alias("to_id"), F.col("first.url").alias("to_url"),
                             F.col("first.date").alias("to_date"), F.col("first.page").alias("to_page")))
@@ -173,7 +179,7 @@ def convert(records: DataFrame, path: str, least_bytes: int = 0) -> None:
                 rows = batch.slice(at, 200).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([warc_record(r) for r in rows], pa.binary())], ["value"])
 
-    _write(joined.withColumn("payload", whole).mapInArrow(run, "value binary"), path, "\r\n\r\n")
+    _write(joined.withColumn("payload", whole).mapInArrow(run, "value binary"), warc_path, "\r\n\r\n")
 
 
 def warc_record(r: dict) -> bytes:
@@ -254,5 +260,5 @@ def archive_pages(pages: DataFrame, arc_path: str, warc_path: str, least_bytes:
     """Pages through legacy archives into WARC archives and back: the index of what was read."""
     spark = pages.sparkSession
     write_arc(pages, arc_path)
-    convert(arc_records(spark, arc_path), warc_path, least_bytes)
+    convert(spark, arc_path, warc_path, least_bytes)
     return cut_lineage(read_warc(spark, warc_path))
