@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.catalog import classify, forecasts, prepare, tables, unsupervised
+from tidemark.catalog import checks, classify, forecasts, prepare, tables, unsupervised
 
-_GROUPS = (tables, prepare, forecasts, classify, unsupervised)
+_GROUPS = (tables, prepare, forecasts, classify, unsupervised, checks)
 
 
 def all_queries() -> dict:
