@@ -18,6 +18,7 @@ from tidemark.plans import backtest as bt
 from tidemark.plans import classification, forecasting
 from tidemark.plans import unsupervised as runs
 from tidemark.session import fresh_path
+from tidemark.sources import readers, sinks
 
 QUERIES, ORACLES = {}, {}
 
@@ -133,3 +134,74 @@ def clf_scored_rows(spark, d):
     cut = float(run.model.threshold)
     return scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("proba").between(0, 1)).alias("outside"),
                       F.count_if(F.col("pred") != (F.col("proba") >= cut).cast("int")).alias("against_threshold"))
+
+
+# --- grids with a time of day, and texts through CSV ---------------------------------
+
+# two months of three, stamped at 05:00 on the month's last or first day, then a time beside the grid
+_MONTHS = """m AS (SELECT date_trunc('month', o_orderdate) AS month, round(sum(o_totalprice), 2) AS y FROM orders
+  WHERE month(o_orderdate) % 3 <> 0 GROUP BY 1)"""
+
+
+def _month_series(spark, d, freq):
+    day = F.trunc(F.to_date("o_orderdate"), "month")
+    months = (table(spark, d, "orders").where(F.month("o_orderdate") % 3 != 0)
+              .groupBy(day.alias("month")).agg(F.round(F.sum("o_totalprice"), 2).alias(Y)))
+    stamp = F.last_day("month") if freq == "M" else F.col("month")
+    rows = months.select(F.lit("orders").alias(ITEM), (stamp.cast("timestamp_ntz") + F.expr("INTERVAL 5 HOURS")).alias(TS), Y)
+    late = rows.agg(F.max(TS).alias("t")).select(F.lit("orders").alias(ITEM), (F.col("t") + F.expr("INTERVAL 40 DAYS")).alias(TS),
+                                                 F.lit(-1.0).alias(Y))
+    return rows.union(late)
+
+
+def _month_grid(stamp: str) -> str:
+    return f"""WITH {_MONTHS}, s AS (SELECT {stamp} + INTERVAL 5 HOUR AS ts, y, month FROM m),
+  b AS (SELECT min(month) AS a, max(ts) + INTERVAL 40 DAY AS z FROM s),
+  g AS (SELECT month FROM (SELECT unnest(generate_series(a, z, INTERVAL 1 MONTH)) AS month FROM b)),
+  p AS (SELECT {stamp} + INTERVAL 5 HOUR AS ts FROM g)
+  SELECT 'orders' AS item_id, ts AS "timestamp", CASE WHEN ts = z THEN -1.0 ELSE s.y END AS target
+  FROM p CROSS JOIN b LEFT JOIN s USING (ts) WHERE ts <= z"""
+
+
+@register("grid_month_end", _month_grid("last_day(month)::TIMESTAMP"))
+def grid_month_end(spark, d):
+    """Month ends at 05:00 with gaps, and a last time that is no month end."""
+    return series.as_freq(_month_series(spark, d, "M"), "M")
+
+
+@register("grid_month_start", _month_grid("month::TIMESTAMP"))
+def grid_month_start(spark, d):
+    return series.as_freq(_month_series(spark, d, "MS"), "MS")
+
+
+def _step_grid(width: str) -> str:
+    return f"""WITH e AS (SELECT event_type AS item_id, date_trunc('minute', min(ts)) AS a, date_trunc('minute', max(ts)) AS z FROM events GROUP BY 1)
+  SELECT item_id, unnest(generate_series(a, z, INTERVAL {width})) AS "timestamp" FROM e"""
+
+
+def _event_ends(spark, d):
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias(ITEM)).agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    ends = e.select(ITEM, F.explode(F.array("a", "z")).alias(TS))
+    return ends.select(ITEM, F.date_trunc("minute", TS).cast("timestamp_ntz").alias(TS), F.lit(1.0).alias(Y))
+
+
+@register("grid_hourly", _step_grid("1 HOUR"))
+def grid_hourly(spark, d):
+    """Hours from each event type's first minute to its last."""
+    return series.as_freq(_event_ends(spark, d), "H").select(ITEM, TS)
+
+
+@register("grid_weekly", _step_grid("7 DAY"))
+def grid_weekly(spark, d):
+    return series.as_freq(_event_ends(spark, d), "W").select(ITEM, TS)
+
+
+@register("csv_texts", """SELECT 'd' || doc_id AS id, md5(text) AS digest FROM documents
+  UNION ALL SELECT 'p' || page_id, md5(html) FROM pages""")
+def csv_texts(spark, d):
+    """Texts with quotes, commas and line feeds, written as CSV and read back."""
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    pages = table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text"))
+    path = fresh_path(spark, "texts") + ".csv"
+    sinks.write_csv(docs.union(pages), path)
+    return readers.read_csv(spark, path, multi_line=True).select("id", F.md5(F.col("text").cast("string")).alias("digest"))

@@ -69,7 +69,8 @@ def write_csv(df: DataFrame, path: str) -> int:
     """
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    counted.write.mode("overwrite").csv(path, header=True, **CSV_QUOTES)
+    counted.write.mode("overwrite").csv(path, header=True, ignoreLeadingWhiteSpace=False,
+                                          ignoreTrailingWhiteSpace=False, **CSV_QUOTES)
     return seen.get["rows"]
 
 
