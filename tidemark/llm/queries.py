@@ -17,7 +17,7 @@ from tidemark.llm.token_counts import count_tokens
 from tidemark.llm.token_files import token_index, write_token_files
 from tidemark.llm.topk import top_k
 from tidemark.llm.warc import archive_pages
-from tidemark.session import fresh_path
+from tidemark.session import discard, fresh_path
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = archive_pages(table(spark, sf_dir, "pages"), fresh_path(spark, "arc"), fresh_path(spark, "warc"))
+    paths = fresh_path(spark, "arc"), fresh_path(spark, "warc")
+    found = archive_pages(table(spark, sf_dir, "pages"), *paths)  # checkpointed: the archives were only for this query
+    for path in paths:
+        discard(spark, path)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
@@ -56,7 +59,9 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path)
-    return token_index(spark, path)
+    found = token_index(spark, path)  # checkpointed: the files were only for this query
+    discard(spark, path)
+    return found
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
