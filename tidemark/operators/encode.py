@@ -101,28 +101,32 @@ def tokens(c: Column) -> Column:
                                                 lambda a, b: F.concat(a, F.lit(" "), b)))).otherwise(w))[0]
 
 
-def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf) over whole texts."""
-    return (df.select(key, F.explode(tokens(F.col(text))).alias("term"))
-              .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+def vocabulary(df: DataFrame, text: str, n_docs: int, cfg: ClassifyConfig = ClassifyConfig()) -> DataFrame:
+    """(term, df, total, idf): the most frequent terms within the document-frequency limits.
 
-
-def vocabulary(tf: DataFrame, n_docs: int, cfg: ClassifyConfig = ClassifyConfig()) -> DataFrame:
-    """(term, df, total, idf): the most frequent terms within the document-frequency limits."""
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    A row is a document.  Each row gives its terms and its distinct terms, so both counts come from
+    one aggregate by term and nothing is grouped by document.
+    """
+    words = tokens(F.col(text))
+    row = df.select(words.alias("all"))
+    each = row.select(F.explode("all").alias("term"), F.lit(0).alias("df"), F.lit(1).alias("total")).unionAll(
+        row.select(F.explode(F.array_distinct("all")), F.lit(1), F.lit(0)))
+    stats = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
     ok = (F.col("df") >= cfg.tfidf_min_df) & (F.col("df") <= cfg.tfidf_max_df * n_docs)
     top = stats.where(ok).orderBy(F.desc("total"), "term").limit(cfg.tfidf_max_features)
     return top.withColumn("idf", F.log((1 + n_docs) / (1 + F.col("df"))) + 1)
 
 
 def tfidf(df: DataFrame, key: str, text: str, cfg: ClassifyConfig = ClassifyConfig()) -> DataFrame:
-    """(key, term, weight): L2-normalised tf-idf in long form."""
-    tf = term_counts(df, key, text)
-    vocab = vocabulary(tf, df.count(), cfg).select("term", "idf")
-    # at most max_features rows, so every task can hold it
-    weighted = tf.join(F.broadcast(vocab), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    """(key, term, weight): L2-normalised tf-idf in long form; a row is a document, ``key`` names it."""
+    vocab = vocabulary(df, text, df.count(), cfg).select("term", "idf")
+    # at most max_features rows, so every task can hold it; other terms go before anything is shuffled
+    tf = (df.select(key, F.explode(tokens(F.col(text))).alias("term")).join(F.broadcast(vocab), "term")
+            .groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf")))
+    rows = tf.groupBy(key).agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))).alias("terms"))
+    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["w"] * t["w"]))
+    return rows.select(key, norm.alias("norm"), F.explode("terms").alias("t")).select(
+        key, F.col("t.term").alias("term"), (F.col("t.w") / F.col("norm")).alias("weight"))
 
 
 # --- the fitted encoder --------------------------------------------------------------
@@ -140,8 +144,7 @@ def fit_encoder(train: DataFrame, groups: dict[str, list[str]], cfg: ClassifyCon
         fitted["labels"] = {c: {"kept": k["kept"], "rare": k["rare"]} for c, k in kept.items()}
     n_docs = train.count() if groups["text"] else 0
     for c in groups["text"]:
-        keyed = train.select(F.monotonically_increasing_id().alias("__id"), F.col(f"`{c}`").alias("__text"))
-        top = vocabulary(term_counts(keyed, "__id", "__text"), n_docs, cfg).collect()
+        top = vocabulary(train.select(F.col(f"`{c}`").alias("__text")), "__text", n_docs, cfg).collect()
         fitted["terms"][c] = {r["term"]: log((1 + n_docs) / (1 + r["df"])) + 1 for r in top}
     return fitted
 
