@@ -159,6 +159,11 @@ def test_ljung_box_of_overlapping_folds_is_determined(uneven):
     assert first == pytest.approx(again)
 
 
+def test_no_model_starts_after_the_time_limit(uneven):
+    _, rows = bt.leaderboard(uneven, ["seasonal_naive", "theta"], bt.FoldPlan(1, 1, 14, 1), "smape", threads=1, time_limit=0.0)
+    assert [r["error"] is None for r in rows] == [True, False] and "time limit" in rows[1]["error"]
+
+
 def test_search_space_forms():
     assert bt.candidates({"order": [1, 0, 0], "seasonal_order": (0, 1, 1, 7)}) == [{"order": (1, 0, 0), "seasonal_order": (0, 1, 1, 7)}]
     assert bt.candidates({"order": {"p": 1, "d": 0, "q": 2}}) == [{"order": (1, 0, 2)}]

@@ -9,6 +9,7 @@ only pooled tree models are fitted once per fold.
 from __future__ import annotations
 
 import itertools
+import time
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -254,12 +255,20 @@ def grid_search(df: DataFrame, model_name: str, space, plan: FoldPlan, freq: str
 
 def leaderboard(df: DataFrame, names: list[str], plan: FoldPlan, metric: str = "mape", freq: str = "D",
                 features: FeatureConfig | None = None, exog: tuple[str, ...] = (), season: int | None = None,
-                options: dict[str, dict] | None = None, threads: int = 4) -> tuple[DataFrame, list[dict]]:
-    """Models ranked on the validation folds, best first; failing ones come last with the error."""
+                options: dict[str, dict] | None = None, threads: int = 4,
+                time_limit: float | None = None) -> tuple[DataFrame, list[dict]]:
+    """Models ranked on the validation folds, best first; failing ones come last with the error.
+
+    After ``time_limit`` seconds no further model is started; the first one always is.
+    """
     season = season or SEASON.get(freq, 1)
     df = df.persist()
 
+    deadline = None if time_limit is None else time.monotonic() + time_limit
+
     def attempt(name: str) -> dict:
+        if deadline is not None and name != names[0] and time.monotonic() > deadline:
+            return {"model": name, "score": None, "error": "not started: the time limit was reached"}
         try:
             model = make(name, freq=freq, season=season, exog=tuple(exog), features=features or FeatureConfig(),
                          params=dict((options or {}).get(name, {})), horizon=plan.horizon)

@@ -222,7 +222,7 @@ def run_multi_series(df: DataFrame, config: MultiSeriesConfig | None = None, tar
         raise ValueError(f"no series is longer than the horizon ({lengths['lo']} rows at least)")
     usable = parts.drop("part")
     board, rows = leaderboard(usable, list(cfg.models), plan, cfg.eval_metric, freq, features, tuple(exog), season,
-                              options)
+                              options, time_limit=cfg.time_limit)
     best = rows[0]["model"]
     if rows[0]["score"] is None:
         raise RuntimeError(f"every model failed: {rows[0]['error']}")
