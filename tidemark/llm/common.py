@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,29 @@ def by_size(items: Iterable, sizes: Iterable[int], most: int) -> Iterator[list]:
         total += size
     if part:
         yield part
+
+
+FILTER_BITS = 25
+
+
+def only_keys(rows: DataFrame, keys: DataFrame, column: str, flag: str | None = None) -> DataFrame:
+    """Rows whose whole number ``column`` may be among ``keys``' ones: a filter ahead of a shuffle.
+
+    With ``flag`` all rows stay and that column says which may be.
+
+    The keys become a bitmap of 2 ** FILTER_BITS bits (4 MB), whatever their number; it is put together
+    as at most 2 ** 19 words.  Rows that pass by chance are left to the join that follows.
+    """
+    bit = F.pmod(F.col(column), F.lit(1 << FILTER_BITS))
+    words = (keys.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) AS int))").alias("bit"))
+                 .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
+    bitmap = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def passes(values: pd.Series) -> pd.Series:
+        place = np.mod(values.to_numpy(), 1 << FILTER_BITS)
+        return pd.Series(shared.value[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1) == 1)
+
+    return rows.withColumn(flag, passes(column)) if flag else rows.where(passes(column))

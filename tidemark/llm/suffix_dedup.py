@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import spread
+from tidemark.llm.common import only_keys, spread
 from tidemark.llm.suffix_order import common_prefix, order
 from tidemark.llm.words import _BASE, _BYTE_CODE, _tables, mix, parts, text_buffer
 from tidemark.session import cut_lineage, fresh_path
@@ -34,7 +34,9 @@ from tidemark.session import cut_lineage, fresh_path
 CROWD = 1024
 _GRAM = 32
 _PIECE = 2 << 20
-_ANCHOR = "array<struct<name:bigint,class:bigint,at:bigint,low:int,high:int>>"
+# An anchor as it is kept with its text: 24 bytes.
+_PACKED = np.dtype([("name", "<i8"), ("class", "<i8"), ("at", "<u4"), ("low", "<u2"), ("high", "<u2")])
+_ANCHOR = "name bigint, class bigint, at bigint, low int, high int"
 
 
 def _spread_of(length: int) -> int:
@@ -117,26 +119,39 @@ def _sliding_least(key: np.ndarray, width: int) -> np.ndarray:
 
 def _find(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item = pa.struct([("name", pa.int64()), ("class", pa.int64()), ("at", pa.int64()), ("low", pa.int32()),
-                          ("high", pa.int32())])
         for batch in batches:
             for first, last in parts(batch.column(2)):
                 data, bounds = text_buffer(batch.column(2).slice(first, last - first))
                 found = anchors(data, bounds, length)
+                packed = np.empty(len(found["at"]), _PACKED)
+                for k in _PACKED.names:
+                    packed[k] = found[k]
                 count = np.searchsorted(found["text"], np.arange(last - first + 1))
-                rows = pa.StructArray.from_arrays(
-                    [pa.array(found["name"], pa.int64()), pa.array(found["class"], pa.int64()), pa.array(found["at"], pa.int64()),
-                     pa.array(found["low"].astype(np.int32)), pa.array(found["high"].astype(np.int32))], fields=list(item))
+                blobs = [packed[a:b].tobytes() for a, b in zip(count[:-1], count[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first),
-                     pa.ListArray.from_arrays(pa.array(count.astype(np.int32)), rows)], ["h", "g", "anchors"])
+                     pa.array(blobs, pa.binary())], ["h", "g", "anchors"])
 
     return run
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per anchor: h, g, copies and the anchor's fields."""
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            part = batch.slice(at, 500)
+            blobs = part.column(3).to_pylist()
+            rows = np.frombuffer(b"".join(blobs), _PACKED)
+            again = pa.array(np.repeat(np.arange(len(blobs)), [len(b) // _PACKED.itemsize for b in blobs]))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(k).take(again) for k in range(3)]
+                + [pa.array(rows[k].astype(t)) for k, t in zip(_PACKED.names, ("i8", "i8", "i8", "i4", "i4"))],
+                ["h", "g", "copies", *_PACKED.names])
+
+
 def _surroundings(length: int):
     """The bytes around the anchors asked for, one row each."""
-    names = ["name", "class", "n", "low", "high", "left", "right"]
+    names = ["name", "class", "n", "kinds", "low", "high", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +160,7 @@ def _surroundings(length: int):
                 raw = text.as_buffer()
                 for a in asked.as_py():
                     at, low, high = a["at"], a["low"], a["high"]
-                    rows.append((a["name"], a["class"], a["n"], low, high, raw[at - high:at].to_pybytes(),
+                    rows.append((a["name"], a["class"], a["n"], a["kinds"], low, high, raw[at - high:at].to_pybytes(),
                                  raw[at:at + length - low].to_pybytes()))
                     if len(rows) >= 5000:
                         yield _rows(rows, names)
@@ -155,7 +170,7 @@ def _surroundings(length: int):
     return run
 
 
-_TYPES = {"name": pa.int64(), "class": pa.int64(), "n": pa.int64(), "low": pa.int32(), "high": pa.int32(),
+_TYPES = {"name": pa.int64(), "class": pa.int64(), "n": pa.int64(), "kinds": pa.int64(), "low": pa.int32(), "high": pa.int32(),
           "left": pa.binary(), "right": pa.binary(), "from": pa.int32(), "upto": pa.int32(), "window": pa.binary()}
 
 
@@ -205,22 +220,25 @@ def _by_left(own: list[int], lefts: list[bytes], depth: int, classes: list[tuple
 
 
 def _resolve(length: int):
-    """Rows ordered by name: the repeated offsets of each class, a name at a time."""
+    """Rows ordered by name: the repeated offsets of each class, a name at a time.
+
+    Copies of a text bring the same classes again: each counts once.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, group = None, []
+        name, group = None, {}
         names = ["name", "class", "from", "upto"]
 
         def settle() -> list[tuple]:
-            ranges = repeated_offsets([g[1:] for g in group], length)
-            return [(name, g[0], a, b) for g, r in zip(group, ranges) for a, b in sorted(r)]
+            ranges = repeated_offsets(list(group.values()), length)
+            return [(name, kind, a, b) for kind, r in zip(group, ranges) for a, b in sorted(r)]
 
         for batch in batches:
             rows: list[tuple] = []
             for n, *rest in zip(*(c.to_pylist() for c in batch.columns)):
                 if n != name:
                     rows += settle()
-                    name, group = n, []
-                group.append(tuple(rest))
+                    name, group = n, {}
+                group[rest[0]] = tuple(rest[1:])
             if rows:
                 yield _rows(rows, names)
         if group:
@@ -294,42 +312,54 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
     rows = rows.withColumns({"h": F.xxhash64("text"), "g": F.hash("text")})
     long = rows.where(F.octet_length("text") >= length)
     found = fresh_path(spark, "anchors")
-    (long.select("h", "g", "text").mapInArrow(_find(length), f"h bigint, g int, anchors {_ANCHOR}")
-         .groupBy("h", "g").agg(F.first("anchors").alias("anchors"), F.count(F.lit(1)).alias("copies")).write.parquet(found))
+    (long.select("h", "g", "text").mapInArrow(_find(length), "h bigint, g int, anchors binary")
+         .groupBy("h", "g").agg(F.count(F.lit(1)).alias("copies"), F.first("anchors").alias("anchors")).write.parquet(found))
     texts = spark.read.parquet(found)
-    each = texts.select("h", "g", F.when(F.col("copies") > 1, 2).otherwise(1).alias("copies"),
-                        F.explode("anchors").alias("x")).select("h", "g", "copies", "x.*")
-    classes = each.groupBy("name", "class").agg(
-        F.sum("copies").alias("n"), F.min(F.struct("h", "g", "at", "low", "high")).alias("first"))
-    named = classes.groupBy("name").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("all > 1")
-    several = cut_lineage(classes.join(named, "name").select("name", "class", "n", "kinds", "first"))
-
-    asked = (several.where("kinds > 1").select("first.*", "name", "class", "n")
-                    .groupBy("h", "g").agg(F.collect_list(F.struct("name", "class", "n", "at", "low", "high")).alias("asked")))
-    around = (rows.select("h", "g", "text").join(asked, ["h", "g"]).select("text", "asked").mapInArrow(
-        _surroundings(length), "name bigint, class bigint, n bigint, low int, high int, left binary, right binary"))
-    around = around.dropDuplicates(["name", "class"])
-    sized = cut_lineage(around.join(several.where("kinds > 1").select("name", "class", "kinds"), ["name", "class"]))
+    each = texts.select("h", "g", F.least("copies", F.lit(2).cast("bigint")).alias("copies"), "anchors").mapInArrow(
+        _unpacked, f"h bigint, g int, copies bigint, {_ANCHOR}")
+    # names that occur more than once, and in how many classes; all that follows is about these
+    classes = each.groupBy("name", "class").agg(F.sum("copies").alias("n"))
+    named = (classes.groupBy("name").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+                    .where("all > 1").select("name", "kinds"))
+    several = cut_lineage(each.join(named, "name"))
+
+    asked = (several.where("kinds > 1").groupBy("name", "class")
+                    .agg(F.sum("copies").alias("n"), F.min(F.struct("h", "g", "at", "low", "high", "kinds")).alias("first"))
+                    .select("name", "class", "n", "first.*")
+                    .groupBy("h", "g").agg(F.collect_list(
+                        F.struct("name", "class", "n", "at", "low", "high", "kinds")).alias("asked")))
+    asked = cut_lineage(asked)
+    around = (only_keys(rows.select("h", "g", "text"), asked, "h").join(asked, ["h", "g"]).select("text", "asked").mapInArrow(
+        _surroundings(length),
+        "name bigint, class bigint, n bigint, kinds bigint, low int, high int, left binary, right binary"))
+    around = cut_lineage(around)
     columns = ["name", "class", "n", "low", "high", "left", "right"]
-    quiet = (sized.where(F.col("kinds") <= CROWD).select(*columns).repartition("name").sortWithinPartitions("name")
-                  .mapInArrow(_resolve(length), "name bigint, class bigint, from int, upto int"))
-    single = (sized.where(F.col("kinds") > CROWD).select(*columns)
-                   .mapInArrow(_windows(length), "name bigint, class bigint, n bigint, from int, window binary"))
+    quiet = (around.where(F.col("kinds") <= CROWD).select(*columns).repartition("name").sortWithinPartitions("name")
+                   .mapInArrow(_resolve(length), "name bigint, class bigint, from int, upto int"))
+    single = (around.where(F.col("kinds") > CROWD).select(*columns).dropDuplicates(["name", "class"])
+                    .mapInArrow(_windows(length), "name bigint, class bigint, n bigint, from int, window binary"))
     often = single.groupBy("window").agg(F.sum("n").alias("all")).where("all > 1").select("window")
     loud = single.join(often, "window", "left_semi").select("name", "class", "from", F.col("from").alias("upto"))
     ranges = (quiet.unionByName(loud).groupBy("name", "class")
                    .agg(F.collect_list(F.struct("from", "upto")).alias("offsets")))
-    full = several.where("kinds = 1").select("name", "class", F.lit(None).cast("array<struct<from:int,upto:int>>").alias("offsets"))
-    hits = each.where("copies = 1").join(ranges.unionByName(full), ["name", "class"])
-    own = F.coalesce("offsets", F.array(F.struct(F.col("low").alias("from"), F.col("high").alias("upto"))))
-    hits = hits.select("h", "g", F.transform(own, lambda o: F.struct(
+    own = several.where("copies = 1").select("h", "g", "name", "class", "at", "low", "high", "kinds")
+    whole = F.array(F.struct(F.col("low").alias("from"), F.col("high").alias("upto")))
+    hits = (own.where("kinds > 1").join(ranges, ["name", "class"])
+               .unionByName(own.where("kinds = 1").withColumn("offsets", whole)))
+    hits = hits.select("h", "g", F.transform("offsets", lambda o: F.struct(
         (F.col("at") - o["upto"]).alias("start"), (F.col("at") - o["from"] + length).alias("end"))).alias("r"))
-    lost = hits.groupBy("h", "g").agg(F.flatten(F.collect_list("r")).alias("ranges"))
-    whole = texts.where("copies > 1").select("h", "g", "copies")
+    lost = cut_lineage(hits.groupBy("h", "g").agg(F.flatten(F.collect_list("r")).alias("ranges")))
     marks = lost.withColumn("copies", F.lit(1).cast("bigint")).unionByName(
-        whole.withColumn("ranges", F.lit(None).cast("array<struct<start:bigint,end:bigint>>")))
+        texts.where("copies > 1").select("h", "g", "copies").withColumn(
+            "ranges", F.lit(None).cast("array<struct<start:bigint,end:bigint>>")))
+    # texts that surely keep all bytes stay where they are; the others meet their ranges
+    touched = only_keys(rows, marks, "h", flag="touched")
+    met = (touched.where("touched").join(marks, ["h", "g"], "left")
+                  .select("id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "ranges"))
+    alone = touched.where(~F.col("touched")).select(
+        "id", "text", F.lit(1).cast("bigint").alias("copies"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("ranges"))
     kind = rows.schema["id"].dataType.simpleString()
-    return (rows.join(marks, ["h", "g"], "left").select("id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "ranges")
-                .mapInArrow(_cut(length), f"id {kind}, n_bytes bigint, n_removed bigint, "
-                                          "spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
-                .withColumnRenamed("id", id_column))
+    return (met.unionByName(alone)
+               .mapInArrow(_cut(length), f"id {kind}, n_bytes bigint, n_removed bigint, "
+                                         "spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
+               .withColumnRenamed("id", id_column))
