@@ -25,8 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_size, spread
+from tidemark.llm.common import spread
 from tidemark.llm.tokens import BYTE_BPE, encode_ids
+from tidemark.llm.words import parts
 
 _AT_ONCE = 1 << 20
 _POOL_IDS = 1 << 22  # waiting ids before sequences are made: 16 MB
@@ -166,9 +167,9 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = BYTE_BPE, end_i
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in by_size(zip(names, texts), map(len, texts), _AT_ONCE):
-                for (name, _), ids in zip(part, encode_ids(tokenizer, [t for _, t in part])):
+            for first, last in parts(batch.column(1), _AT_ONCE):
+                names, texts = (batch.column(k).slice(first, last - first).to_pylist() for k in (0, 1))
+                for name, ids in zip(names, encode_ids(tokenizer, texts)):
                     packer.add(name, np.frombuffer(ids + end, "<u4"))
                 if packer.waiting > _POOL_IDS:
                     packer.pack(_POOL_IDS // 2)

@@ -160,7 +160,8 @@ def evidence(docs: DataFrame, model: Model, text_column: str) -> Column:
         own = shared.value
         if not len(texts):
             return pd.Series([], dtype=float)
-        return pd.Series(own.log_odds(np.array([features(t, own.lexicon) for t in texts])))
+        rows = np.fromiter((x for t in texts for x in features(t, own.lexicon)), np.float64, 11 * len(texts))
+        return pd.Series(own.log_odds(rows.reshape(-1, 11)))
 
     return odds(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")))
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_size, spread
 from tidemark.llm.tokens import BYTE_BPE, encode_ids, load
+from tidemark.llm.words import parts
 from tidemark.session import cut_lineage
 
 MARGIN = 32  # more than any added token's text and any look-ahead of the pre-splitting
@@ -47,10 +48,10 @@ def count_tokens(docs: DataFrame, tokenizer: str = BYTE_BPE, limit: int = 1024,
 
     def short_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             counts: list[int] = []
-            for part in by_size(texts, map(len, texts), _AT_ONCE):
-                counts += [len(ids) // 4 for ids in encode_ids(tokenizer, part)]
+            for first, last in parts(batch.column(1), _AT_ONCE):
+                texts = batch.column(1).slice(first, last - first).to_pylist()
+                counts += [len(ids) // 4 for ids in encode_ids(tokenizer, texts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 

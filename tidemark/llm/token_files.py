@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import by_size
 from tidemark.llm.tokens import BYTE_BPE, encode_ids
+from tidemark.llm.words import parts
 from tidemark.session import cut_lineage
 
 BLOCK = 4096
@@ -65,35 +65,43 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     # each block is followed by zeros, which its last word may pack along
     grid = np.zeros((blocks, BLOCK + reach), np.uint64)
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
+    # bits of each id, and from these the widest id of the next n, by doubling
+    bits = np.minimum(np.frexp(grid.astype(np.float64))[1], ESCAPE_BITS).astype(np.uint8)
+    widest = {1: bits}
+    for n in sorted(set(COUNTS.tolist()))[1:]:
+        half = max(k for k in widest if 2 * k >= n or k == max(widest))
+        near = widest[half]
+        while 2 * half < n:
+            near = _wider(near, near, half)
+            half *= 2
+        widest[n] = _wider(near, near, n - half)
     choice = np.full((blocks, BLOCK), len(COUNTS) - 1, np.uint8)
-    over = np.zeros((blocks, BLOCK + reach + 1), np.int32)
     for s in range(len(COUNTS) - 2, -1, -1):
-        np.cumsum(grid >> np.uint64(BITS[s]) != 0, axis=1, out=over[:, 1:])
-        n = int(COUNTS[s])
-        choice[over[:, n:n + BLOCK] == over[:, :BLOCK]] = s
+        np.copyto(choice, np.uint8(s), where=widest[int(COUNTS[s])][:, :BLOCK] <= BITS[s])
     # all blocks walk from word to word together
-    place = np.zeros(blocks, np.int64)
-    rows = np.arange(blocks)
-    starts, owners = [], []
-    while len(rows):
-        starts.append(place)
-        owners.append(rows)
-        place = place + COUNTS[choice[rows, place]]
-        open_ = place < BLOCK
-        rows, place = rows[open_], place[open_]
-    start, owner = np.concatenate(starts), np.concatenate(owners)
-    order = np.lexsort((start, owner))
-    start, owner = start[order], owner[order]
+    place = np.arange(blocks, dtype=np.int64) * BLOCK
+    stop = place + BLOCK
+    taken = np.zeros(blocks * BLOCK, bool)
+    step = COUNTS[choice].reshape(-1)
+    while len(place):
+        taken[place] = True
+        place = place + step[place]
+        open_ = place < stop
+        if not open_.all():
+            place, stop = place[open_], stop[open_]
+    owner, start = np.divmod(np.flatnonzero(taken), BLOCK)
     real = owner * BLOCK + start < len(ids)
     start, owner = start[real], owner[real]
     selector = choice[owner, start]
     words = selector.astype(np.uint64) << np.uint64(60)
+    line, spot = grid.reshape(-1), owner * grid.shape[1] + start
     for s in np.unique(selector):
         if BITS[s]:
             at = np.flatnonzero(selector == s)
-            shifts = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-            values = grid[owner[at][:, None], start[at][:, None] + np.arange(COUNTS[s])]
-            words[at] |= np.bitwise_or.reduce(values << shifts, axis=1)
+            packed, place = words[at], spot[at]
+            for k in range(COUNTS[s]):
+                packed |= line[place + k] << np.uint64(k * BITS[s])
+            words[at] = packed
     cut = np.searchsorted(owner, np.arange(blocks + 1))
     which = np.searchsorted(wide, np.arange(blocks + 1) * BLOCK)
     out = []
@@ -105,6 +113,13 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return out
 
 
+def _wider(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
+    """Larger of each value and the one ``by`` places on; nothing stands beyond the end."""
+    out = a.copy()
+    np.maximum(a[:, :-by], b[:, by:], out=out[:, :-by])
+    return out
+
+
 def decode_blocks(blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
     """All ids of consecutive blocks."""
     if not blocks:
@@ -144,13 +159,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end
     rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("id"),
                        F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
-    ordered = (rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "id", "tie")
+    files = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
+    ordered = (rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(files, "id", "tie")
                    .sortWithinPartitions("id", "tie").drop("tie"))
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, blocks, docs_seen, rest = 0, [], [], np.zeros(0, np.uint32)
+        at, blocks, docs_seen = 0, [], []
+        waiting: list[bytes] = []  # ids not yet in a block
+        held = 0
 
         def rows_of(packed: list) -> Iterator[pa.RecordBatch]:
             nonlocal at
@@ -163,15 +180,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end
                 yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], ["value"])
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in by_size(zip(names, texts), map(len, texts), _AT_ONCE):
-                coded = [c + end for c in encode_ids(tokenizer, [t for _, t in part])]
-                docs_seen.append(np.array([(i or 0, i is None, len(c) // 4) for (i, _), c in zip(part, coded)], _DOC))
-                ids = np.concatenate([rest, np.frombuffer(b"".join(coded), "<u4")])
-                whole = len(ids) // BLOCK * BLOCK
-                yield from rows_of(encode_blocks(ids[:whole]))
-                rest = ids[whole:]
-        yield from rows_of(encode_blocks(rest))
+            for first, last in parts(batch.column(1), _AT_ONCE):
+                names, texts = (batch.column(k).slice(first, last - first).to_pylist() for k in (0, 1))
+                coded = [c + end for c in encode_ids(tokenizer, texts)]
+                docs_seen.append(np.array([(i or 0, i is None, len(c) // 4) for i, c in zip(names, coded)], _DOC))
+                waiting += coded
+                held += sum(map(len, coded)) // 4
+                if held >= _AT_ONCE:
+                    ids = np.frombuffer(b"".join(waiting), "<u4")
+                    whole = held // BLOCK * BLOCK
+                    yield from rows_of(encode_blocks(ids[:whole]))
+                    waiting, held = [ids[whole:].tobytes()], held - whole
+        yield from rows_of(encode_blocks(np.frombuffer(b"".join(waiting), "<u4")))
         table = np.concatenate(docs_seen) if docs_seen else np.zeros(0, _DOC)
         tail = np.array([(at, TaskContext.get().partitionId(), len(blocks), len(table), MAGIC)], _TAIL)
         footer = np.array(blocks, _BLOCK).tobytes() + table.tobytes() + tail.tobytes()

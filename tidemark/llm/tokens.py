@@ -51,7 +51,7 @@ _WORD_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?%$&*#|]*)")
 # The byte-level alphabet: bytes that print stand for themselves, the others for 256, 257, ...
 _HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 _ALPHABET = {b: 256 + k for k, b in enumerate(_HIDDEN)}
-_KNOWN = 500_000
+_KNOWN = 250_000
 
 
 class WordEncoder(dict):
