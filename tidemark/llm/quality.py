@@ -28,6 +28,7 @@ from tidemark.session import cut_lineage
 
 SAMPLE = 20_000
 PREFIX = 5
+SITES_AT_ONCE = 200_000  # paths with their shifts that may be sent to every task (about 20 MB)
 _STRENGTH, _LEAST, _SHARE = 2.0, 6, 0.85  # a bad word: prior weight, least documents, least posterior share
 _LEXICON = 20_000
 
@@ -230,6 +231,8 @@ def keep_good(docs: DataFrame, model: Model, text_column: str = "text", host_col
     host, path = site_columns(name[host_column], name[path_column])
     odds = evidence(plain, model, name[text_column])
     priors = cut_lineage(site_priors(cut_lineage(plain.select(host, path, odds.alias("evidence")))))
+    if priors.count() <= SITES_AT_ONCE:  # then the texts stay where they are; else they travel by site, split where one is hot
+        priors = F.broadcast(priors)
     judged = plain.withColumns({"host": host, "path": path}).withColumn("evidence", odds).join(priors, ["host", "path"])
     good = 1 / (1 + F.exp(-(F.col("evidence") + F.col("shift")))) >= threshold
     return judged.where(good).select(*plain.columns).toDF(*columns)
