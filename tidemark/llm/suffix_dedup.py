@@ -33,7 +33,7 @@ from tidemark.session import cut_lineage, fresh_path
 
 CROWD = 1024
 _GRAM = 32
-_PIECE = 2 << 20
+_PIECE = 512 << 10
 # An anchor as it is kept with its text: 24 bytes.
 _PACKED = np.dtype([("name", "<i8"), ("class", "<i8"), ("at", "<u4"), ("low", "<u2"), ("high", "<u2")])
 _ANCHOR = "name bigint, class bigint, at bigint, low int, high int"
