@@ -58,3 +58,17 @@ def test_redaction(spark):
                                "doc_id long, text string, Text2 string")
     got = {r.doc_id: r.text for r in redact(df).collect()}
     assert got == {1: "a [secret] b", 2: None, 3: "clean"}
+
+
+def test_literals_that_base_spans_cover_in_part(spark):
+    lines = ['api_key = "AbCdEf123456$9!xYzQ7w"', 'secret_key = "Ab9-0123456789abcdef-Zq7!.."', 'password: "AKIAABCDEFGHIJKLMN#q8W!e7Rt6"',
+             "db_password = 'Qw3rTy7uIoP9@aSd5fGh1%kL'"]
+    literals = ["AbCdEf123456$9!xYzQ7w", "Ab9-0123456789abcdef-Zq7!..", "AKIAABCDEFGHIJKLMN#q8W!e7Rt6", "Qw3rTy7uIoP9@aSd5fGh1%kL"]
+    assert [lexed(t) for t in lines] == [[t] for t in literals]
+    assert lexed("\n".join(lines)) == literals
+    assert lexed('api_key = "AbCdEf123456xYzQ7w"') == []  # the assign span has all of it
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in redact(df).collect()}
+    assert got == {0: '[secret]"', 1: 'secret_key = "[secret]"', 2: '[secret]"', 3: "db_[secret]'"}
+    for r in scan_secrets(df).collect():
+        assert {(s.start, s.kind, s.end) for s in r.spans} >= set(plain(lines[r.doc_id]))

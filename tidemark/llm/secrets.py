@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -136,15 +137,33 @@ def lexed_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def find_secrets(text: str) -> list[tuple[int, str, int]]:
-    """Base spans, and lexed ones no base span overlaps, by start and then kind."""
+    """Base spans, and lexed ones that base spans do not cover whole, by start and then kind.
+
+    A lexed span may overlap base ones: a fixed pattern often ends inside the literal.
+    """
     base = base_spans(text)
+    starts, ends = _union(base)
     spans = list(base)
     for start, kind, end in lexed_spans(text):
-        if not any(s < end and start < e for s, _, e in base):
+        place = bisect_right(starts, start) - 1
+        if place < 0 or ends[place] < end:
             spans.append((start, kind, end))
     return sorted(set(spans), key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 
+def _union(spans: list[tuple[int, str, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover together; spans that touch are one."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, _, end in sorted(spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
