@@ -1,7 +1,10 @@
 """Base patterns against a plain reading of their definition; the lexer on small sources."""
 
 import hashlib
+import random
 import re
+import string
+import time
 
 from tidemark.llm.queries import op6_secrets
 from tidemark.llm.secrets import find_secrets, redact, scan_secrets
@@ -72,3 +75,27 @@ def test_literals_that_base_spans_cover_in_part(spark):
     assert got == {0: '[secret]"', 1: 'secret_key = "[secret]"', 2: '[secret]"', 3: "db_[secret]'"}
     for r in scan_secrets(df).collect():
         assert {(s.start, s.kind, s.end) for s in r.spans} >= set(plain(lines[r.doc_id]))
+
+
+def test_names_and_literals_of_any_length(spark):
+    rng = random.Random(7)
+    one, two = ("".join(rng.choices(string.ascii_letters + string.digits + "!#%&", k=n)) for n in (5000, 300_000))
+    dotted = "service." * 40_000 + "password"
+    texts = {f'private_key = "{one}"': [one], f"PRIVATE_KEY={two}\nx": [two], f"signing_key: '{two}'": [two],
+             f'private_key = "{one}" + "{two}"': [one, two], f"<privateKey>{two}</privateKey>": [two],
+             f'{dotted[:90]}.private_key = "{one}"': [one], f'{dotted}_salt_privatekey = "{one}"': [one],
+             f'first = "{two}"\n{dotted}.here = first': [two],  # the constant takes the long name's score
+             f"<{dotted}Key>{one}</{dotted}Key>": [one]}
+    assert [lexed(t) == want for t, want in texts.items()] == [True] * len(texts)
+    blob = "config = \"" + "word " * 2000 + "{'password': 'q8W!e7Rt6Yu5'}" + " word" * 2000 + "\""
+    assert lexed(blob) == ["q8W!e7Rt6Yu5"]  # a pair inside a long literal
+    (cut,) = redact(spark.createDataFrame([(1, f"PRIVATE_KEY={one}")], "doc_id long, text string")).collect()
+    assert cut.text == "PRIVATE_KEY=[secret]"
+
+
+def test_long_runs_are_scanned_in_linear_time():
+    began = time.monotonic()
+    for t in ("a" * 2_000_000, 'k = "' + "a" * 2_000_000, "k = '" + "b=" * 1_000_000, "<" + "a" * 2_000_000, "<a>" * 500_000,
+              "<a>" + "b" * 2_000_000, "a." * 1_000_000 + " " * 1_000_000 + "= ", 'k = "a" + "' + "c d " * 500_000):
+        lexed(t + "\nend: x")
+    assert time.monotonic() - began < 20

@@ -2,7 +2,7 @@
 
 Method: assignment-aware lexing.  Source and configuration lines are read as name-literal
 pairs: ``name = "literal"``, ``"name": "literal"``, ``name: literal``, ``export NAME=literal``,
-``<name>literal</name>`` and ``name="a" + "b"``.  A name bound to a literal is a constant;
+``<name>literal</name>`` and ``name="a" + "b"``, names and literals of any length.  A name bound to a literal is a constant;
 ``target = other_name`` passes the constant on, through any number of hops and without cycles.
 Each literal is scored by the most sensitive name it reaches and by how random it looks; those
 at ``THRESHOLD`` or more become spans of kind ``lexed``.
@@ -39,13 +39,14 @@ _NAME_SCORES = {
     "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6,
     "bearer": 0.8, "signature": 0.5, "salt": 0.5, "cert": 0.4, "key": 0.5, "dsn": 0.5, "conn": 0.3,
 }
-_NAME = r"[A-Za-z_][\w.-]{0,80}"
+# Possessive: no name or literal has a longest length, and none is scanned again after a mismatch.
+_NAME = r"[A-Za-z_][\w.-]*+"
 _PAIR = re.compile(
     rf"(?:^|[\s,;{{(\[<])(?:export\s+|const\s+|let\s+|var\s+|final\s+|static\s+)*"
     rf"(?P<q>[\"']?)(?P<name>{_NAME})(?P=q)\x20*(?P<op>:=|=>|=(?!=)|:(?!//))\x20*"
-    rf"(?:\"(?P<dq>[^\"\n]{{1,4096}})\"|'(?P<sq>[^'\n]{{1,4096}})'|(?P<bare>[^\s,;\"'{{}}()\[\]<>]{{1,4096}}))", re.M)
-_MORE = re.compile(r"\x20*[+.]\x20*(?:\"([^\"\n]{1,4096})\"|'([^'\n]{1,4096})')")
-_TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\s]{{1,4096}})</(?P=name)>")
+    rf"(?:\"(?P<dq>[^\"\n]++)\"|'(?P<sq>[^'\n]++)'|(?P<bare>[^\s,;\"'{{}}()\[\]<>]++))", re.M)
+_MORE = re.compile(r"\x20*[+.]\x20*(?:\"([^\"\n]++)\"|'([^'\n]++)')")
+_TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\s]++)</(?P=name)>")
 _HEX_BYTES = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 _IDENTIFIER = re.compile(_NAME)
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{?.*|%.*|your.*|example.*|changeme|none|null|true|false)$", re.I)
@@ -86,6 +87,14 @@ def randomness(literal: str) -> float:
     return min(1.0, bits / math.log2(min(n, 64))) * (0.55 + 0.15 * classes)
 
 
+def _pairs(text: str) -> Iterator[re.Match]:
+    """Name-literal pairs, also those inside a quoted literal: a text of any length may be one."""
+    at = 0
+    while m := _PAIR.search(text, at):
+        yield m
+        at = max(m.start("dq"), m.start("sq"), m.end() if m["bare"] is not None else -1)
+
+
 def lexed_spans(text: str) -> list[tuple[int, str, int]]:
     """Literals whose most sensitive target and own randomness together reach ``THRESHOLD``."""
     if "=" not in text and ":" not in text and "</" not in text:
@@ -93,28 +102,33 @@ def lexed_spans(text: str) -> list[tuple[int, str, int]]:
     constants: dict[str, list[tuple[int, int]]] = {}
     targets: dict[tuple[int, int], float] = {}
     links: list[tuple[str, str]] = []
+    scores: dict[str, float] = {}
 
     def bind(name: str, start: int, end: int) -> None:
+        if name not in scores:
+            scores[name] = name_score(name)
         constants.setdefault(name, []).append((start, end))
-        targets[start, end] = max(targets.get((start, end), 0.0), name_score(name))
+        targets[start, end] = max(targets.get((start, end), 0.0), scores[name])
 
-    for m in _PAIR.finditer(text):
+    for m in _pairs(text):
         kind = "dq" if m["dq"] is not None else "sq" if m["sq"] is not None else "bare"
+        name = m["name"]
         start, end = m.span(kind)
-        bind(m["name"], start, end)
+        bind(name, start, end)
         if kind == "bare":
             if _IDENTIFIER.fullmatch(m["bare"]):
-                links.append((m["name"], m["bare"]))
+                links.append((name, m["bare"]))
         else:
             more = _MORE.match(text, end + 1)
             while more:
-                bind(m["name"], *more.span(1 if more[1] is not None else 2))
+                bind(name, *more.span(1 if more[1] is not None else 2))
                 more = _MORE.match(text, more.end())
     for m in _TAG.finditer(text):
         bind(m["name"], *m.span("value"))
 
     # a name's score flows to the constants it was assigned from; each pass is one more hop
-    scores = {name: name_score(name) for name in {n for pair in links for n in pair} | constants.keys()}
+    for name in {n for pair in links for n in pair} - scores.keys():
+        scores[name] = name_score(name)
     for _ in range(len(links)):
         raised = False
         for target, source in links:
