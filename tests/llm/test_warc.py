@@ -75,3 +75,26 @@ def test_warc_files_are_well_formed(spark, tmp_path):
     assert records["2"][0]["warc-type"] == "response" and records["2"][1].endswith(b"\r\n\r\nsame")
     assert records["1"][0]["warc-refers-to"] == records["2"][0]["warc-record-id"]
     assert records["1"][0]["warc-refers-to-target-uri"] == "http://b/" and records["1"][1].endswith(b"\r\n\r\n")
+
+
+def test_long_urls_and_urls_like_a_file_description(spark, tmp_path):
+    long = "data:text/html," + "q" * 100_000
+    pages = [(1, long, "x" * 50), (2, "filedesc://a/b.arc", "one"), (3, f"http://h/?{long}", "0.0.0.0 20240101000000 t 5\n" * 9),
+             (4, "filedesc://1 0 URL", "1 0 tidemark\nURL IP-address Archive-date\n"), (5, f"filedesc://{long}", "x" * 50), (6, "http://u/", "u")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(1)
+    got = archive_pages(df, f"{tmp_path}/a", f"{tmp_path}/w").collect()
+    assert sorted(tuple(r)[:5] + (r.intact,) for r in got) == brute(pages)
+    assert {r.page_id: r.url for r in got} == {i: u.replace(" ", "%20") for i, u, _ in pages}
+
+
+def test_file_descriptions_in_joined_files():
+    parts, want = [], []
+    for version in "1212":
+        urls = [f"filedesc://{version}", "http://h/?" + "q" * 200_000, "filedesc://last"]
+        parts.append(arc.file_header("f", "20240101000000", version) + b"\n")
+        parts += [arc.record(u, "0.0.0.0", "20240101000000", "text/html", b"HTTP/1.1 200 OK\r\n\r\n1 0 x\n", version) + b"\n" for u in urls]
+        want += [(version, u) for u in urls]
+    for packed in (b"".join(parts), b"".join(map(gzip.compress, parts))):
+        assert [(r.version, r.url) for r in arc.parse(arc.inflate(packed))] == want
+    (alone,) = arc.parse(parts[1])
+    assert alone.url == "filedesc://1"

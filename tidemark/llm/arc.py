@@ -17,7 +17,7 @@ NAMES = {
     b"2": b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 _DATE = re.compile(rb"\d{14}|\d{12}|\d{10}|\d{8}")
-_LINE_LIMIT = 1 << 16
+_DESCRIBES = re.compile(rb"[12] \d+ [^\n]*\nURL IP-address ")
 
 
 @dataclass
@@ -66,21 +66,20 @@ def header_fields(line: bytes, version: bytes) -> dict[str, bytes] | None:
 def parse(data: bytes) -> Iterator[ArcRecord]:
     """Records of one file.  The ``filedesc`` record says which version's header lines follow.
 
-    A line that is no header (damage, or bytes beyond a length that was declared too short) is
-    skipped up to the next line that is one.  Files without ``filedesc`` are read by the
-    number of fields.
+    Header lines may have any length.  A line that is no header (damage, or bytes beyond a length
+    that was declared too short) is skipped up to the next line that is one.  Files without
+    ``filedesc`` are read by the number of fields.  A file description is the first record of a file,
+    unless that is an HTTP response, or, where files were joined, a later record whose body states
+    a version and its field names; other records whose URL begins with ``filedesc://`` are pages.
     """
     version, at, size = None, 0, len(data)
     while at < size:
-        stop = data.find(b"\n", at, at + _LINE_LIMIT)
+        stop = data.find(b"\n", at)
         if stop < 0:
-            stop = data.find(b"\n", at)
-            if stop < 0:
-                return
-            at = stop + 1
-            continue
+            return
         line = data[at:stop].rstrip(b"\r")
-        if line.startswith(b"filedesc://"):
+        about = line.startswith(b"filedesc://") and _describes(data, at, stop + 1)
+        if about:
             found = header_fields(line, b"1") or header_fields(line, b"2")
         elif version:
             found = header_fields(line, version)
@@ -91,7 +90,7 @@ def parse(data: bytes) -> Iterator[ArcRecord]:
             continue
         start = stop + 1
         end = start + int(found["length"])
-        if line.startswith(b"filedesc://"):
+        if about:
             version = data[start:start + 1] if data[start:start + 1] in FIELDS else b"1"
         else:
             own = version or (b"2" if "result" in found else b"1")
@@ -101,6 +100,11 @@ def parse(data: bytes) -> Iterator[ArcRecord]:
         at = end
 
 
+def _describes(data: bytes, at: int, start: int) -> bool:
+    """Whether the ``filedesc`` record at ``at``, with its body at ``start``, is a file description."""
+    return bool(_DESCRIBES.match(data, start)) or at == 0 and not data.startswith(b"HTTP/", start)
+
+
 def file_header(name: str, date: str, version: str) -> bytes:
     """The ``filedesc`` record without the line feed that ends it."""
     key = version.encode()

@@ -79,7 +79,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", id_colu
         if head:
             yield pa.RecordBatch.from_arrays([pa.array(head, pa.binary())], ["value"])
 
-    _write(_even(rows, F.length("payload"), FILE_BYTES).mapInArrow(run, "value binary"), path, "\n")
+    _write(_even(rows, F.length("payload") + F.octet_length("url"), FILE_BYTES).mapInArrow(run, "value binary"), path, "\n")
 
 
 # --- ARC to WARC ---------------------------------------------------------------------
