@@ -8,6 +8,9 @@ path toward its host, the more the fewer documents it has.  How strongly is itse
 how far hosts and paths differ (method of moments).  A document's posterior log-odds are its evidence
 plus what its path's share differs from the global one.
 
+``documents`` has no URL: by default ``source`` is taken for the host and ``lang`` stands in for the
+path level, so what is called a path's share there is that of a source's documents in one language.
+
 The model is fitted on a bounded sample of labelled rows (``sample``, chosen by a hash of the id);
 everything else covers all documents.
 """
@@ -210,6 +213,7 @@ def classify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
              host_column: str = "source", path_column: str = "lang", threshold: float = 0.5) -> DataFrame:
     """id, host, path, evidence, score (posterior that the document is good), keep per input row.
 
+    By default ``source`` is the host and ``lang`` stands in for the path, as ``documents`` has no URL.
     A null text is empty and judged as such; a null host or path is a site of its own.
     Repeated rows and null ids are judged row by row and count for their site.
     """
