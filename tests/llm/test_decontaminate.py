@@ -3,7 +3,7 @@
 import hashlib
 import re
 
-from tidemark.llm.decontaminate import find_contamination, hit_words
+from tidemark.llm.decontaminate import benchmark_blocks, find_contamination, hit_words
 from tidemark.llm.queries import op5_decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -62,3 +62,18 @@ def test_edges_and_blocks(spark):
         assert sorted(rows, key=str) == want
     assert find_contamination(docs.limit(0), items).count() == 0
     assert all(not r.hit for r in find_contamination(docs, items.limit(0)).collect())
+
+
+def test_a_long_item_spans_blocks(spark):
+    long = " ".join(f"w{i}" for i in range(400))
+    items = [(1, long), (2, " ".join(long.split()[100:300])), (3, "w5 w6")]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(benchmark_blocks(df, 10, 150, "item_id", "text"))
+    assert max(sum(map(len, b.owners)) for b in blocks) <= 150
+    pairs = [(t, b.items[i]) for b in blocks for t, o in zip(b.texts, b.owners) for i in o]
+    assert len(pairs) == len(set(pairs)) == 391 + 191 + 1
+    docs = [(1, long), (2, long[600:1400]), (3, "w4 w5 w6 w7"), (4, "none of it")]
+    got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), df, block_windows=150)
+    rows = [(r.doc_id, r.n_words, r.n, len(r.items), hashlib.sha256(",".join(r.items).encode()).hexdigest(), r.n > 0)
+            for r in got.withColumn("n", hit_words()).collect()]
+    assert sorted(rows) == sorted(brute(docs, items))

@@ -57,7 +57,10 @@ class Prefixes:
 
 def benchmark_blocks(benchmark: DataFrame, window: int, block_windows: int, id_column: str,
                      text_column: str) -> Iterator[Block]:
-    """Blocks of windows; items stream to the driver a block at a time."""
+    """Blocks of at most ``block_windows`` windows with their owners; an item may go on in the next block.
+
+    Items stream to the driver one by one.
+    """
     rows = (benchmark.select(F.col(f"`{id_column}`").cast("string").alias("id"),
                              F.col(f"`{text_column}`").cast("string").alias("text"))
                      .where("id IS NOT NULL AND text IS NOT NULL").dropDuplicates().toLocalIterator())
@@ -65,13 +68,14 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_windows: int, id_c
     seen: dict[bytes, int] = {}
     words_of: list[np.ndarray] = []
     owners: list[list[int]] = []
+    held = 0  # pairs of a window and an owner in the block
 
     def block() -> Block:
         lengths = np.array([len(w) for w in words_of], np.int64)
         hashes = np.zeros((len(words_of), window), np.uint64)
         for k, w in enumerate(words_of):
             hashes[k, :len(w)] = w
-        return Block(list(items), lengths, hashes, list(seen), [sorted(set(o)) for o in owners])
+        return Block(list(items), lengths, hashes, list(seen), [list(o) for o in owners])
 
     for row in rows:
         data = np.frombuffer(row.text.encode("utf-8", "replace"), np.uint8)
@@ -83,15 +87,19 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_windows: int, id_c
         items.append(row.id)
         n = min(window, len(words))
         for at in range(len(words) - n + 1):
+            if held >= block_windows:
+                yield block()
+                for kept in (items, seen, words_of, owners):
+                    kept.clear()
+                held = 0
+                items.append(row.id)
             k = seen.setdefault(b" ".join(words[at:at + n]), len(seen))
             if k == len(words_of):
                 words_of.append(code[at:at + n])
                 owners.append([])
-            owners[k].append(len(items) - 1)
-        if len(seen) >= block_windows:
-            yield block()
-            for kept in (items, seen, words_of, owners):
-                kept.clear()
+            if not owners[k] or owners[k][-1] != len(items) - 1:
+                owners[k].append(len(items) - 1)
+                held += 1
     if seen:
         yield block()
 
