@@ -86,7 +86,7 @@ def find_words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple
     while low < size:
         high = min(size, low + _PIECE)
         while high < size:
-            back = np.flatnonzero(~table[data[low:high]])
+            back = np.flatnonzero(~table[LOWER[data[low:high]]])  # a capital is part of a word
             if len(back):
                 high = low + int(back[-1]) + 1
                 break
