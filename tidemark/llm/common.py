@@ -18,6 +18,19 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+def pick(df: DataFrame, **wanted: str) -> DataFrame:
+    """Columns by their exact names, under new names; others may differ from them in case only."""
+    columns = df.columns
+    places = {}
+    for new, old in wanted.items():
+        same = [i for i, c in enumerate(columns) if c == old] or [i for i, c in enumerate(columns) if c.lower() == old.lower()]
+        if not same:
+            raise ValueError(f"no column {old!r} among {columns}")
+        places[new] = same[0]
+    plain = df.toDF(*[f"c{i}" for i in range(len(columns))])
+    return plain.select(*[F.col(f"c{i}").alias(new) for new, i in places.items()])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt evenly when the input has fewer splits than the session has cores.
 
@@ -46,21 +59,28 @@ FILTER_BITS = 25
 def only_keys(rows: DataFrame, keys: DataFrame, column: str, flag: str | None = None) -> DataFrame:
     """Rows whose whole number ``column`` may be among ``keys``' ones: a filter ahead of a shuffle.
 
-    With ``flag`` all rows stay and that column says which may be.
-
-    The keys become a bitmap of 2 ** FILTER_BITS bits (4 MB), whatever their number; it is put together
-    as at most 2 ** 19 words.  Rows that pass by chance are left to the join that follows.
+    With ``flag`` all rows stay and that column says which may be.  Rows that pass by chance are
+    left to the join that follows.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(key_bitmap(keys, column))
+
+    @F.pandas_udf("boolean")
+    def passes(values: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(shared.value, values.to_numpy()))
+
+    return rows.withColumn(flag, passes(column)) if flag else rows.where(passes(column))
+
+
+def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of 2 ** FILTER_BITS bits (4 MB) whatever the number of keys, put together as at most 2 ** 19 words."""
     bit = F.pmod(F.col(column), F.lit(1 << FILTER_BITS))
     words = (keys.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) AS int))").alias("bit"))
                  .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
     bitmap = np.zeros(1 << FILTER_BITS - 6, np.uint64)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    return bitmap
 
-    @F.pandas_udf("boolean")
-    def passes(values: pd.Series) -> pd.Series:
-        place = np.mod(values.to_numpy(), 1 << FILTER_BITS)
-        return pd.Series(shared.value[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1) == 1)
 
-    return rows.withColumn(flag, passes(column)) if flag else rows.where(passes(column))
+def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = np.mod(values.view(np.int64), 1 << FILTER_BITS)
+    return bitmap[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1) == 1
