@@ -68,3 +68,66 @@ s AS (SELECT k, r, CAST(sum(q * w * (1000000000 * tf // (1000 * tf + 8 * (100 -
 o AS (SELECT k, doc_id, score, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS rank
       FROM s JOIN docs USING (r) WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o JOIN i USING (k) WHERE rank <= 10"""
+
+
+# entries {c cost, a audit, r repaired rows} of four states: start, behind s, behind u, behind a
+_FAR = "{'c': 1000000000, 'a': '', 'r': ''}"
+
+
+def _edit(entry: str, cost: str, edit: str, row: str | None) -> str:
+    rows = f"{entry}.r" if row is None else f"{entry}.r || CASE WHEN {entry}.r = '' THEN '' ELSE chr(10) END || {row}"
+    return f"CASE WHEN {entry}.c >= 1000000000 THEN {_FAR} ELSE {{'c': {entry}.c + {cost}, 'a': {entry}.a || '{edit}', 'r': {rows}}} END"
+
+
+def _inserted(name: str, source: str, keep: str) -> str:
+    user = ", ".join(_edit(e, "5", "I", "'user:'") for e in ("e0", "e1", "e3"))
+    return f"""{name} AS (SELECT {keep}, e0, e1, least(e2, {user}) AS e2, least(e3, {_edit("e2", "5", "I", "'assistant:'")}) AS e3 FROM {source})"""
+
+
+def _rows(states: tuple[int, ...], kinds: str, role: str, cost: str, edit: str) -> str:
+    return ", ".join(f"CASE WHEN {kinds} THEN {_edit(f'e{p}', cost, edit, f'{role} || chr(58) || text')} ELSE {_FAR} END" for p in states)
+
+
+_KEPT, _GOOD = "(5 * CAST(fault = 3 AS INTEGER))", "fault IN (0, 3)"
+
+CONVERSATIONS = f"""WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+      string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+      lambda ch: list_transform(range(8), lambda b: CAST(ascii(ch) >> b & 1 AS BIGINT))))),
+      lambda c, b: CASE WHEN (c & 1) <> b THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS crc FROM conversations),
+h AS (SELECT *, xor(crc, 4294967295::BIGINT) % 20 AS kind FROM o),
+d0 AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM h WHERE kind <> 0
+  UNION ALL SELECT conv_id, turn, role, text FROM h WHERE kind = 3),
+d1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS k,
+  count(*) OVER (PARTITION BY conv_id) AS n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS tail FROM d0),
+d2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS seen, substr(role, 1, 1) AS initial FROM d1),
+d AS (SELECT *, CASE WHEN tail = '' THEN 1 WHEN seen > 1 THEN 2 WHEN right(tail, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM d2),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS k, {{'c': 0, 'a': '', 'r': ''}} AS e0, {_FAR} AS e1, {_FAR} AS e2, {_FAR} AS e3
+  FROM (SELECT DISTINCT conv_id FROM d)
+  UNION ALL (
+  WITH {_inserted("i1", "walk", "conv_id, k")}, {_inserted("i2", "i1", "conv_id, k")},
+  r AS (SELECT i2.conv_id, d.k, e0, e1, e2, e3, fault, initial, role, text
+        FROM i2 JOIN d ON d.conv_id IS NOT DISTINCT FROM i2.conv_id AND d.k = i2.k + 1)
+  SELECT conv_id, k, {_edit("e0", "2", "D", None)},
+    least({_edit("e1", "2", "D", None)}, {_rows((0,), f"{_GOOD} AND initial = 's'", "role", _KEPT, "K")}),
+    least({_edit("e2", "2", "D", None)}, {_rows((0, 1, 3), f"{_GOOD} AND initial = 'u'", "role", _KEPT, "K")},
+          {_rows((0, 1, 3), _GOOD, "'user'", f"1 + {_KEPT}", "R")}),
+    least({_edit("e3", "2", "D", None)}, {_rows((2,), f"{_GOOD} AND initial = 'a'", "role", _KEPT, "K")},
+          {_rows((2,), _GOOD, "'assistant'", f"1 + {_KEPT}", "R")})
+  FROM r)),
+lastrow AS (SELECT walk.* FROM walk JOIN (SELECT conv_id, max(k) AS k FROM d GROUP BY conv_id) m
+            ON m.conv_id IS NOT DISTINCT FROM walk.conv_id AND m.k = walk.k),
+{_inserted("f1", "lastrow", "conv_id")}, {_inserted("f2", "f1", "conv_id")},
+ends AS (SELECT conv_id, least(e0, e3) AS e FROM f2),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM d GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(e.c, 0) AS BIGINT) AS cost, coalesce(e.a, '') AS audit,
+  sha256(coalesce(e.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends x ON x.conv_id IS NOT DISTINCT FROM c.conv_id"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import oracles
 from tidemark.llm.common import table
+from tidemark.llm.conversations import repair_report
 from tidemark.llm.decontaminate import find_contamination, hit_words
 from tidemark.llm.lexical import rank_documents
 from tidemark.llm.neardup import find_duplicates
@@ -83,8 +84,12 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_token_counts, op4_warc, op5_decontamination, op6_secrets, op7_token_files, op8_packing,
-                               op9_suffix_dedup, op10_quality, op11_lexical)}
+                               op9_suffix_dedup, op10_quality, op11_lexical, op13_conversations)}
 # the others need a tokenizer, a fitted model or, for op6, a lexer; op9's windows are too many for SQL on whole tables
 ORACLES: dict[str, str] = {"op1_topk": oracles.TOPK, "op2_neardup": oracles.NEARDUP, "op4_warc": oracles.WARC,
-                           "op5_decontamination": oracles.DECONTAMINATION, "op11_lexical": oracles.LEXICAL}
+                           "op5_decontamination": oracles.DECONTAMINATION, "op11_lexical": oracles.LEXICAL, "op13_conversations": oracles.CONVERSATIONS}
