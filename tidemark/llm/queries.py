@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import oracles
+from tidemark.llm import oracles, toxicity
 from tidemark.llm.common import table
 from tidemark.llm.conversations import repair_report
 from tidemark.llm.decontaminate import find_contamination, hit_words
@@ -84,12 +84,19 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                        F.size("passages").alias("n_passages"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (op1_topk, op2_neardup, op3_token_counts, op4_warc, op5_decontamination, op6_secrets, op7_token_files, op8_packing,
-                               op9_suffix_dedup, op10_quality, op11_lexical, op13_conversations)}
+                               op9_suffix_dedup, op10_quality, op11_lexical, op12_toxicity, op13_conversations)}
 # the others need a tokenizer, a fitted model or, for op6, a lexer; op9's windows are too many for SQL on whole tables
 ORACLES: dict[str, str] = {"op1_topk": oracles.TOPK, "op2_neardup": oracles.NEARDUP, "op4_warc": oracles.WARC,
                            "op5_decontamination": oracles.DECONTAMINATION, "op11_lexical": oracles.LEXICAL, "op13_conversations": oracles.CONVERSATIONS}
