@@ -169,3 +169,81 @@ def test_search_space_forms():
     assert bt.candidates({"order": {"p": 1, "d": 0, "q": 2}}) == [{"order": (1, 0, 2)}]
     assert bt.candidates({"order": [(1, 0, 0), (0, 1, 1)]}) == [{"order": (1, 0, 0)}, {"order": (0, 1, 1)}]
     assert len(bt.candidates({"max_depth": [3, 5], "n_estimators": [10, 20]})) == 4
+
+
+@pytest.mark.parametrize("plan", [bt.FoldPlan(3, 11, 14), bt.FoldPlan(40, 7, 5), bt.FoldPlan(1, 3, 14, 3)])
+@pytest.mark.parametrize("name,params", [("theta", {}), ("theta", {"seasonal": False, "alpha": 0.5}), ("npts", {}), ("npts", {"decay": 0.3}),
+                                         ("ets", {}), ("ets", {"rates": (0.2, 0.7)})])
+def test_all_folds_at_once_equal_folds_on_their_own(uneven, name, params, plan):
+    """Every fold forecast from a copy of its own history gives the same."""
+    model = make(name, params=params, horizon=plan.horizon)
+    got = {(r[ITEM], r["fold"], r["h"]): r[HAT] for r in bt.rolling_backtest(uneven, model, plan).collect()}
+    own = F.concat(F.col(ITEM), F.lit(bt._MARK), F.col("fold").cast("string"))
+    history = bt.train_rows(bt.index_rows(uneven), plan).withColumn(ITEM, own)
+    alone = {(r[ITEM], r["fold"], r["h"]): r[HAT] for r in bt._split_name(model.forecast(history.select(ITEM, TS, Y), plan.horizon)).collect()}
+    assert got and got.keys() <= alone.keys()
+    for k, v in got.items():
+        assert (v is None and alone[k] is None) or v == pytest.approx(alone[k], rel=1e-9, abs=1e-9)
+
+
+def test_smoothing_carries_its_state_across_batches(spark, uneven):
+    want = {(r[ITEM], r["fold"], r["h"]): r[HAT] for r in bt.rolling_backtest(uneven, make("ets", horizon=7), bt.FoldPlan(20, 9, 7)).collect()}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        again = bt.rolling_backtest(uneven, make("ets", horizon=7), bt.FoldPlan(20, 9, 7)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {(r[ITEM], r["fold"], r["h"]): r[HAT] for r in again} == want
+
+
+def test_smoothing_passes_over_missing_values():
+    from tidemark.models.ets import Smoother, smoothed
+    states = Smoother(1, (0.5,))
+    for v in (4.0, float("nan"), 8.0):
+        states.push(v)
+    assert states.forecast(1)[0] in (6.0, pytest.approx(6.0 + 0.5 * 2.0))
+    import numpy as np
+    assert np.isfinite(smoothed(np.array([1.0, np.nan] * 20), 7, 5)).all() and smoothed(np.zeros(0), 7, 2).tolist() == [0, 0]
+
+
+def test_candidates_are_rows_of_one_search(spark, uneven):
+    plan = bt.FoldPlan(60, 14, 7)
+    space = [{"order": "broken"}, {"order": (0, 1, 0)}, {"order": (0, 1, 0)}, {"order": (1, 0, 0)}]
+    found = bt.grid_search(uneven, "arima", space, plan)
+    board = {r["candidate"]: r for r in found.board.collect()}
+    assert board[0]["error"] and board[0]["rank"] is None
+    assert board[1]["rmse"] == board[2]["rmse"] and board[2]["rank"] == board[1]["rank"] + 1  # the first of equals
+    best = min((k for k in board if board[k]["rank"] == 1))
+    alone = bt.rolling_backtest(uneven, make("arima", params=found.params, horizon=7), plan)
+    assert rmse(alone) == pytest.approx(board[best]["rmse"]) and found.backtest.count() == alone.count()
+    plain = bt.grid_search(uneven, "seasonal_naive", {"season": [1, 7]}, plan)
+    assert plain.params == {"season": 7} and [s["error"] for s in plain.scores] == [None, None]
+    trees = bt.grid_search(uneven, "rf", {"n_estimators": [2], "max_depth": [2, 31]}, bt.FoldPlan(60, 14, 7, 1), features=SMALL)
+    assert trees.params["max_depth"] == 2 and trees.scores[1]["error"]
+
+
+def test_a_slow_model_ends_at_the_time_limit(spark, uneven, monkeypatch):
+    import time
+
+    from tidemark.models.registry import MODELS
+    from tidemark.models.theta import Theta
+
+    class Slow(Theta):
+        name = "slow"
+
+        def forecast_folds(self, indexed, plan):
+            def wait(batches):
+                for batch in batches:
+                    time.sleep(60)
+                    yield batch
+            made = super().forecast_folds(indexed, plan)
+            return made.mapInArrow(wait, made.schema)
+
+    monkeypatch.setitem(MODELS, "slow", Slow)
+    start = time.monotonic()
+    board = bt.leaderboard(uneven, ["seasonal_naive", "slow", "npts"], bt.FoldPlan(1, 1, 14, 1), "smape", time_limit=8.0)
+    assert time.monotonic() - start < 30
+    errors = {r["model"]: r["error"] for r in board.rows}
+    assert "time limit" in errors["slow"] and errors["seasonal_naive"] is None and errors["npts"] is None
+    assert set(board.backtests) == {board.rows[0]["model"]} and uneven.count() == 330  # others' jobs go on

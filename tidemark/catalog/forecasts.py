@@ -155,14 +155,95 @@ def ljung_box(spark, d):
         UNION ALL SELECT 7, round(sqrt(avg((y - y_hat) ** 2)), 6) FROM bt)
   SELECT season, rmse, rmse = (SELECT min(rmse) FROM s) AS best FROM s""")
 def grid_select(spark, d):
-    """Naive forecasts with two seasons, the better one marked."""
-    m = shipments(spark, d).persist()
-    scores = []
-    for season in (1, 7):
-        b = bt.rolling_backtest(m, make("seasonal_naive", season=season, horizon=HORIZON), _PLAN)
-        scores.append(b.agg(F.lit(season).alias("season"), *evaluate.error_columns()).select("season", r("rmse").alias("rmse")))
-    table = scores[0].unionAll(scores[1])
-    return table.withColumn("best", F.col("rmse") == table.agg(F.min("rmse")).scalar())
+    """Search over naive forecasts with two seasons."""
+    found = bt.grid_search(shipments(spark, d), "seasonal_naive", {"season": [1, 7]}, _PLAN)
+    season = F.get_json_object("params", "$.season").cast("int")
+    return found.board.select(season.alias("season"), r("rmse").alias("rmse"), (F.col("rank") == 1).alias("best"))
+
+
+# every cut-off of every item: number of rows before it
+_CUTS = f"""{SHIPMENTS}, fd AS (SELECT item_id, max(n) AS n FROM mi GROUP BY 1),
+  ct AS (SELECT item_id, fold, {INITIAL} + fold * {STEP} AS cut FROM (
+    SELECT item_id, unnest(range(0, (n - {HORIZON} - {INITIAL}) // {STEP} + 1)) AS fold FROM fd WHERE n >= {INITIAL + HORIZON}))"""
+_TRUTH = f"""tr AS (SELECT ct.item_id, fold, cut, ts, rn - cut + 1 AS h, y FROM ct JOIN mi ON mi.item_id = ct.item_id
+    AND rn >= cut AND rn < cut + {HORIZON})"""
+
+
+@register("arima_grid", f"""WITH {_CUTS}, {_TRUTH}, w AS (SELECT *, y - lag(y) OVER (PARTITION BY item_id ORDER BY rn) AS w FROM mi),
+  f AS (SELECT ct.item_id, fold, avg(y) FILTER (rn >= 3) AS mean, avg(w) FILTER (rn >= 4) AS drift, max(y) FILTER (rn = cut - 1) AS y
+        FROM ct JOIN w ON w.item_id = ct.item_id AND rn < cut GROUP BY ALL),
+  s AS (SELECT sqrt(avg((tr.y - mean) ** 2)) AS flat, sqrt(avg((tr.y - f.y - h * drift) ** 2)) AS walk FROM tr JOIN f USING (item_id, fold))
+  SELECT 0 AS candidate, CASE WHEN flat <= walk THEN 1 ELSE 2 END AS rank, round(flat, 3) AS rmse, false AS failed FROM s
+  UNION ALL SELECT 1, CASE WHEN flat <= walk THEN 2 ELSE 1 END, round(walk, 3), false FROM s
+  UNION ALL SELECT 2, NULL, NULL, true FROM s""")
+def arima_grid(spark, d):
+    """Three ARIMA candidates as rows of one job, all folds; the last one has no valid order."""
+    space = [{"order": (0, 0, 0)}, {"order": (0, 1, 0)}, {"order": "none"}]
+    found = bt.grid_search(shipments(spark, d), "arima", space, _PLAN)
+    return found.board.select("candidate", "rank", r("rmse", 3).alias("rmse"), F.col("error").isNotNull().alias("failed"))
+
+
+def _fold_query(name, params=None, digits=6):
+    def run(spark, d):
+        made = bt.rolling_backtest(shipments(spark, d), make(name, params=params or {}, horizon=HORIZON), _PLAN)
+        return rounded(made.select(ITEM, bt.FOLD, TS, "h", HAT), digits)
+    return run
+
+
+def _fold_sql(forecast, digits=6):
+    return f"""SELECT tr.item_id, tr.fold::INTEGER AS fold, tr.ts AS "timestamp", tr.h::INTEGER AS h, round({forecast}, {digits}) AS y_hat"""
+
+
+_NPTS_AT = """sp AS (SELECT ct.item_id, fold, rn % 7 AS phase, sum(power(0.9, (cut - 1 - rn) // 7) * y) / sum(power(0.9, (cut - 1 - rn) // 7)) AS y_hat
+    FROM ct JOIN mi ON mi.item_id = ct.item_id AND rn < cut GROUP BY ALL)"""
+QUERIES["npts_backtest"] = _fold_query("npts")
+ORACLES["npts_backtest"] = f"""WITH {_CUTS}, {_TRUTH}, {_NPTS_AT}
+  {_fold_sql("sp.y_hat")} FROM tr JOIN sp ON sp.item_id = tr.item_id AND sp.fold = tr.fold AND sp.phase = (cut - 1 + h) % 7"""
+
+_THETA_AT = """tp AS (SELECT ct.item_id, fold, cut, rn, y, rn % 7 AS phase,
+    avg(y) OVER (PARTITION BY ct.item_id, fold, rn % 7) - avg(y) OVER (PARTITION BY ct.item_id, fold) AS s
+    FROM ct JOIN mi ON mi.item_id = ct.item_id AND rn < cut),
+  tl AS (SELECT item_id, fold, cut, regr_slope(y - s, rn) AS b, regr_intercept(y - s, rn) AS a, max(y - s) FILTER (rn = 0) AS v0
+         FROM tp GROUP BY ALL),
+  tz AS (SELECT item_id, fold, max(tl.a) AS a, max(tl.b) AS b,
+           sum(0.2 * power(0.8, tp.cut - 1 - rn) * (2 * (y - s) - (tl.a + tl.b * rn))) + max(power(0.8, tp.cut) * (2 * v0 - tl.a)) AS level
+         FROM tp JOIN tl USING (item_id, fold) GROUP BY ALL),
+  ts AS (SELECT item_id, fold, phase, max(s) AS s FROM tp GROUP BY ALL)"""
+_THETA_HAT = "(tz.a + tz.b * (cut - 1 + h) + tz.level) / 2 + ts.s"
+_THETA_FROM = """FROM tr JOIN tz USING (item_id, fold)
+  JOIN ts ON ts.item_id = tr.item_id AND ts.fold = tr.fold AND ts.phase = (cut - 1 + h) % 7"""
+QUERIES["theta_backtest"] = _fold_query("theta")
+ORACLES["theta_backtest"] = f"""WITH {_CUTS}, {_TRUTH}, {_THETA_AT} {_fold_sql(_THETA_HAT)} {_THETA_FROM}"""
+
+# level and trend at rate 0.3 or no trend rate, season at 0.3; the one of less one-step error answers
+QUERIES["ets_backtest"] = _fold_query("ets", {"rates": (0.3,)}, 4)
+ORACLES["ets_backtest"] = f"""WITH RECURSIVE {_CUTS}, {_TRUTH},
+  e0 AS (SELECT item_id, list(y ORDER BY rn) FILTER (rn < 7) AS a, avg(y) FILTER (rn < 7) AS la,
+           avg(y) FILTER (rn >= 7 AND rn < 14) AS lb FROM mi GROUP BY 1),
+  st AS (SELECT item_id, 6::BIGINT AS rn, b, la AS level, (lb - la) / 7 AS slope, list_transform(a, lambda v: v - la) AS season, 0.0::DOUBLE AS err
+         FROM e0, (SELECT unnest([0.0, 0.3])::DOUBLE AS b)
+    UNION ALL SELECT item_id, rn, b, l, b * (l - level) + (1 - b) * slope,
+      list_concat(list_concat(season[1:rn % 7], [0.3 * (y - l) + 0.7 * s]), season[rn % 7 + 2:7]), err + (y - level - slope - s) ** 2
+    FROM (SELECT st.item_id, mi.rn, b, level, slope, season, err, y, season[mi.rn % 7 + 1] AS s,
+            0.3 * (y - season[mi.rn % 7 + 1]) + 0.7 * (level + slope) AS l
+          FROM st JOIN mi ON mi.item_id = st.item_id AND mi.rn = st.rn + 1)),
+  pk AS (SELECT ct.item_id, fold, cut, level, slope, season FROM ct JOIN st ON st.item_id = ct.item_id AND st.rn = cut - 1
+         QUALIFY row_number() OVER (PARTITION BY ct.item_id, fold ORDER BY err, b) = 1)
+  {_fold_sql("level + slope * h + season[(pk.cut - 1 + h) % 7 + 1]", 4)} FROM tr JOIN pk USING (item_id, fold)"""
+
+_LAST = f"""{SHIPMENTS}, ct AS (SELECT item_id, 0 AS fold, max(n) - {HORIZON} AS cut FROM mi GROUP BY 1), {_TRUTH}, {_NPTS_AT}, {_THETA_AT},
+  al AS (SELECT 'seasonal_naive' AS model, tr.y, b.y AS y_hat FROM tr JOIN mi b ON b.item_id = tr.item_id AND b.rn = cut - 7 + (h - 1) % 7
+    UNION ALL SELECT 'npts', tr.y, y_hat FROM tr JOIN sp ON sp.item_id = tr.item_id AND sp.phase = (cut - 1 + h) % 7
+    UNION ALL SELECT 'theta', tr.y, {_THETA_HAT} {_THETA_FROM})"""
+
+
+@register("leaderboard_exact", f"""WITH {_LAST}, e AS (SELECT model, count(*) AS n, sqrt(avg((y - y_hat) ** 2)) AS rmse, avg(abs(y - y_hat)) AS mae,
+    avg(2 * abs(y_hat - y) / (abs(y) + abs(y_hat) + 1e-8)) AS smape FROM al GROUP BY 1)
+  SELECT row_number() OVER (ORDER BY smape)::INTEGER AS rank, model, round(smape, 6) AS score, round(rmse, 6) AS rmse, round(mae, 6) AS mae FROM e""")
+def leaderboard_exact(spark, d):
+    """Three models that SQL can follow, ranked on the last rows of every item."""
+    board = bt.leaderboard(shipments(spark, d), ["theta", "npts", "seasonal_naive"], bt.FoldPlan(1, 1, HORIZON, 1), "smape").table
+    return rounded(board.select("rank", "model", "score", "rmse", "mae"))
 
 
 # --- models with a SQL twin ----------------------------------------------------------

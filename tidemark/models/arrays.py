@@ -1,4 +1,4 @@
-"""Models that read a whole gridded series: exponential smoothing and ARIMA-type regression.
+"""Models that read a whole gridded series: ARIMA-type regression.
 
 One row per item carries the series as an array (bounded by the calendar, see
 ``operators.series``); a pandas UDF forecasts every asked cut-off of every item in the batch,
@@ -7,8 +7,6 @@ so a backtest with many folds is still one pass over the items.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import calendar_columns
 from tidemark.models.base import HAT, ITEM, STEP, TS, Forecaster
+from tidemark.models.ets import smoothed
 from tidemark.operators.future import expand_future, repeat_last_covariates
 from tidemark.operators.series import Y, series_arrays
 
@@ -43,12 +42,12 @@ class ArrayForecaster(Forecaster):
         grid = expand_future(made.select(ITEM, "last_ts", F.col("made")[0].alias("v")), horizon, self.freq)
         return grid.select(ITEM, TS, STEP, F.element_at("v", F.col(STEP)).alias(HAT))
 
-    def forecast_folds(self, indexed: DataFrame, cutoffs, horizon: int) -> DataFrame:
-        """(item, fold, h, y_hat): ``cutoffs`` is an array column of training lengths."""
-        cuts = indexed.groupBy(ITEM).agg(F.first(cutoffs).alias("cuts"))
-        packed = series_arrays(self.with_inputs(indexed), [Y, "x"]).join(cuts, ITEM)
-        made = packed.where(F.size("cuts") > 0).select(
-            ITEM, F.posexplode(self.udf(horizon)(F.col(Y), F.col("x"), F.col("cuts"))).alias("fold", "v"))
+    def forecast_folds(self, indexed: DataFrame, plan) -> DataFrame:
+        """(item, fold, h, y_hat) for all cut-offs."""
+        made = candidate_folds(indexed, plan, [(0, self)])
+        failed = made.where(F.col("error").isNotNull()).select("error").first()
+        if failed:
+            raise ValueError(failed["error"])
         return made.select(ITEM, "fold", F.posexplode("v").alias("h0", HAT)).select(
             ITEM, "fold", (F.col("h0") + 1).alias(STEP), HAT)
 
@@ -72,45 +71,37 @@ class ArrayForecaster(Forecaster):
         return run
 
 
-# --- exponential smoothing -----------------------------------------------------------
-
-_RATES = (0.1, 0.3, 0.6)
-
-
-def smooth(y: np.ndarray, m: int, horizon: int, rates=_RATES) -> np.ndarray:
-    """Additive Holt-Winters; all rate triples run side by side, the best one-step fit wins."""
-    y = np.nan_to_num(y, nan=float(np.nanmean(y)) if np.isfinite(y).any() else 0.0)
-    n = len(y)
-    if n == 0:
-        return np.zeros(horizon)
-    if n < 2 * m or m < 2:
-        m = 1
-    grid = np.array(list(itertools.product(rates, (0.0, *rates[:2]), rates if m > 1 else (0.0,))))
-    a, b, g = grid.T
-    level = np.full(len(grid), y[:m].mean())
-    slope = np.full(len(grid), (y[m:2 * m].mean() - y[:m].mean()) / m if n >= 2 * m and m > 1 else 0.0)
-    season = np.tile((y[:m] - y[:m].mean())[:, None], (1, len(grid))) if m > 1 else np.zeros((1, len(grid)))
-    error = np.zeros(len(grid))
-    for t in range(m if m > 1 else 1, n):
-        s = season[t % m]
-        miss = y[t] - (level + slope + s)
-        error += miss * miss
-        before = level
-        level = a * (y[t] - s) + (1 - a) * (level + slope)
-        slope = b * (level - before) + (1 - b) * slope
-        season[t % m] = g * (y[t] - level) + (1 - g) * s if m > 1 else 0.0
-    k = int(np.argmin(error))
-    steps = np.arange(1, horizon + 1)
-    return level[k] + slope[k] * steps + season[(n - 1 + steps) % m, k]
-
-
-class Ets(ArrayForecaster):
-    name = "ets"
-    allowed = ("rates",)
-
-    def step_function(self):
-        m, rates = self.season, tuple(self.params.get("rates", _RATES))
-        return lambda y, past, ahead, horizon: smooth(y, m, horizon, rates)
+def candidate_folds(indexed: DataFrame, plan, models: list[tuple[int, "ArrayForecaster"]]) -> DataFrame:
+    """(candidate, item, fold, v, error): all cut-offs of all models in one pass over the series.
+
+    The models share their covariates.  A model that fails on an item gives a row with the error
+    instead of forecasts, and the others go on.
+    """
+    first, horizon = models[0][1], plan.horizon
+    ends = indexed.groupBy(ITEM).agg(F.first(plan.cutoffs(F.col("n"))).alias("cuts"), F.first(plan.first(F.col("n"))).alias("k0"))
+    packed = series_arrays(first.with_inputs(indexed), [Y, "x"]).join(ends, ITEM).where(F.size("cuts") > 0)
+
+    @F.pandas_udf("array<struct<candidate:int,fold:int,v:array<double>,error:string>>")
+    def run(ys: pd.Series, xs: pd.Series, cuts: pd.Series, k0: pd.Series) -> pd.Series:
+        out = []
+        for y, x, cs, k in zip(ys, xs, cuts, k0):
+            y = np.asarray(y, dtype=float)
+            table = np.vstack([np.asarray(r, dtype=float) for r in x]) if len(x) and len(x[0]) else None
+            made = []
+            for number, model in models:
+                try:
+                    one, use_x = model.step_function(), model.uses_exog and table is not None
+                    for at, c in enumerate(cs):
+                        past, ahead = (table[:c], table[c:c + horizon]) if use_x else (None, None)
+                        made.append({"candidate": number, "fold": int(k) + at, "v": one(y[:c], past, ahead, horizon).tolist(), "error": None})
+                except Exception as e:  # a candidate's own failure
+                    made.append({"candidate": number, "fold": -1, "v": None, "error": f"{type(e).__name__}: {e}"})
+            out.append(made)
+        return pd.Series(out)
+
+    return (packed.select(ITEM, F.explode(run(F.col(Y), F.col("x"), F.col("cuts"), F.col("k0"))).alias("m"))
+                  .select(F.col("m.candidate").alias("candidate"), ITEM, F.col("m.fold").alias("fold"), F.col("m.v").alias("v"),
+                          F.col("m.error").alias("error")))
 
 
 # --- ARIMA by two-stage least squares ------------------------------------------------
@@ -210,7 +201,7 @@ class Sarimax(ArrayForecaster):
                 out = regress_arima(y, past, ahead, horizon, order, s)
                 if out is not None:
                     return out
-            return smooth(y, m, horizon)
+            return smoothed(y, m, horizon)
 
         return one
 

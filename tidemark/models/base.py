@@ -36,6 +36,8 @@ class Forecaster:
         if self.season is None:
             self.season = SEASON.get(self.freq, 1)
         self.params = {k: v for k, v in self.params.items() if k in self.allowed}
+        if "season" in self.params:
+            self.season = int(self.params["season"])
 
     @property
     def reach(self) -> int | None:
@@ -52,6 +54,9 @@ class Forecaster:
     def forecast(self, history: DataFrame, horizon: int, future: DataFrame | None = None) -> DataFrame:
         raise NotImplementedError
 
+    # models that can answer all cut-offs of a fold plan in one pass have
+    # forecast_folds(indexed, plan) -> item_id, fold, h, y_hat
+
     def spec(self) -> dict:
         return {"name": self.name, "freq": self.freq, "season": self.season, "exog": list(self.exog),
                 "params": self.params, "horizon": self.horizon,

@@ -13,6 +13,7 @@ from tidemark.operators.series import Y
 
 class SeasonalNaive(Forecaster):
     name = "seasonal_naive"
+    allowed = ("season",)
 
     @property
     def reach(self) -> int:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.models.base import HAT, ITEM, STEP, TS, Forecaster
+from tidemark.operators import cuts
 from tidemark.operators.future import expand_future
 from tidemark.operators.series import Y, by_item
 
@@ -46,3 +47,21 @@ class Npts(Forecaster):
         phase = F.pmod(F.col("n") - 1 + F.col(STEP), F.lit(m))
         return (grid.withColumn("phase", phase).join(phases, [ITEM, "phase"], "left")
                     .select(ITEM, TS, STEP, HAT, *[quantile_name(q) for q in levels]))
+
+    def forecast_folds(self, indexed: DataFrame, plan) -> DataFrame:
+        """(item, fold, h, y_hat) for all cut-offs, from fading sums per season phase."""
+        decay, m = float(self.params.get("decay", 0.9)), self.season
+        phase, cut = F.col("phase"), F.col(cuts.CUT)
+        rows = cuts.segments(indexed, plan).withColumn("phase", F.col("rn") % m)
+        # values of a phase are numbered; a cut-off sees them up to the newest before it
+        newest = F.floor((cut - 1 - phase) / m)
+        weight = F.when(F.col(Y).isNotNull(), F.pow(F.lit(decay), newest - F.floor(F.col("rn") / m)))
+        parts = rows.groupBy(ITEM, cuts.FOLD, "phase").agg(F.sum(weight).alias("w"), F.sum(weight * F.col(Y)).alias("wy"))
+        full = cuts.phases(cuts.cut_table(indexed, plan), m).join(parts, [ITEM, cuts.FOLD, "phase"], "left")
+        full = full.withColumn("newest", newest)
+        gap = plan.step // m
+        total = {c: cuts.decayed(c, "newest", decay, gap, ITEM, "phase").alias(c) for c in ("w", "wy")}
+        means = full.select(ITEM, cuts.FOLD, cuts.CUT, "phase", *total.values())
+        means = means.select(ITEM, cuts.FOLD, cuts.CUT, "phase", F.when(F.col("w") > 0, F.col("wy") / F.col("w")).alias(HAT))
+        steps = F.explode(F.filter(F.sequence(F.lit(1), F.lit(plan.horizon)), lambda h: F.pmod(cut - 1 + h, F.lit(m)) == phase))
+        return means.withColumn(STEP, steps).select(ITEM, cuts.FOLD, STEP, HAT)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.models.arrays import Arima, Ets, Sarimax
+from tidemark.models.arrays import Arima, Sarimax
 from tidemark.models.base import Forecaster
+from tidemark.models.ets import Ets
 from tidemark.models.naive import SeasonalNaive
 from tidemark.models.npts import Npts
 from tidemark.models.theta import Theta

@@ -221,14 +221,15 @@ def run_multi_series(df: DataFrame, config: MultiSeriesConfig | None = None, tar
     else:
         raise ValueError(f"no series is longer than the horizon ({lengths['lo']} rows at least)")
     usable = parts.drop("part")
-    board, rows = leaderboard(usable, list(cfg.models), plan, cfg.eval_metric, freq, features, tuple(exog), season,
-                              options, time_limit=cfg.time_limit)
+    ranked = leaderboard(usable, list(cfg.models), plan, cfg.eval_metric, freq, features, tuple(exog), season,
+                         options, time_limit=cfg.time_limit)
+    board, rows = ranked
     best = rows[0]["model"]
     if rows[0]["score"] is None:
         raise RuntimeError(f"every model failed: {rows[0]['error']}")
     model = make(best, freq=freq, season=season, exog=tuple(exog), features=features or FeatureConfig(),
                  params=dict((options or {}).get(best, {})), horizon=cfg.horizon)
-    holdout = rolling_backtest(usable, model, plan).persist()
+    holdout = ranked.backtests[best]  # what the winner was ranked on
     pairs = holdout.select(ITEM, TS, Y, HAT)
     metrics = evaluate.error_table(pairs).first().asDict()
     train = parts.where(F.col("part") == "train")
