@@ -6,19 +6,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidemark.catalog import forecasts
 from tidemark.catalog.classify import _CFG
 from tidemark.catalog.common import (HORIZON, INITIAL, SHIPMENTS, STEP, rounded, shipments, shipments_raw, spread_table,
                                      table)
 from tidemark.catalog.unsupervised import _DIMS, points
-from tidemark.config import FeatureConfig, MultiSeriesConfig
+from tidemark.config import FeatureConfig, MultiSeriesConfig, RunConfig
 from tidemark.models.base import HAT, make
 from tidemark.operators import series
 from tidemark.operators.series import ITEM, TS, Y
 from tidemark.plans import backtest as bt
-from tidemark.plans import classification, forecasting
+from tidemark.plans import classification, dispatch, forecasting
 from tidemark.plans import unsupervised as runs
 from tidemark.session import fresh_path
-from tidemark.sources import readers, sinks
+from tidemark.sources import readers, results, sinks
 
 QUERIES, ORACLES = {}, {}
 
@@ -203,3 +204,60 @@ def csv_texts(spark, d):
     path = fresh_path(spark, "texts") + ".csv"
     sinks.write_csv(docs.union(pages), path)
     return readers.read_csv(spark, path, multi_line=True).select("id", F.md5(F.col("text").cast("string")).alias("digest"))
+
+
+# --- runs whose rows are files --------------------------------------------------------
+
+_LINES = """f0 AS (SELECT l_returnflag AS item_id, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, avg(l_quantity) AS y FROM lineitem GROUP BY ALL),
+  fg AS (SELECT item_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM f0 GROUP BY item_id),
+  fs AS (SELECT fg.item_id, fg.ts, last_value(f0.y IGNORE NULLS) OVER (PARTITION BY fg.item_id ORDER BY fg.ts
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS y FROM fg LEFT JOIN f0 USING (item_id, ts)),
+  fi AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ts DESC) AS back FROM fs)"""
+
+
+def _stored_lines(spark, d):
+    """A run from a config on the table's own file; its folder."""
+    root = fresh_path(spark, "runs")
+    config = {"type": "forecasting", "model_name": "multi", "models": ["seasonal_naive"], "target": "l_quantity", "ts_col": "l_shipdate",
+              "item_id_col": "l_returnflag", "horizon": HORIZON, "freq": "D"}
+    done = dispatch.run_config(spark, f"{d.rstrip('/')}/lineitem.parquet", config, root, 1)
+    if "error" in done:
+        raise RuntimeError(done["error"])
+    return root
+
+
+@register("stored_forecast", f"""WITH {_LINES}, h AS (SELECT unnest(range(1, {HORIZON + 1})) AS h)
+  SELECT a.item_id, a.ts + INTERVAL 1 DAY * h AS "timestamp", round(b.y, 6) AS mean FROM fi a, h
+  JOIN fi b ON b.item_id = a.item_id AND b.back = 7 - (h - 1) % 7 WHERE a.back = 1""")
+def stored_forecast(spark, d):
+    """The forecast of a run by config, read back from its files."""
+    return rounded(results.read_frame(spark, _stored_lines(spark, d), 1, "forecast").select(ITEM, TS, "mean"))
+
+
+@register("stored_item_errors", f"""WITH {_LINES}, e AS (SELECT a.item_id, a.y, b.y AS y_hat FROM fi a
+    JOIN fi b ON b.item_id = a.item_id AND a.back <= {HORIZON} AND b.back = {HORIZON} + 7 - ({HORIZON} - a.back) % 7)
+  SELECT item_id, round(avg(2 * abs(y_hat - y) / (abs(y) + abs(y_hat) + 1e-8)), 6) AS smape FROM e GROUP BY 1""")
+def stored_item_errors(spark, d):
+    """Errors per item of the same run's hold-out, read back from its CSV file."""
+    return rounded(results.read_frame(spark, _stored_lines(spark, d), 1, "per_item_smape.csv"))
+
+
+def _stored_shipments(spark, d, name):
+    root = fresh_path(spark, "runs")
+    cfg = RunConfig(horizon=HORIZON, initial_train=INITIAL, step=STEP, model_name="seasonal_naive")
+    store = results.RunStore(spark, root, 2)
+    run = forecasting.run_forecasting(shipments(spark, d), cfg, Y, TS, freq="D", item_col=ITEM)
+    store.commit(run.result(store))
+    return results.read_frame(spark, root, 2, name)
+
+
+@register("stored_backtest", f"""WITH {forecasts._FOLDS} SELECT item_id, fold, ts AS "timestamp", h, y AS target, y_hat FROM bt""")
+def stored_backtest(spark, d):
+    """All folds of a run, read back from its files."""
+    return _stored_shipments(spark, d, "backtest")
+
+
+@register("stored_residuals", forecasts.ORACLES["residual_summary"])
+def stored_residuals(spark, d):
+    """Residual summary of the same run, read back from its files."""
+    return rounded(_stored_shipments(spark, d, "residual_summary"))

@@ -11,6 +11,7 @@ from tidemark.config import RF_SERVICE_GRID, ClassifyConfig, FeatureConfig, Mult
 from tidemark.operators import profile
 from tidemark.plans import classification, forecasting, unsupervised
 from tidemark.sources import readers, sinks
+from tidemark.sources.results import RunStore
 
 FORECAST_MODELS = {"rf", "sarimax", "multi"}
 
@@ -21,7 +22,7 @@ def option(config: dict, name: str, default):
     return default if value is None else value
 
 
-def run_forecast_config(df, config: dict) -> dict:
+def run_forecast_config(df, config: dict, store: RunStore | None = None) -> dict:
     name = config.get("model_name")
     name = name.lower() if isinstance(name, str) else "rf"
     name = name if name in FORECAST_MODELS else "rf"
@@ -38,7 +39,7 @@ def run_forecast_config(df, config: dict) -> dict:
         run = forecasting.run_multi_series(df, cfg, item_col=config.get("item_id_col"), features=features,
                                            item_fallback=option(config, "item_id_fallback", "series_0"),
                                            options=config.get("model_options"), save_dir=config.get("save_dir"), **keys)
-        return forecasting.multi_result(run)
+        return forecasting.multi_result(run, store)
     cfg = RunConfig(horizon=horizon, initial_train=int(option(config, "initial_train", 360)),
                     step=int(option(config, "step", 14)), model_name=name,
                     search_space=option(config, "search_space", RF_SERVICE_GRID if name == "rf" else None),
@@ -46,10 +47,11 @@ def run_forecast_config(df, config: dict) -> dict:
                     max_serialize_points=config.get("max_serialize_points"), mase_m=config.get("mase_m"),
                     max_ffill_steps=config.get("max_ffill_steps"))
     return forecasting.run_forecasting(df, cfg, freq=config.get("freq"), item_col=config.get("item_id_col"),
-                                       max_folds=config.get("max_folds"), **keys).result()
+                                       max_folds=config.get("max_folds"), **keys).result(store)
 
 
-def run_classification_config(spark: SparkSession, df, config: dict, root: str, dataset_id: int) -> dict:
+def run_classification_config(spark: SparkSession, df, config: dict, root: str, dataset_id: int,
+                              store: RunStore | None = None) -> dict:
     mode = option(config, "mode", "train").lower()
     key = option(config, "clf_model_key", "").strip()
     if mode == "train":
@@ -58,6 +60,8 @@ def run_classification_config(spark: SparkSession, df, config: dict, root: str,
         run = classification.run_classification(df, config.get("target"), keys=config.get("keys"), cfg=cfg,
                                                 export_path=f"{root}/{key}")
         out = run.result()
+        if store is not None and run.scored is not None:
+            store.write("rows", run.scored.select(classification.LABEL, classification.PROBA))
         if run.export:
             out["export"] = {"clf_model_key": key, "meta_key": f"{key}.meta.json"}
             out["clf_model_key"] = key
@@ -74,23 +78,29 @@ def run_classification_config(spark: SparkSession, df, config: dict, root: str,
 
 def run_config(spark: SparkSession, path: str, config: dict, root: str, dataset_id: int = 0,
                name: str | None = None) -> dict:
-    """Result document of a run, also written to ``results/{id}.json``; errors become documents."""
+    """Result document of a run, also written to ``results/{id}.json``; errors become documents.
+
+    The rows of a run (forecasts, backtests, clusters, scores) are frames beside the document, see
+    ``sources.results``.
+    """
     kind = (config or {}).get("type")
+    store = RunStore(spark, root, dataset_id)
     try:
         df = readers.load_table(spark, path, name)
         if kind == "forecasting":
-            out = run_forecast_config(df, config)
+            out = run_forecast_config(df, config, store)
         elif kind == "classification":
-            out = run_classification_config(spark, df, config, root, dataset_id)
+            out = run_classification_config(spark, df, config, root, dataset_id, store)
         elif kind == "clustering":
-            out = unsupervised.run_clustering(df, int(option(config, "k", 5))).result()
+            out = unsupervised.run_clustering(df, int(option(config, "k", 5))).result(store)
         elif kind == "anomaly":
-            out = unsupervised.run_anomaly(df).result()
+            out = unsupervised.run_anomaly(df).result(store)
         else:
             out = {"error": f"unknown run type: {kind}"}
     except Exception as e:
+        store.abandon()
         out = {"error": first_line(e)}
-    return sinks.write_artifact(spark, root, dataset_id, out)
+    return store.commit(out)
 
 
 def profile_config(spark: SparkSession, path: str, root: str, dataset_id: int = 0, name: str | None = None) -> dict:

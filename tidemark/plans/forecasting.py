@@ -20,6 +20,8 @@ from tidemark.operators.series import ITEM, TS, Y
 from tidemark.plans.backtest import (FOLD, FoldPlan, fold_cutoffs, grid_search, index_rows, leaderboard, pooled_metrics,
                                      rolling_backtest)
 from tidemark.session import cut_lineage
+from tidemark.sources import sinks
+from tidemark.sources.results import RunStore, first_rows
 
 QUANTILE_FOLDS = 3  # last folds whose residuals, over all steps, give the quantiles of a multi-series run
 SHOWN_SKIPPED = 1000  # skipped items named in a result document; the frame has all
@@ -79,15 +81,36 @@ class ForecastRun:
     model: Forecaster
     config: RunConfig
     skipped: DataFrame  # items without a fold: item_id, n, problem
-
-    def result(self) -> dict:
-        """Nested result document; the optional thinning keeps it small."""
+    board: DataFrame    # candidates of the search: see backtest.SearchResult
+
+    def write(self, store: RunStore) -> None:
+        """All rows of the run as frames of ``store``; the two tables people open by hand are CSV too."""
+        pairs = self.backtest.select(ITEM, FOLD, TS, STEP, Y, HAT)
+        per_item = evaluate.error_table(pairs, [ITEM])
+        store.write("forecast", self.forecast)
+        store.write("backtest", pairs)
+        store.write("residual_summary", self.residual_summary)
+        store.write("ljung_box", self.ljung_box)
+        store.write("item_errors", per_item)
+        store.write("candidates", self.board)
+        store.write("skipped", self.skipped)
+        store.write("backtest.csv", pairs)
+        store.write("per_item_smape.csv", per_item.select(ITEM, "smape"))
+
+    def result(self, store: RunStore | None = None) -> dict:
+        """Nested result document with at most INLINE_ROWS rows of each part; the optional thinning picks them evenly.
+
+        With a store all rows are written to it, and the document says under ``frames`` where.
+        """
+        if store is not None:
+            self.write(store)
         k = self.config.max_serialize_points
-        shown = series.thin(self.backtest.withColumn("ts", F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss")), k, FOLD, STEP)
-        rows = [r.asDict() for r in shown.orderBy(ITEM, FOLD, STEP).select(ITEM, "ts", Y, HAT).collect()]
+        stamp = F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss")
+        shown = series.thin(self.backtest.withColumn("ts", stamp), k, FOLD, STEP)
+        rows = first_rows(shown.select(ITEM, FOLD, STEP, "ts", Y, HAT), ITEM, FOLD, STEP)
         several = self.forecast.select(ITEM).distinct().limit(2).count() > 1
         key = (lambda r: {"item_id": r[ITEM]}) if several else (lambda r: {})
-        ahead = self.forecast.withColumn("ts", F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss")).orderBy(ITEM, TS)
+        ahead = first_rows(self.forecast.withColumn("ts", stamp).select(ITEM, TS, "ts", HAT), ITEM, TS)
         return {
             "model_name": self.model_name, "best_params": self.best_params,
             "backtest": {"metrics": self.metrics,
@@ -95,12 +118,11 @@ class ForecastRun:
                          "trues": [{**key(r), "ts": r["ts"], "y": r[Y]} for r in rows],
                          "horizon": self.config.horizon, "step": self.config.step,
                          "initial_train": self.config.initial_train,
-                         "skipped": [r.asDict() for r in self.skipped.orderBy(ITEM).limit(SHOWN_SKIPPED).collect()],
-                         "skipped_count": self.skipped.count()},
-            "diagnostics": {"residuals": {
-                "summary": [r.asDict() for r in self.residual_summary.collect()],
-                "ljung_box": [r.asDict() for r in self.ljung_box.collect()]}},
-            "final_forecast": [{**key(r), "ts": r["ts"], "y_hat": r[HAT]} for r in ahead.collect()],
+                         "skipped": first_rows(self.skipped, ITEM, most=SHOWN_SKIPPED),
+                         "skipped_count": store.frames["skipped"]["rows"] if store else self.skipped.count()},
+            "diagnostics": {"residuals": {"summary": first_rows(self.residual_summary, ITEM),
+                                          "ljung_box": first_rows(self.ljung_box, ITEM)}},
+            "final_forecast": [{**key(r), "ts": r["ts"], "y_hat": r[HAT]} for r in ahead],
         }
 
 
@@ -123,7 +145,7 @@ def run_forecasting(df: DataFrame, config: RunConfig | None = None, target: str
     future = future_exog(y, exog, cfg.horizon, freq) if exog else None
     return ForecastRun(cfg.model_name, found.params, found.scores, metrics, found.backtest,
                        fold_cutoffs(index_rows(y), plan), evaluate.residual_summary(pairs),
-                       evaluate.ljung_box(pairs), model.forecast(y, cfg.horizon, future), model, cfg, skipped)
+                       evaluate.ljung_box(pairs), model.forecast(y, cfg.horizon, future), model, cfg, skipped, found.board)
 
 
 # --- many series ---------------------------------------------------------------------
@@ -245,12 +267,23 @@ def run_multi_series(df: DataFrame, config: MultiSeriesConfig | None = None, tar
                           forecast, bool(exog) and model.uses_exog, model, cfg)
 
 
-def multi_result(run: MultiSeriesRun) -> dict:
+def multi_result(run: MultiSeriesRun, store: RunStore | None = None) -> dict:
+    """Result document with at most INLINE_ROWS rows of each part; with a store all rows are written to it."""
+    if store is not None:
+        pairs = run.holdout.select(ITEM, FOLD, TS, STEP, Y, HAT)
+        per_item = evaluate.error_table(pairs, [ITEM])
+        store.write("forecast", sinks.forecast_export(run.forecast))
+        store.write("backtest", pairs)
+        store.write("item_errors", per_item)
+        store.write("leaderboard", run.board)
+        store.write("backtest.csv", pairs)
+        store.write("per_item_smape.csv", per_item.select(ITEM, "smape"))
     several = run.forecast.select(ITEM).distinct().limit(2).count() > 1
 
     def rows(frame: DataFrame, column: str, name: str) -> list[dict]:
-        got = frame.withColumn("ts", F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss")).orderBy(ITEM, TS)
-        return [{**({"item_id": r[ITEM]} if several else {}), "ts": r["ts"], name: r[column]} for r in got.collect()]
+        stamp = F.date_format(TS, "yyyy-MM-dd'T'HH:mm:ss").alias("ts")
+        got = first_rows(frame.select(ITEM, F.col(TS).alias("__at"), stamp, column), ITEM, "__at")
+        return [{**({"item_id": r[ITEM]} if several else {}), "ts": r["ts"], name: r[column]} for r in got]
 
     return {
         "model_name": run.best_model, "best_model": run.best_model, "best_score": run.best_score,

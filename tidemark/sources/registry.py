@@ -1,4 +1,9 @@
-"""Registered datasets: an append-only Parquet table with one writer at a time."""
+"""Registered datasets: an append-only Parquet table for any number of writers.
+
+An id is taken by creating the file that bears it, which only one writer can do; who comes second
+tries the next one.  Each row is written to a folder of its own: commits into one folder would
+clear away each other's work in progress.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import storage_key
 from tidemark.sources.readers import path_exists
+from tidemark.sources.sinks import create_new
 
 SCHEMA = "id long, path string, name string, mime string, created_at timestamp"
 
@@ -18,15 +24,17 @@ class DatasetRegistry:
     def table(self) -> DataFrame:
         if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(self.path)
 
     def create(self, path: str, name: str, mime: str = "text/csv", must_exist: bool = True) -> int:
         """New row for a stored file; returns its id."""
         if must_exist and not path_exists(self.spark, path):
             raise FileNotFoundError(path)
         new_id = (self.table().agg(F.max("id")).first()[0] or 0) + 1
+        while not create_new(self.spark, f"{self.path}_ids/{new_id}"):
+            new_id += 1
         row = self.spark.createDataFrame([(new_id, path, name, mime)], "id long, path string, name string, mime string")
-        row.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self.path)
+        row.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.path}/{new_id}")
         return new_id
 
     def get(self, dataset_id: int) -> Row:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import json
+import os
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,42 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """An empty file that was not there before; False if it was.  Of several callers one gets True."""
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.getUri().getScheme() == "file":  # Hadoop's local files look first and create afterwards
+        place = fs.makeQualified(hadoop).toUri().getPath()
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        try:
+            os.close(os.open(place, os.O_CREAT | os.O_EXCL))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(hadoop, False).close()
+    except Py4JJavaError:
+        if fs.exists(hadoop):
+            return False
+        raise
+    return True
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """The document at ``path``, written aside and renamed over the old one in one step."""
+    aside = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+    write_text(spark, aside, text)
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(aside), hadoop.Path(path)
+    files = hadoop.FileContext.getFileContext(source.getFileSystem(
+        spark._jsparkSession.sessionState().newHadoopConf()).getUri(), spark._jsparkSession.sessionState().newHadoopConf())
+    options = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    files.rename(source, target, options)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r["value"] for r in spark.read.text(path).collect())
 
@@ -47,7 +86,7 @@ def write_artifact(spark: SparkSession, root: str, dataset_id: int, payload: dic
     key = f"{folder}/{dataset_id}.json"
     document = {"dataset_id": dataset_id, "artifacts_key": key, **payload}
     try:
-        write_text(spark, f"{root}/{key}", json.dumps(document, ensure_ascii=False, default=plain))
+        replace_text(spark, f"{root}/{key}", json.dumps(document, ensure_ascii=False, default=plain))
     except Exception as e:
         document["artifact_write_error"] = first_line(e)
     return document
