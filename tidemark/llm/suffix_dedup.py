@@ -12,8 +12,13 @@ Method: deep-shallow sorting.  The classes of a name are ordered by the bytes to
 anchor: multikey quicksort to a shallow depth, then blind tries for the groups with a long prefix in
 common.  For every interval of that order with a common prefix of r bytes, the bytes to the
 left decide: a class that shares l bytes with another one has its windows at offsets length - r
-to l repeated.  Names with more than ``CROWD`` classes (a passage in many different surroundings)
-are settled window by window through grouped counts instead, so no task holds a crowd.
+to l repeated.
+
+A task orders at most ``CROWD`` classes.  A name with more of them (a passage in many different
+surroundings) is split first, as multikey quicksort splits by the next symbols, but by Spark: its
+window offsets are halved, and for a range of offsets only classes that agree in the bytes that all
+windows of the range hold stay together.  Classes that agree in all bytes the range touches are one, and
+settled if there are two.  Ranges are halved until a group fits a task, at most nine times.
 """
 
 from __future__ import annotations
@@ -171,7 +176,7 @@ def _surroundings(length: int):
 
 
 _TYPES = {"name": pa.int64(), "class": pa.int64(), "n": pa.int64(), "kinds": pa.int64(), "low": pa.int32(), "high": pa.int32(),
-          "left": pa.binary(), "right": pa.binary(), "from": pa.int32(), "upto": pa.int32(), "window": pa.binary()}
+          "left": pa.binary(), "right": pa.binary(), "from": pa.int32(), "upto": pa.int32()}
 
 
 def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -247,23 +252,72 @@ def _resolve(length: int):
     return run
 
 
-def _windows(length: int):
-    """Every window of a class by itself: a digest of its bytes."""
+def _resolve_ranges(length: int):
+    """Rows ordered by group: as ``_resolve`` for the offsets lo..hi of each class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, {}
+        names = ["name", "class", "from", "upto"]
+
+        def settle() -> list[tuple]:
+            ranges = repeated_offsets(list(group.values()), length)
+            return [(*own, a, b) for own, r in zip(group, ranges) for a, b in sorted(r)]
+
         for batch in batches:
             rows: list[tuple] = []
-            for name, kind, n, low, high, left, right in zip(*(c.to_pylist() for c in batch.columns)):
-                text = left + right
-                rows += [(name, kind, n, o, hashlib.blake2b(text[high - o:high - o + length], digest_size=16).digest())
-                         for o in range(low, high + 1)]
-                if len(rows) > 20_000:
-                    yield _rows(rows, ["name", "class", "n", "from", "window"])
-                    rows = []
-            yield _rows(rows, ["name", "class", "n", "from", "window"])
+            for k, name, kind, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    rows += settle()
+                    key, group = k, {}
+                group[name, kind] = tuple(rest)
+            if rows:
+                yield _rows(rows, names)
+        if group:
+            yield _rows(settle(), names)
 
     return run
 
 
+def _crowds(around: DataFrame, length: int) -> DataFrame:
+    """name, class, from, upto of names with more classes than a task orders.
+
+    ``around`` has a row per class: name, class, n, low, high, left, right.  State: classes with a range
+    a..b of offsets and the group that shares what all windows of the range hold.
+    """
+    state = around.withColumns({"a": F.lit(0), "b": F.lit(_spread_of(length) - 1), "key": F.col("name")})
+    found = []
+    while True:
+        state = state.withColumns({"lo": F.greatest("low", "a"), "hi": F.least("high", "b")}).where("lo <= hi")
+        state = state.withColumns({"l": F.expr("substring(left, length(left) - hi + 1, hi)"), "r": F.expr(f"substring(right, 1, {length} - lo)")})
+        state = cut_lineage(state.withColumn("mark", F.md5(F.concat("l", "r"))))
+        same = ["key", "lo", "hi", "mark"]
+        twins = cut_lineage(state.groupBy(*same).agg(F.sum("n").alias("all"), F.min(F.struct("name", "class")).alias("one")))
+        sizes = twins.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+        met = state.join(twins, same)
+        found.append(met.where("all > 1").select("name", "class", F.col("lo").alias("from"), F.col("hi").alias("upto")))
+        # one of each goes on, as a partner of the others
+        rest = cut_lineage(met.where(F.struct("name", "class") == F.col("one")).join(cut_lineage(sizes), "key"))
+        small = rest.where(F.col("kinds") <= CROWD).select(
+            "key", "name", "class", F.col("all").alias("n"), F.col("lo").alias("low"), F.col("hi").alias("high"),
+            F.col("l").alias("left"), F.col("r").alias("right"))
+        found.append(small.repartition("key").sortWithinPartitions("key").mapInArrow(
+            _resolve_ranges(length), "name bigint, class bigint, from int, upto int"))
+        large = rest.where((F.col("kinds") > CROWD) & (F.col("a") < F.col("b")))
+        if large.isEmpty():
+            break
+        middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct(F.col("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b"))))
+        large = large.withColumn("half", halves).select(
+            "name", "class", F.col("all").alias("n"), F.col("lo").alias("low"), F.col("hi").alias("high"), F.col("l").alias("left"),
+            F.col("r").alias("right"), F.col("half.a").alias("a"), F.col("half.b").alias("b"))
+        # offsets a..b need a bytes on the left and length - b on the right in common; groups that meet by chance do no harm
+        state = large.where("low <= b AND high >= a").withColumn("key", F.xxhash64(
+            "name", "a", "b", F.expr("substring(left, length(left) - a + 1, a)"), F.expr(f"substring(right, 1, {length} - b)")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,8 +373,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
         _unpacked, f"h bigint, g int, copies bigint, {_ANCHOR}")
     # names that occur more than once, and in how many classes; all that follows is about these
     classes = each.groupBy("name", "class").agg(F.sum("copies").alias("n"))
-    named = (classes.groupBy("name").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
-                    .where("all > 1").select("name", "kinds"))
+    # written first: then both sides of the join come straight from a shuffle, and Spark splits the hot name
+    named = cut_lineage(classes.groupBy("name").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+                               .where("all > 1").select("name", "kinds"))
     several = cut_lineage(each.join(named, "name"))
 
     asked = (several.where("kinds > 1").groupBy("name", "class")
@@ -336,12 +391,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
     columns = ["name", "class", "n", "low", "high", "left", "right"]
     quiet = (around.where(F.col("kinds") <= CROWD).select(*columns).repartition("name").sortWithinPartitions("name")
                    .mapInArrow(_resolve(length), "name bigint, class bigint, from int, upto int"))
-    single = (around.where(F.col("kinds") > CROWD).select(*columns).dropDuplicates(["name", "class"])
-                    .mapInArrow(_windows(length), "name bigint, class bigint, n bigint, from int, window binary"))
-    often = single.groupBy("window").agg(F.sum("n").alias("all")).where("all > 1").select("window")
-    loud = single.join(often, "window", "left_semi").select("name", "class", "from", F.col("from").alias("upto"))
-    ranges = (quiet.unionByName(loud).groupBy("name", "class")
-                   .agg(F.collect_list(F.struct("from", "upto")).alias("offsets")))
+    crowd = around.where(F.col("kinds") > CROWD).select(*columns).dropDuplicates(["name", "class"])
+    if not crowd.isEmpty():
+        quiet = quiet.unionByName(_crowds(crowd, length))
+    ranges = quiet.groupBy("name", "class").agg(F.collect_list(F.struct("from", "upto")).alias("offsets"))
     own = several.where("copies = 1").select("h", "g", "name", "class", "at", "low", "high", "kinds")
     whole = F.array(F.struct(F.col("low").alias("from"), F.col("high").alias("upto")))
     hits = (own.where("kinds > 1").join(ranges, ["name", "class"])
