@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import parts
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -31,6 +35,37 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*[F.col(f"c{i}").alias(new) for new, i in places.items()])
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of rows for Python of at most 8 MB from here on, where the session has Spark's default.
+
+    A batch is held twice on both sides, in every running task.
+    """
+    if spark.conf.get(_BATCH) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(_BATCH, "8m")
+
+
+def texts_of(column: pa.Array) -> pa.Array:
+    """A column as texts; nulls are empty."""
+    return pc.fill_null(column.cast(pa.string()), "")
+
+
+def map_texts(df: DataFrame, at: int, work: Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch], schema=None) -> DataFrame:
+    """``work`` on a few rows at a time, with the texts of their column number ``at`` (nulls empty).
+
+    A step holds about 4 MB of text, whatever the size of Spark's batches.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch.column(at))
+            for first, last in parts(texts):
+                yield work(batch.slice(first, last - first), texts.slice(first, last - first))
+
+    return df.mapInArrow(run, schema or df.schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt evenly when the input has fewer splits than the session has cores.
 

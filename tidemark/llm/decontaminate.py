@@ -18,12 +18,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import spread
+from tidemark.llm.common import map_texts, spread
 from tidemark.llm.words import ALPHANUMERIC, find_words, parts, shingle_hashes, text_buffer
 
 SHINGLE = 3
@@ -274,29 +273,25 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col
     """
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    own = f"c{columns.index(text_column)}"
-    text = F.coalesce(F.col(own).cast("string"), F.lit(""))
+    at = columns.index(text_column)
+    text = F.coalesce(F.col(f"c{at}").cast("string"), F.lit(""))
     probe = plain.select(F.lit(0).alias("id"), text.alias("text"))
     kept = plain
     for block in benchmark_blocks(benchmark, window, block_windows, item_column, item_text):
         prefixes = rarest_prefixes(block, shingle_frequencies(probe, block))
         if prefixes:
-            kept = kept.where(~_occurs(kept, block, prefixes)(text))
+            kept = _without_hits(kept, at, block, prefixes)
     return kept.toDF(*columns)
 
 
-def _occurs(docs: DataFrame, block: Block, prefixes: list[Prefixes]):
+def _without_hits(docs: DataFrame, at: int, block: Block, prefixes: list[Prefixes]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((block, prefixes))
 
-    @F.pandas_udf("boolean")
-    def occurs(texts: pd.Series) -> pd.Series:
+    def keep(batch: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
         own, keys = shared.value
-        column = pa.array(texts, pa.string())
-        found = np.zeros(len(column), bool)
-        for first, last in parts(column):
-            data, bounds = text_buffer(column.slice(first, last - first))
-            for t, _, _ in find_windows(data, bounds, own, keys)[0]:
-                found[first + t] = True
-        return pd.Series(found)
-
-    return occurs
+        clean = np.ones(len(texts), bool)
+        data, bounds = text_buffer(texts)
+        clean[[t for t, _, _ in find_windows(data, bounds, own, keys)[0]]] = False
+        return batch.filter(pa.array(clean))
+
+    return map_texts(docs, at, keep)

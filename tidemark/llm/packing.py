@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import spread
-from tidemark.llm.tokens import BYTE_BPE, encode_ids
+from tidemark.llm.tokens import BYTE_BPE, KNOWN, encode_ids
 from tidemark.llm.words import parts
 
 _AT_ONCE = 1 << 20
@@ -135,13 +135,13 @@ class Packer:
 
 
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = BYTE_BPE, end_id: int | None = 1,
-         id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+         id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, known: int = KNOWN) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens [, ids].
 
     Every id of every document lies in exactly one piece; pieces of a sequence are gapless.
     Sequences have ``capacity`` ids, but for the last few of each task, which have a power of
     two.  A null text is empty and still has ``end_id``; with ``end_id`` None an empty
-    document has no piece.  Repeated rows and null ids are packed row by row; columns other
+    document has no piece.  ``known`` bounds the words a worker remembers.  Repeated rows and null ids are packed row by row; columns other
     than id and text are not read.
     """
     rows = spread(docs.select(F.col(f"`{id_column}`").alias("id"),
@@ -169,7 +169,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = BYTE_BPE, end_i
             kind = batch.schema.field(0).type
             for first, last in parts(batch.column(1), _AT_ONCE):
                 names, texts = (batch.column(k).slice(first, last - first).to_pylist() for k in (0, 1))
-                for name, ids in zip(names, encode_ids(tokenizer, texts)):
+                for name, ids in zip(names, encode_ids(tokenizer, texts, known)):
                     packer.add(name, np.frombuffer(ids + end, "<u4"))
                 if packer.waiting > _POOL_IDS:
                     packer.pack(_POOL_IDS // 2)

@@ -23,11 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import spread
-from tidemark.session import cut_lineage
+from tidemark.llm.common import map_texts, spread
+from tidemark.session import cut_lineage, fresh_path
 
 SAMPLE = 20_000
 PREFIX = 5
@@ -155,19 +157,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str
     return Model(lexicon, centre, scale, weights, math.log(share / (1 - share)))
 
 
-def evidence(docs: DataFrame, model: Model, text_column: str) -> Column:
-    """Log-odds of good by the text alone; a null text is empty."""
+def with_evidence(docs: DataFrame, model: Model, at: int, name: str) -> DataFrame:
+    """The rows with a column ``name``: log-odds of good by the text (column number ``at``) alone; a null text is empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def odds(texts: pd.Series) -> pd.Series:
+    def judge(batch: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
         own = shared.value
-        if not len(texts):
-            return pd.Series([], dtype=float)
-        rows = np.fromiter((x for t in texts for x in features(t, own.lexicon)), np.float64, 11 * len(texts))
-        return pd.Series(own.log_odds(rows.reshape(-1, 11)))
+        rows = np.fromiter((x for t in texts for x in features(t.as_py(), own.lexicon)), np.float64, 11 * len(texts))
+        odds = pa.array(own.log_odds(rows.reshape(-1, 11)))
+        return pa.RecordBatch.from_arrays([*batch.columns, odds], [*batch.schema.names, name])
 
-    return odds(F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")))
+    return map_texts(docs, at, judge, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def _strength(groups: DataFrame, centre: Column) -> float:
@@ -219,7 +219,7 @@ def classify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     """
     rows = spread(docs.select(F.col(f"`{id_column}`").alias("id"), *site_columns(host_column, path_column),
                               F.col(f"`{text_column}`").alias("text")))
-    scored = cut_lineage(rows.select("id", "host", "path", evidence(rows, model, "text").alias("evidence")))
+    scored = cut_lineage(with_evidence(rows, model, 3, "evidence").drop("text"))
     joined = scored.join(site_priors(scored), ["host", "path"])
     score = 1 / (1 + F.exp(-(F.col("evidence") + F.col("shift"))))
     return joined.select(F.col("id").alias(id_column), "host", "path", F.col("evidence"), score.alias("score"),
@@ -228,15 +228,20 @@ def classify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
 
 def keep_good(docs: DataFrame, model: Model, text_column: str = "text", host_column: str = "source",
               path_column: str = "lang", threshold: float = 0.5) -> DataFrame:
-    """The rows that ``classify`` keeps, with all their columns."""
-    columns = docs.columns
+    """The rows that ``classify`` keeps, with all their columns.
+
+    Nulls, empty texts and repeated rows are judged as there; an empty table stays empty.  The evidence of
+    a text is computed once and written beside it.
+    """
+    spark, columns = docs.sparkSession, docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     name = {c: f"c{i}" for i, c in reversed(list(enumerate(columns)))}
     host, path = site_columns(name[host_column], name[path_column])
-    odds = evidence(plain, model, name[text_column])
-    priors = cut_lineage(site_priors(cut_lineage(plain.select(host, path, odds.alias("evidence")))))
+    folder = fresh_path(spark, "evidence")
+    with_evidence(plain, model, columns.index(text_column), "evidence").withColumns({"host": host, "path": path}).write.parquet(folder)
+    judged = spark.read.schema(T.StructType([*plain.schema.fields, *T._parse_datatype_string("evidence double, host string, path string").fields])).parquet(folder)
+    priors = cut_lineage(site_priors(judged.select("host", "path", "evidence")))
     if priors.count() <= SITES_AT_ONCE:  # then the texts stay where they are; else they travel by site, split where one is hot
         priors = F.broadcast(priors)
-    judged = plain.withColumns({"host": host, "path": path}).withColumn("evidence", odds).join(priors, ["host", "path"])
     good = 1 / (1 + F.exp(-(F.col("evidence") + F.col("shift")))) >= threshold
-    return judged.where(good).select(*plain.columns).toDF(*columns)
+    return judged.join(priors, ["host", "path"]).where(good).select(*plain.columns).toDF(*columns)

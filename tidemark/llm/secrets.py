@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import spread
+from tidemark.llm.common import map_texts, spread
 
 KINDS = ("assign", "access", "hex", "lexed")
 THRESHOLD = 1.0
@@ -216,11 +216,12 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_column: str = "text") -
     at = columns.index(text_column)
     rows = docs.toDF(*[f"c{i}" for i in range(len(columns))])
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: None if t is None else _without(t, mark))
+    def clean(batch: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+        own = batch.column(at)
+        made = pa.array([_without(t.as_py(), mark) if there else None for t, there in zip(texts, own.is_valid().to_pylist())], pa.string())
+        return batch.set_column(at, batch.schema.field(at), made.cast(own.type))
 
-    return rows.withColumn(f"c{at}", clean(f"c{at}")).toDF(*columns)
+    return map_texts(rows, at, clean).toDF(*columns)
 
 
 def _without(text: str, mark: str) -> str:

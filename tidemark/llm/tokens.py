@@ -51,7 +51,7 @@ _WORD_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?%$&*#|]*)")
 # The byte-level alphabet: bytes that print stand for themselves, the others for 256, 257, ...
 _HIDDEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
 _ALPHABET = {b: 256 + k for k, b in enumerate(_HIDDEN)}
-_KNOWN = 250_000
+KNOWN = 1_000_000  # remembered pieces: about 200 MB of a Python worker
 
 
 class WordEncoder(dict):
@@ -61,8 +61,8 @@ class WordEncoder(dict):
     tokenizers library once and its ids are kept as little-endian unsigned 32-bit bytes.
     A space and letters are one word of the pre-splitting and go to the library's model at
     once; marks behind it are a word of their own, and so is a line feed between two
-    characters that are no white space: a piece that starts with one stands at a line's start.  When more than ``_KNOWN`` pieces are
-    kept, the later ones go: frequent words come early.
+    characters that are no white space: a piece that starts with one stands at a line's start.  When more
+    than ``known`` pieces are kept, the later ones go: frequent words come early.
     """
 
     def __init__(self, name: str):
@@ -70,6 +70,7 @@ class WordEncoder(dict):
         self.tokenizer = load(name)
         self.split = self.tokenizer.model.tokenize
         self.plain: dict[str, bytes] = {}
+        self.known = KNOWN
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha() and word.isascii():
@@ -97,8 +98,8 @@ class WordEncoder(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [_CUT.split(t) if _odd(t) else t.replace("\n", " \n").split(" ") for t in texts]
         out = [self._one(c[0]) + b"".join(map(self.__getitem__, c[1:])) for c in cut]
-        if len(self) > _KNOWN:
-            kept = list(itertools.islice(self.items(), _KNOWN * 3 // 5))
+        if len(self) > self.known:
+            kept = list(itertools.islice(self.items(), self.known * 3 // 5))
             self.clear()
             self.update(kept)
             self.plain.clear()
@@ -124,13 +125,15 @@ def word_encoder(name: str) -> WordEncoder:
     return WordEncoder(name)
 
 
-def encode_ids(name: str, texts: list[str]) -> list[bytes]:
+def encode_ids(name: str, texts: list[str], known: int = KNOWN) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit bytes, as the library gives them.
 
-    Tables other than the byte-level one go through the library text by text.
+    At most about ``known`` pieces of text are remembered from one call to the next.  Tables other than the byte-level one go through the library text by text.
     """
     if name.endswith(".model"):
         return [np.array(x, "<u4").tobytes() for x in load_pieces(name).encode(texts, num_threads=1)]
     if os.path.basename(name) == BYTE_BPE:
-        return word_encoder(name).encode(texts)
+        encoder = word_encoder(name)
+        encoder.known = known
+        return encoder.encode(texts)
     return [np.array(e.ids, "<u4").tobytes() for e in load(name).encode_batch_fast(texts, add_special_tokens=False)]
