@@ -98,3 +98,24 @@ def test_file_descriptions_in_joined_files():
         assert [(r.version, r.url) for r in arc.parse(arc.inflate(packed))] == want
     (alone,) = arc.parse(parts[1])
     assert alone.url == "filedesc://1"
+
+
+def test_files_of_many_members_take_linear_time():
+    import gzip
+    import random
+    import time
+
+    r = random.Random(1)
+    members = [bytes(r.randrange(256) for _ in range(r.choice([0, 1, 30, 700]))) for _ in range(20_000)]
+    packed = [gzip.compress(m, 1) for m in members]
+    took = []
+    for n in (2_000, 20_000):
+        start = time.process_time()
+        assert arc.inflate(b"".join(packed[:n])) == b"".join(members[:n])
+        took.append(time.process_time() - start)
+    assert took[1] < 25 * took[0] + 0.2
+    long = bytes(r.randrange(256) for _ in range(300_000)) * 20
+    both = gzip.compress(long) + gzip.compress(b"end")
+    assert arc.inflate(both) == long + b"end" and arc.inflate(both + b"junk") == long + b"end"
+    assert arc.inflate(gzip.compress(long)[:-5000]) == long[:len(arc.inflate(gzip.compress(long)[:-5000]))]
+    assert arc.inflate(b"plain") == b"plain" and arc.inflate(b"") == b""

@@ -38,13 +38,16 @@ def inflate(data: bytes) -> bytes:
     """All members of a gzip file; anything else as it is."""
     if data[:2] != b"\x1f\x8b":
         return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
+    out, at, view = [], 0, memoryview(data)
+    while view[at:at + 2] == b"\x1f\x8b":
+        # slices grow with the member: what is read beyond its end is never more than the member
+        member, step = zlib.decompressobj(31), 512
+        while not member.eof and at < len(view):
+            out.append(member.decompress(view[at:at + step]))
+            at, step = min(len(view), at + step), min(2 * step, 1 << 20)
         if not member.eof:
             break
-        data = member.unused_data
+        at -= len(member.unused_data)
     return b"".join(out)
 
 
