@@ -7,7 +7,6 @@ applies the saved spec and decides nothing.
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from tidemark.functions.calendar import NTZ, expand_datetime
 from tidemark.functions.metrics import finite_or_null
 from tidemark.functions.text import numeric_like
 from tidemark.operators.dates import parse_any, parse_as
+from tidemark.operators.values import value_counts
 
 # Shapes of a date in text, the format each stands for (None: ISO), and the
 # lengths it can have.
@@ -30,8 +30,6 @@ DATE_SHAPES = (
 EPOCHS = {"epoch_s": (r"^\d{10}$", 10), "epoch_ms": (r"^\d{13}$", 13)}
 SHAPE_RATIO = 0.6  # fixed value: share of values a shape must reach
 
-_BATCH = 32  # columns profiled in one job
-
 
 @dataclass
 class ColumnProfile:
@@ -72,55 +70,45 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None,
                     cfg: ClassifyConfig = ClassifyConfig()) -> dict[str, ColumnProfile]:
     """Everything the pruning and typing rules need.
 
-    One aggregate per column, united into one job: each reads its own column only, and stays
-    small enough for the JVM to compile.  A second pass covers the columns whose shape is
-    known, and distinct counts, which are exact at any size.
+    One scan counts the distinct values of all columns; shapes and ratios are then read once per
+    distinct value and weighted by its rows.  A second scan, of the columns that look like dates
+    only, tells how many of their values parse.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     fields = [f for f in fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    out: dict[str, ColumnProfile] = {}
-    for start in range(0, len(fields), _BATCH):
-        batch = fields[start:start + _BATCH]
-        rows = reduce(DataFrame.unionAll, [_facts(df, i, f) for i, f in enumerate(batch)]).collect()
-        for row in sorted(rows, key=lambda r: r["i"]):
-            f = batch[row["i"]]
-            p = out[f.name] = ColumnProfile(f.name, f.dataType, row["n"], row["nulls"])
-            if p.is_text:
-                p.mean_length, p.numeric_ratio = row["len"] or 0.0, row["num"] or 0.0
-                p.shape, p.shape_ratio = _best_shape(row["shapes"], row["epochs"], cfg)
-    second = []
-    for i, p in enumerate(out.values()):
-        c = F.col(f"`{p.name}`")
-        if p.shape_ratio >= SHAPE_RATIO:
-            second.append(F.avg(_parse_shape(c, p.shape).isNotNull().cast("int")).alias(f"p{i}"))
-    if second:
-        row = df.agg(*second).first()
-        for i, p in enumerate(out.values()):
-            if p.shape_ratio >= SHAPE_RATIO:
-                p.parse_ratio = row[f"p{i}"] or 0.0
-    counted = list(out.values())
-    for start in range(0, len(counted), 8):
-        part = counted[start:start + 8]
-        row = df.agg(*[F.countDistinct(F.col(f"`{p.name}`")).alias(f"d{i}") for i, p in enumerate(part)]).first()
-        for i, p in enumerate(part):
-            p.distinct = row[f"d{i}"]
+    out = {f.name: ColumnProfile(f.name, f.dataType) for f in fields}
+    if not fields:
+        return out
+    for row in _facts(df, fields).collect():  # one row per column
+        p = out[fields[row["i"]].name]
+        p.n, p.nulls, p.distinct = row["n"], row["nulls"], row["distinct"]
+        if p.is_text:
+            p.mean_length, p.numeric_ratio = row["len"] or 0.0, row["num"] or 0.0
+            p.shape, p.shape_ratio = _best_shape(row["shapes"], row["epochs"], cfg)
+    dated = [p for p in out.values() if p.shape_ratio >= SHAPE_RATIO]
+    if dated:
+        row = df.agg(*[F.avg(_parse_shape(F.col(f"`{p.name}`"), p.shape).isNotNull().cast("int")).alias(f"p{i}")
+                       for i, p in enumerate(dated)]).first()
+        for i, p in enumerate(dated):
+            p.parse_ratio = row[f"p{i}"] or 0.0
     return out
 
 
-def _facts(df: DataFrame, i: int, f: T.StructField) -> DataFrame:
-    """One row of counts and ratios for a column."""
-    c = F.col(f"`{f.name}`")
-    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(c.isNull()).alias("nulls")]
-    if isinstance(f.dataType, T.StringType):
-        share = lambda flag: F.avg(flag.cast("int"))
-        aggs += [F.avg(F.char_length(c)).alias("len"), share(numeric_like(c).isNotNull()).alias("num"),
-                 F.array(*[share(_has_shape(c, p, sizes)) for p, _, sizes in DATE_SHAPES]).alias("shapes"),
-                 F.array(*[share(_has_shape(c, p, (n,))) for p, n in EPOCHS.values()]).alias("epochs")]
-    else:
-        nothing = F.lit(None)
-        aggs += [nothing.cast("double").alias("len"), nothing.cast("double").alias("num"),
-                 nothing.cast("array<double>").alias("shapes"), nothing.cast("array<double>").alias("epochs")]
-    return df.agg(*aggs).select(F.lit(i).alias("i"), "n", "nulls", "len", "num", "shapes", "epochs")
+def _facts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """(i, n, nulls, distinct, len, num, shapes, epochs) per column; the last four for text."""
+    counts = value_counts(df, fields, lambda c: numeric_like(c).isNotNull())
+    text_ids = [i for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)]
+    text = F.col("i").isin(text_ids) & F.col("value").isNotNull()
+    short = F.when(text & F.col("size").isNull(), F.col("value"))
+    rows = F.when(text, F.col("n"))
+    share = lambda flag: F.sum(F.when(flag, F.col("n")).otherwise(F.lit(0))) / F.sum(rows)
+    return counts.groupBy("i").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
+        F.count("value").alias("distinct"),
+        (F.sum(rows * F.coalesce("size", F.char_length("value"))) / F.sum(rows)).alias("len"),
+        share(text & F.coalesce("mark", numeric_like(short).isNotNull())).alias("num"),
+        F.array(*[share(_has_shape(short, p, sizes)) for p, _, sizes in DATE_SHAPES]).alias("shapes"),
+        F.array(*[share(_has_shape(short, p, (n,))) for p, n in EPOCHS.values()]).alias("epochs"))
 
 
 def _best_shape(shapes: list, epochs: list, cfg: ClassifyConfig) -> tuple[str | None, float]:

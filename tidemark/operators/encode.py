@@ -10,7 +10,7 @@ from math import log
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler, VectorSizeHint
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -104,29 +104,42 @@ def tokens(c: Column) -> Column:
 def vocabulary(df: DataFrame, text: str, n_docs: int, cfg: ClassifyConfig = ClassifyConfig()) -> DataFrame:
     """(term, df, total, idf): the most frequent terms within the document-frequency limits.
 
-    A row is a document.  Each row gives its terms and its distinct terms, so both counts come from
-    one aggregate by term and nothing is grouped by document.
+    A row is a document.  Its terms are sorted in place, so that the first of equal ones also counts
+    the document: both counts come from one tokenisation and one aggregate by term.
     """
-    words = tokens(F.col(text))
-    row = df.select(words.alias("all"))
-    each = row.select(F.explode("all").alias("term"), F.lit(0).alias("df"), F.lit(1).alias("total")).unionAll(
-        row.select(F.explode(F.array_distinct("all")), F.lit(1), F.lit(0)))
-    stats = each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    row = df.select(F.sort_array(tokens(F.col(text))).alias("here"))
+    before = F.concat(F.array(F.lit(None).cast("string")),
+                      F.slice("here", F.lit(1), F.greatest(F.size("here") - 1, F.lit(0))))
+    each = row.select(F.inline(F.arrays_zip("here", before.alias("before")))).toDF("term", "before")
+    stats = each.where(F.col("term").isNotNull()).groupBy("term").agg(
+        F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("df"), F.count(F.lit(1)).alias("total"))
     ok = (F.col("df") >= cfg.tfidf_min_df) & (F.col("df") <= cfg.tfidf_max_df * n_docs)
     top = stats.where(ok).orderBy(F.desc("total"), "term").limit(cfg.tfidf_max_features)
     return top.withColumn("idf", F.log((1 + n_docs) / (1 + F.col("df"))) + 1)
 
 
 def tfidf(df: DataFrame, key: str, text: str, cfg: ClassifyConfig = ClassifyConfig()) -> DataFrame:
-    """(key, term, weight): L2-normalised tf-idf in long form; a row is a document, ``key`` names it."""
-    vocab = vocabulary(df, text, df.count(), cfg).select("term", "idf")
-    # at most max_features rows, so every task can hold it; other terms go before anything is shuffled
-    tf = (df.select(key, F.explode(tokens(F.col(text))).alias("term")).join(F.broadcast(vocab), "term")
-            .groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf")))
-    rows = tf.groupBy(key).agg(F.collect_list(F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))).alias("terms"))
-    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["w"] * t["w"]))
-    return rows.select(key, norm.alias("norm"), F.explode("terms").alias("t")).select(
-        key, F.col("t.term").alias("term"), (F.col("t.w") / F.col("norm")).alias("weight"))
+    """(key, term, weight): L2-normalised tf-idf in long form; a row is a document, ``key`` names it.
+
+    The vocabulary (at most max_features terms) is settled first; counts, weights and norm are then
+    made inside each row, so nothing else is shuffled.  Rows without a known term give none.
+    """
+    top = vocabulary(df, text, df.count(), cfg).select("term", "idf").collect()
+    if not top:
+        return df.select(key, F.lit("").alias("term"), F.lit(0.0).alias("weight")).where(F.lit(False))
+    known = df.sparkSession.createDataFrame([(i, r["term"]) for i, r in enumerate(top)], "place int, term string")
+    weighted = PipelineModel(term_stages("__tok", "__weights", {r["term"]: r["idf"] for r in top})).transform(
+        df.select(key, tokens(F.col(text)).alias("__tok")))
+    cells = weighted.select(key, F.posexplode(vector_to_array("__weights")).alias("place", "weight"))
+    return (cells.where(F.col("weight") != 0).join(F.broadcast(known), "place").select(key, "term", "weight"))
+
+
+def term_stages(source: str, out: str, terms: dict[str, float]) -> list:
+    """Token lists to L2-normalised weights over fixed terms with their idf."""
+    return [CountVectorizerModel.from_vocabulary(list(terms), source, f"{out}_tf"),
+            ElementwiseProduct(scalingVec=Vectors.dense(list(terms.values())), inputCol=f"{out}_tf",
+                               outputCol=f"{out}_wt"),
+            Normalizer(p=2.0, inputCol=f"{out}_wt", outputCol=out)]
 
 
 # --- the fitted encoder --------------------------------------------------------------
@@ -204,13 +217,7 @@ def assembler(groups: dict[str, list[str]], fitted: dict) -> PipelineModel:
         terms = fitted["terms"][c]
         if not terms:
             continue
-        stages += [
-            CountVectorizerModel.from_vocabulary(list(terms), f"tok_{i}", f"tf_{i}"),
-            ElementwiseProduct(scalingVec=Vectors.dense(list(terms.values())), inputCol=f"tf_{i}",
-                               outputCol=f"wt_{i}"),
-            Normalizer(p=2.0, inputCol=f"wt_{i}", outputCol=f"txt_{i}"),
-            _size(f"txt_{i}", len(terms)),
-        ]
+        stages += [*term_stages(f"tok_{i}", f"txt_{i}", terms), _size(f"txt_{i}", len(terms))]
         inputs.append(f"txt_{i}")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     return PipelineModel(stages)

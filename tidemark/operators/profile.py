@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.config import TARGET_NAMES, TIME_NAMES
 from tidemark.operators.dates import fully_parsable
+from tidemark.operators.values import countable, value_counts
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType, T.DayTimeIntervalType)
@@ -36,12 +37,31 @@ def role_table(df: DataFrame) -> DataFrame:
 def quick_profile(df: DataFrame, approximate: bool = False, batch: int = 8) -> DataFrame:
     """``name, dtype, role, missing_rate, nunique, rows`` per column; null counts as a value.
 
-    Distinct counts expand the rows once per column, so columns go in batches.  Maps, which
-    have no equality, are counted by their JSON text.
+    One scan counts the distinct values of all columns.  Arrays and structs, which only Spark's own
+    equality tells apart, expand the rows once per column and go in batches, and so do sketches.
     """
-    parts = [_profile_batch(df, df.schema.fields[i:i + batch], approximate)
-             for i in range(0, len(df.schema.fields), batch)]
-    return reduce(DataFrame.unionAll, parts)
+    fields = df.schema.fields
+    plain = [] if approximate else [f for f in fields if countable(f.dataType)]
+    rest = [f for f in fields if f not in plain]
+    parts = [_profile_values(df, plain)] if plain else []
+    parts += [_profile_batch(df, rest[i:i + batch], approximate) for i in range(0, len(rest), batch)]
+    made = reduce(DataFrame.unionAll, parts)
+    # one row per column, put back in the order of the table
+    place = F.array_position(F.array(*[F.lit(f.name) for f in fields]), F.col("name"))
+    return made.coalesce(1).sortWithinPartitions(place)
+
+
+def _profile_values(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    stats = value_counts(df, fields).groupBy("i").agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("nunique"),
+        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"))
+    names = df.sparkSession.createDataFrame(
+        [(i, f.name, f.dataType.simpleString(), role_of(f.dataType)) for i, f in enumerate(fields)],
+        "i int, name string, dtype string, role string")
+    rows = F.coalesce("rows", F.lit(0).cast("bigint"))
+    return names.join(F.broadcast(stats), "i", "left").select(  # one row per column on both sides
+        "name", "dtype", "role", (F.coalesce("missing", F.lit(0)) / F.greatest(rows, F.lit(1))).alias("missing_rate"),
+        F.coalesce("nunique", F.lit(0).cast("bigint")).alias("nunique"), rows.alias("rows"))
 
 
 def _profile_batch(df: DataFrame, fields: list[T.StructField], approximate: bool) -> DataFrame:
