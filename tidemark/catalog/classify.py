@@ -295,6 +295,19 @@ def best_threshold(spark, d):
     return rounded(binary.best_threshold(_scored(spark, d), "y", "s"), skip=("threshold",))
 
 
+@register("grouped_auroc", """WITH g AS (SELECT l_linenumber AS mode, l_extendedprice AS s, count(*) FILTER (l_returnflag = 'R') AS pos,
+    count(*) FILTER (l_returnflag <> 'R') AS neg FROM lineitem GROUP BY ALL),
+  c AS (SELECT *, sum(neg) OVER (PARTITION BY mode ORDER BY s) AS up FROM g)
+  SELECT mode, sum(pos)::BIGINT AS pos, sum(neg)::BIGINT AS neg,
+    round(sum(pos * (up - neg / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)), 6) AS auroc FROM c GROUP BY 1""")
+def grouped_auroc(spark, d):
+    """How well the price ranks returned lines, per line number."""
+    li = table(spark, d, "lineitem").select(
+        F.col("l_linenumber").alias("mode"), (F.col("l_returnflag") == "R").cast("int").alias("y"),
+        F.col("l_extendedprice").alias("s"))
+    return rounded(binary.grouped_auroc(li, "mode", "y", "s"))
+
+
 # --- fitted models -------------------------------------------------------------------
 
 _CFG = ClassifyConfig(n_estimators=15, max_depth=4)

@@ -116,6 +116,7 @@ class ClassifyConfig:
     calibration_min_valid: int = 100
     # boosted trees
     n_estimators: int = 400
+    patience: int = 50  # rounds without a better validation AUROC after which boosting ends
     max_depth: int = 6
     learning_rate: float = 0.1
     subsample: float = 0.9

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.keyed import running_totals
+from tidemark.operators.keyed import grouped_totals, running_totals
 
 # The decision thresholds that are tried.
 THRESHOLDS = tuple(float(t) for t in np.linspace(0.05, 0.95, 19))
@@ -66,6 +66,23 @@ def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5
         precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
+def grouped_auroc(df: DataFrame, within: str, label: str, score: str) -> DataFrame:
+    """(within, pos, neg, auroc): ties averaged, null where a group lacks one of the classes.
+
+    One pass counts both classes per group and distinct score; equal scores meet before they travel.
+    """
+    y = F.col(label)
+    counts = (df.where(y.isNotNull() & F.col(score).isNotNull() & F.col(within).isNotNull()).groupBy(within, score)
+                .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
+    ranked = grouped_totals(counts, within, score, ["neg"])
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    sums = ranked.groupBy(within).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+        F.sum(pos * (F.col("cum_neg") - neg / 2)).alias("below"))
+    return sums.select(within, "pos", "neg", F.try_divide(
+        "below", F.col("pos").cast("double") * F.col("neg")).alias("auroc"))
+
+
 def threshold_table(df: DataFrame, label: str, score: str, thresholds=THRESHOLDS) -> DataFrame:
     """Confusion counts and F1 at every threshold.
 

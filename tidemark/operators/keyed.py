@@ -224,3 +224,26 @@ def running_totals(df: DataFrame, order: str, sums: list[str], descending: bool
                .join(F.broadcast(starts), "__b")
                .withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"__s_{c}") for c in sums})
                .drop("__b", *[f"__s_{c}" for c in sums]))
+
+
+def grouped_totals(df: DataFrame, within: str, order: str, sums: list[str], buckets: int | None = None) -> DataFrame:
+    """Adds ``cum_<c>`` for each column in ``sums``, inclusive, along ascending ``order`` inside each group.
+
+    ``df`` has one row per group and value of ``order`` (pre-aggregated, no nulls).  Each group's range is
+    cut at sketch quantiles of its own, so a large group is summed in as many pieces as a small one
+    has; groups x buckets rows hold the cuts and the totals.
+    """
+    buckets = buckets or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = df.groupBy(within).agg(F.array_distinct(F.percentile_approx(order, probs, _ACCURACY)).alias("__cuts"))
+    cut = attach(df, cuts, [within], "inner").withColumn(
+        "__b", F.aggregate("__cuts", F.lit(0), lambda n, c: n + (F.col(order) > c).cast("int"))).drop("__cuts")
+    totals = cut.groupBy(within, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    before = W.partitionBy(within).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(within, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(before), F.lit(0)).alias(f"__s_{c}")
+                                            for c in sums])
+    local = W.partitionBy(within, "__b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return (cut.withColumns({f"cum_{c}": F.sum(c).over(local) for c in sums})
+               .join(starts, [within, "__b"])
+               .withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"__s_{c}") for c in sums})
+               .drop("__b", *[f"__s_{c}" for c in sums]))
