@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeatureConfig, MultiSeriesConfig, RunConfig
 from tidemark.models.base import HAT, load, make
-from tidemark.operators import evaluate
+from tidemark.operators import evaluate, isolation
 from tidemark.operators.features import feature_matrix, feature_names
 from tidemark.operators.series import ITEM, TS, Y
 from tidemark.plans import backtest as bt
@@ -247,3 +247,11 @@ def test_a_slow_model_ends_at_the_time_limit(spark, uneven, monkeypatch):
     errors = {r["model"]: r["error"] for r in board.rows}
     assert "time limit" in errors["slow"] and errors["seasonal_naive"] is None and errors["npts"] is None
     assert set(board.backtests) == {board.rows[0]["model"]} and uneven.count() == 330  # others' jobs go on
+
+
+def test_forest_draw_is_full_for_a_key_of_few_values(spark):
+    df = spark.range(20000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 2).alias("k"))
+    for seed in (1, 2, 3):
+        drawn = isolation.draw_sample(df, ["v"], 20000, 10, 256, seed, ["k"])
+        sizes = {r["tree"]: r["count"] for r in drawn.groupBy("tree").count().collect()}
+        assert sizes == {t: 256 for t in range(10)}

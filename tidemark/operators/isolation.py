@@ -44,9 +44,13 @@ def draw_sample(df: DataFrame, columns: list[str], n: int, trees: int, per_tree:
     passes = -(-need // n)
     x = F.array(*[F.col(f"`{c}`") for c in columns]).alias("x")
     order = hash_key(key, seed) / float(1 << HASH_BITS) if key else F.rand(seed)
-    # about a fifth more than needed passes the filter, so the sort never sees the whole table
+    # about a fifth more than needed passes the filter, so the sort never sees the whole table;
+    # hashes of a key with few values lie in few places, so the filter widens until enough rows pass
     enough = min(1.0, (1.2 * need + 1000) / n)
-    rows = df.select(x, order.alias("o")).where(F.col("o") <= enough).orderBy("o").limit(min(n, need))
+    drawn = df.select(x, order.alias("o"))
+    while key and enough < 1.0 and drawn.where(F.col("o") <= enough).limit(need).count() < need:
+        enough = min(1.0, 4 * enough)
+    rows = drawn.where(F.col("o") <= enough).orderBy("o").limit(min(n, need))
     rows = rows.select("x", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("p"), "o")
     shuffled = rows.withColumn("o", F.xxhash64("o", "p", F.lit(seed)))
     # bounded by trees * per_tree plus one pass, whatever the table holds
