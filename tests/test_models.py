@@ -73,6 +73,39 @@ def test_first_recursive_step_equals_transform_and_survives_saving(spark, weekly
     assert key(again) == key(made)
 
 
+@pytest.mark.parametrize("name", ["rf", "recursive_tabular"])
+def test_recursive_forecast_equals_a_plain_loop_for_models_of_any_size(spark, weekly, monkeypatch, name):
+    from pyspark.ml.linalg import Vectors
+
+    from tidemark.functions.calendar import CALENDAR_NAMES
+    from tidemark.models import trees
+    cfg = FeatureConfig((1, 2, 9), (3, 8), True)
+    start = dt.datetime(2023, 5, 21)
+    short = [("c", start - dt.timedelta(days=k), v) for k, v in ((5, 4.0), (4, None), (3, float("nan")), (2, 7.0), (1, 9.0))]
+    history = weekly.unionByName(spark.createDataFrame(short, weekly.schema)).persist()
+    model = make(name, features=cfg, params={"n_estimators": 6, "max_depth": 5}).fit(weekly)
+    steps = {"a": 11, "b": 3, "c": 11}
+    future = spark.createDataFrame([(i, start + dt.timedelta(days=h - 1), h) for i, n in steps.items() for h in range(1, n + 1)],
+                                   "item_id string, timestamp timestamp_ntz, h int")
+    known = {(r[ITEM], r["h"]): [float(r[c]) for c in CALENDAR_NAMES]
+             for r in feature_matrix(future.withColumn(Y, F.lit(0.0)), cfg).collect()}
+    want = {}
+    for item, n in steps.items():
+        past = [r[Y] for r in history.where(F.col(ITEM) == item).orderBy(TS).collect()]
+        past = [None if v != v else v for v in past]
+        for h in range(1, n + 1):
+            lags = [past[-k] if len(past) >= k and past[-k] is not None else 0.0 for k in cfg.lags]
+            means = [0.0 if len(past) < w or None in past[-w:] else sum(past[-w:]) / w for w in cfg.roll_windows]
+            past.append(model.model.predict(Vectors.dense(lags + means + known[item, h])))
+            want[item, h] = past[-1]
+    for nodes in (trees.BLOCK_NODES, 1, 2 * model.model.totalNumNodes):  # seven, one and two steps a block
+        monkeypatch.setattr(trees, "BLOCK_NODES", nodes)
+        got = {(r[ITEM], r["h"]): r[HAT] for r in model.forecast(history, 11, future).collect()}
+        assert got == pytest.approx(want)
+    assert model.forecast(history, 2).where("item_id = 'c'").count() == 2
+    assert model.forecast(history, 11, future.limit(0)).count() == 0
+
+
 def test_search_takes_the_best_and_skips_failures(spark, weekly):
     plan = bt.FoldPlan(100, 20, 7)
     space = [{"order": "broken"}, {"order": (1, 0, 0), "seasonal_order": (0, 1, 0, 7)}]

@@ -1,18 +1,18 @@
 """Tree forecasters over all items: recursive (forest or boosted) and direct (boosted).
 
-Fits are Spark ML.  The recursive forecast needs earlier predictions as inputs, so the fitted
-nodes are read back from the saved model, shared with the tasks, and each batch of items
-walks the horizon together; per item only the last ``reach`` values travel.
+Fits and predictions are Spark ML's.  The recursive forecast needs earlier predictions as inputs:
+an item is one row with its last ``reach`` values and the known inputs of its steps; a step
+appends the model's prediction to those values.  Steps run in blocks, a block being one job, and
+the rows between two blocks are checkpointed.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, RandomForestRegressionModel,
                                    RandomForestRegressor)
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,43 +21,13 @@ from tidemark.models.base import HAT, ITEM, STEP, TS, Forecaster
 from tidemark.operators.features import complete_cases, feature_matrix, feature_names
 from tidemark.operators.future import expand_future, future_exog
 from tidemark.operators.series import Y, by_item
-from tidemark.session import discard, fresh_path
+from tidemark.session import cut_lineage
 
 MAX_DEPTH = 30  # the deepest tree Spark grows
 DEFAULT_DEPTH = 12  # the deepest of the search grids
-MAX_NODES = 5_000_000  # of a recursive model: its nodes go through the driver and to every executor
-
-
-class NodeTable:
-    """Fitted trees as flat arrays; ``RecursiveForest.node_table`` checks their number first."""
-
-    def __init__(self, spark, path: str, weights: list[float]):
-        d = F.col("nodeData")
-        rows = (spark.read.parquet(f"{path}/data")
-                .select("treeID", d["id"].alias("id"), d["prediction"].alias("prediction"),
-                        d["leftChild"].alias("left"), d["rightChild"].alias("right"),
-                        d["split"]["featureIndex"].alias("feature"),
-                        F.get(d["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("cut"))
-                .toPandas().sort_values(["treeID", "id"]))
-        starts = rows.groupby("treeID").size().cumsum().shift(fill_value=0).to_numpy()
-        offset = np.repeat(starts, rows.groupby("treeID").size().to_numpy())
-        leaf = rows.left.to_numpy() < 0
-        here = np.arange(len(rows))
-        self.roots = starts
-        self.left = np.where(leaf, here, rows.left.to_numpy() + offset)
-        self.right = np.where(leaf, here, rows.right.to_numpy() + offset)
-        self.feature = np.maximum(rows.feature.to_numpy(), 0)
-        self.cut = np.where(leaf, np.inf, rows.cut.to_numpy(dtype=float))
-        self.value = rows.prediction.to_numpy(dtype=float)
-        self.leaf = leaf
-        self.weights = np.asarray(weights, dtype=float)
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        at = np.tile(self.roots, (len(x), 1))
-        row = np.arange(len(x))[:, None]
-        while not self.leaf[at].all():
-            at = np.where(x[row, self.feature[at]] <= self.cut[at], self.left[at], self.right[at])
-        return self.value[at] @ self.weights
+# A step broadcasts the model once more: a block holds this many nodes in all its copies, and one step at least.
+BLOCK_NODES = 5_000_000
+BLOCK_STEPS = 7
 
 
 class _TreeForecaster(Forecaster):
@@ -115,59 +85,47 @@ class RecursiveForest(_TreeForecaster):
         self.model = self.estimator().fit(vectors)
         return self
 
-    def node_table(self, spark) -> NodeTable:
-        nodes = self.model.totalNumNodes
-        if nodes > MAX_NODES:
-            raise ValueError(f"the model has {nodes} nodes, more than {MAX_NODES}: lower max_depth or n_estimators, "
-                             "or raise min_samples_leaf")
-        path = fresh_path(spark, "trees")
-        self.model.write().save(path)
-        n = self.model.getNumTrees
-        weights = self.model.treeWeights if self.boosted else [1.0 / n] * n
-        try:
-            return NodeTable(spark, path, weights)
-        finally:
-            discard(spark, path)
+    def inputs(self, past: Column, known: Column) -> Column:
+        """Model inputs of the step after ``past``; what the past does not reach is 0."""
+        lags = [F.try_element_at(past, F.lit(-k)) for k in self.features.lags]
+        means = [F.when(F.size(past) >= w, F.aggregate(F.slice(past, -w, w), F.lit(0.0), lambda a, b: a + b) / w)
+                 for w in self.features.roll_windows]
+        own = [F.coalesce(c, F.lit(0.0)) for c in lags + means]
+        return array_to_vector(F.concat(F.array(*own), known) if own else known)
+
+    def block_steps(self) -> int:
+        return max(1, min(BLOCK_STEPS, BLOCK_NODES // max(1, self.model.totalNumNodes)))
 
     def forecast(self, history: DataFrame, horizon: int, future: DataFrame | None = None) -> DataFrame:
-        spark = history.sparkSession
+        """All steps of all items; a missing or NaN value of the past counts as missing."""
         cfg = self.features
+        reach, block = max(cfg.reach, 1), self.block_steps()
         back = F.row_number().over(W.partitionBy(ITEM).orderBy(F.desc(TS)))
-        tail = history.select(ITEM, TS, Y, back.alias("__b")).where(F.col("__b") <= max(cfg.reach, 1))
-        past = tail.groupBy(ITEM).agg(F.array_sort(F.collect_list(F.struct(TS, Y))).alias("p"))
+        value = F.when(~F.isnan(Y), F.col(Y)).alias(Y)
+        tail = history.select(ITEM, TS, value, back.alias("__b")).where(F.col("__b") <= reach)
+        past = tail.groupBy(ITEM).agg(F.array_sort(F.collect_list(F.struct(TS, Y)))[Y].alias("p"))
         rows = self.future_rows(history, horizon, future)
         inputs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.exog]
         if cfg.add_calendar:
             inputs = [v.cast("double") for v in calendar_columns(F.col(TS)).values()] + inputs
         ahead = rows.groupBy(ITEM).agg(F.array_sort(F.collect_list(
             F.struct(STEP, TS, F.array(*inputs).cast("array<double>").alias("x")))).alias("f"))
-        shared = spark.sparkContext.broadcast(self.node_table(spark))
-        lags, windows, reach = list(cfg.lags), list(cfg.roll_windows), max(cfg.reach, 1)
-
-        @F.pandas_udf("array<double>")
-        def walk(pasts: pd.Series, futures: pd.Series) -> pd.Series:
-            trees = shared.value
-            hist = np.full((len(pasts), reach), np.nan)
-            for i, p in enumerate(pasts):
-                v = np.asarray(p, dtype=float)[-reach:]
-                if len(v):
-                    hist[i, reach - len(v):] = v
-            known = [np.vstack([np.asarray(r, dtype=float) for r in f]) for f in futures]
-            made = np.zeros((len(hist), max(len(k) for k in known)))
-            for s in range(made.shape[1]):
-                cols = [np.nan_to_num(hist[:, -k]) for k in lags]
-                for w in windows:
-                    part = hist[:, -w:]
-                    cols.append(np.where(np.isnan(part).any(1), 0.0, np.nan_to_num(part).mean(1)))
-                now = np.vstack([k[min(s, len(k) - 1)] for k in known])
-                x = np.column_stack([*cols, now]) if cols else now
-                made[:, s] = trees.predict(x)
-                hist = np.column_stack([hist[:, 1:], made[:, s]])
-            return pd.Series([row[:len(k)].tolist() for row, k in zip(made, known)])
-
-        out = ahead.join(past, ITEM).select(ITEM, "f", walk(F.col("p")[Y], F.col("f")["x"]).alias("v"))
-        pairs = out.select(ITEM, F.explode(F.arrays_zip(F.col("f")[TS].alias("ts"), F.col("f")[STEP].alias("h"),
-                                                        F.col("v").alias("v"))).alias("r"))
+        state = ahead.join(past, ITEM).select(ITEM, "f", "p", F.array().cast("array<double>").alias("v"))
+        steps = horizon
+        if future is not None:
+            state = cut_lineage(state)
+            steps = state.agg(F.max(F.size("f"))).first()[0] or 0
+        for step in range(steps):
+            if step and step % block == 0:
+                state = cut_lineage(state)
+            known = F.element_at("f", F.least(F.size("v") + 1, F.size("f")))["x"]
+            made = self.model.transform(state.withColumn("features", self.inputs(F.col("p"), known)))
+            newest = F.array(HAT)
+            state = made.select(ITEM, "f", F.slice(F.concat("p", newest), F.greatest(F.lit(1), F.size("p") + 2 - reach), reach)
+                                .alias("p"), F.concat("v", newest).alias("v"))
+        rows = F.slice(F.arrays_zip(F.col("f")[TS].alias("ts"), F.col("f")[STEP].alias("h"), F.col("v").alias("v")),
+                       F.lit(1), F.size("f"))
+        pairs = state.select(ITEM, F.explode(rows).alias("r"))
         return pairs.select(ITEM, F.col("r.ts").alias(TS), F.col("r.h").alias(STEP), F.col("r.v").alias(HAT))
 
 
