@@ -26,6 +26,35 @@ def test_duplicate_times_stop_the_grid(spark):
     assert values(merged) == [3.0]
 
 
+def test_keys_find_the_time_among_them(spark):
+    days = [f"{d:02d}/03/2024" for d in range(1, 25)]
+    df = spark.createDataFrame([(t, f"s{i % 3}", i, float(i)) for i, t in enumerate(days)], "a string, b string, n int, v double")
+    for keys in (["a", "b"], ["b", "a"]):
+        got, roles = series.series_keys(df, keys)
+        assert roles == {"time": "a", "item": "b"} and got.columns == [ITEM, TS, "n", "v"]
+        assert [tuple(r) for r in got.orderBy("n").collect()] == [(f"s{i % 3}", D(2024, 3, i + 1), i, float(i)) for i in range(24)]
+    both = df.withColumn("c", F.to_date("a", "dd/MM/yyyy"))
+    assert series.series_keys(both, ["a", "c", "b"])[1] == {"time": "c", "item": "a"}  # the last of two times
+    assert series.series_keys(both, ["c", "b"])[0].orderBy("n").first()[TS] == D(2024, 3, 1)
+    lone, roles = series.series_keys(df, ["a"])
+    assert roles == {"time": "a", "item": None} and {r[ITEM] for r in lone.collect()} == {"0"}
+    with pytest.raises(ValueError, match="24 of 24 times in 'n'"):
+        series.series_keys(df, ["b", "n"])  # none looks like a time: the last one is tried
+    more = spark.createDataFrame([(f"2024-01-{i % 28 + 1:02d}" if i < 95 else None if i < 97 else "soon", "x")
+                                  for i in range(100)], "t string, item string")
+    with pytest.raises(ValueError, match="5 of 100 times in 't'"):  # 5 % is still the time, but its nulls are an error
+        series.series_keys(more, ["t", "item"])
+    with pytest.raises(ValueError, match="in 'item'"):
+        series.series_keys(more.where("t IS NULL OR t <> '2024-01-01'"), ["t", "item"])
+    assert series.series_keys(df.limit(0), ["b", "a"])[0].count() == 0
+    with pytest.raises(ValueError, match="no keys"):
+        series.series_keys(df, [])
+    with pytest.raises(ValueError, match="names of the new keys"):
+        series.series_keys(df.withColumn("Timestamp", F.lit(1)), ["a", "b"])
+    with pytest.raises(ValueError, match="2 times"):
+        series.require_times(spark.createDataFrame([(D(2024, 1, 1),), (None,), (None,)], "t timestamp_ntz"), "t")
+
+
 def test_forward_fill_stops_at_the_cap(spark):
     df = make(spark, [("a", D(2024, 1, 1), 5.0), ("a", D(2024, 1, 6), 7.0)])
     assert values(series.regular_grid(df, "D")) == [5.0] * 5 + [7.0]

@@ -6,6 +6,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemark.config import ClassifyConfig
@@ -33,8 +34,9 @@ def test_csv_strict_and_lenient(spark):
     path = write(spark, "bad", good + "7,y,too many\n")
     with pytest.raises(Exception):
         readers.load_table(spark, path).collect()
-    kept = readers.sniff_table(spark, path)
-    rows = kept.collect()
+    seen = Observation()
+    rows = readers.sniff_table(spark, path, seen).collect()
+    assert seen.get == {"rows": 1201, "broken": 1}
     assert len(rows) == 1201 and [r["_corrupt_record"] for r in rows if r["_corrupt_record"]] == ["7,y,too many"]
     path = write(spark, "late", good + "oops,y\n")
     with pytest.raises(Exception):
@@ -44,7 +46,25 @@ def test_csv_strict_and_lenient(spark):
 def test_parquet_is_known_by_its_mark(spark):
     path = fresh_path(spark, "table")
     spark.range(5).write.parquet(path)
-    assert readers.sniff_table(spark, path).count() == 5
+    seen = Observation()
+    assert readers.sniff_table(spark, path, seen).count() == 5 and seen.get == {"rows": 5, "broken": 0}
+
+
+def test_sniffing_reads_a_csv_once_more_than_its_types_need(spark):
+    path = write(spark, "pruned", "a,b,c\n1,x,2\n3,y\n4,z,5,6\n7,w,8\n")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sniff", "")
+    table = readers.sniff_table(spark, path, seen := Observation())
+    before = len(jobs.getJobIdsForGroup("sniff"))
+    readers.infer_csv_schema(spark, path)
+    inference = len(jobs.getJobIdsForGroup("sniff")) - before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert before - inference <= 1  # is it Parquet? then nothing but the types
+    assert table.count() == 4 and seen.get == {"rows": 4, "broken": 2}  # no column asked for
+    narrow = readers.sniff_table(spark, path, seen := Observation()).select("a")
+    assert [r.a for r in narrow.collect()] == [1, 3, 4, 7] and seen.get == {"rows": 4, "broken": 2}
+    empty = write(spark, "empty", "a,b\n")
+    assert readers.sniff_table(spark, empty, seen := Observation()).count() == 0 and seen.get == {"rows": 0, "broken": 0}
 
 
 def test_other_frames_and_records(spark):

@@ -50,6 +50,17 @@ def regular_grid_ffill(spark, d):
     return orders_filled(spark, d)
 
 
+@register("series_keys", """SELECT o_orderpriority AS item_id, o_orderdate::TIMESTAMP AS "timestamp", o_orderkey, o_totalprice
+  FROM orders""")
+def series_keys(spark, d):
+    """Dates as text in two orders, ahead of the item: which key is the time is found, and that days come first."""
+    o = table(spark, d, "orders")
+    day = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(
+        F.date_format("o_orderdate", "dd/MM/yyyy"))
+    return series.series_keys(o.select(day.alias("day"), "o_orderpriority", "o_orderkey", "o_totalprice"),
+                              ["day", "o_orderpriority"])[0]
+
+
 _SPARSE = """s AS (SELECT o_orderpriority || '/' || o_orderstatus AS item_id, date_trunc('day', o_orderdate)::TIMESTAMP AS ts,
     round(sum(o_totalprice), 2) AS y FROM orders GROUP BY ALL),
   g AS (SELECT item_id, unnest(generate_series(min(ts), max(ts), INTERVAL 1 DAY)) AS ts FROM s GROUP BY item_id)"""

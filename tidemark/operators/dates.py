@@ -37,6 +37,12 @@ def parse_any(c: Column, day_first: bool | Column) -> Column:
     return F.coalesce(*tries)
 
 
+def first_day_part(c: Column) -> Column:
+    """First number of a date like 31/12/2024; above 12 somewhere, days come first in the whole column."""
+    s = F.trim(c)
+    return F.when(s.rlike(_SLASHED), F.substring(s, 1, 2).cast("int"))
+
+
 def parse_times(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """One format for the column when every value has its shape, else value by value.
 
@@ -46,7 +52,7 @@ def parse_times(df: DataFrame, column: str, out: str | None = None) -> DataFrame
     filled = s.isNotNull() & (s != "")
     votes = [F.bool_and(F.when(filled, s.rlike(p))).alias(f"p{i}") for i, (p, _) in enumerate(UNIFORM)]
     votes += [F.bool_and(F.when(filled, s.rlike(_SLASHED))).alias("slashed"),
-              F.max(F.when(s.rlike(_SLASHED), F.substring(s, 1, 2).cast("int"))).alias("first_part")]
+              F.max(first_day_part(s)).alias("first_part")]
     row = df.agg(*votes).first()
     day_first = (row["first_part"] or 0) > 12
     for i, (_, fmt) in enumerate(UNIFORM):

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.calendar import (NTZ, bucket, check_freq, first_on_grid, on_grid_flags, plus_steps,
                                          steps_between)
+from tidemark.operators.dates import first_day_part, parse_any
 from tidemark.operators.keyed import attach
 
 ITEM, TS, Y = "item_id", "timestamp", "target"
@@ -53,6 +54,51 @@ def to_long_series(df: DataFrame, ts_col: str, value_cols: list[str], item_col:
               .dropna(subset=[TS]))
 
 
+def series_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, dict]:
+    """The table with its keys as text ``item_id`` and zone-free ``timestamp``, and what was decided.
+
+    Of two or more keys the last one that looks like a time is the time: a time type, or text of which
+    at most 5 % of all rows (nulls included) cannot be read.  If none does, the last key is tried.  The
+    item is the first other key; a lone key is the time of item "0".  One aggregate over the keys
+    decides, and tells how slashed dates are ordered.  A time that is null or cannot be read is an
+    error.  Other columns pass; one that is already named like a new key is an error.
+    """
+    missing = [k for k in keys if k not in df.columns]
+    if missing or not keys:
+        raise ValueError(f"missing keys: {missing}" if missing else "no keys given")
+    taken = [c for c in df.columns if c.lower() in (ITEM, TS) and c not in keys]
+    if taken:
+        raise ValueError(f"columns {taken} have the names of the new keys")
+    kinds = [df.schema[k].dataType for k in keys]
+    typed = [isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)) for t in kinds]
+    text = [isinstance(t, T.StringType) for t in kinds]
+    votes = [F.count(F.lit(1)).alias("n")]
+    for i, k in enumerate(keys):
+        c = F.col(f"`{k}`")
+        votes += [F.count(parse_any(c, False) if text[i] else c if typed[i] else F.lit(None)).alias(f"good{i}"),
+                  F.max(first_day_part(c) if text[i] else F.lit(None)).alias(f"first{i}")]
+    row = df.agg(*votes).first()
+    timely = [i for i in range(len(keys)) if typed[i] or text[i] and row["n"] and 20 * (row["n"] - row[f"good{i}"]) <= row["n"]]
+    at = timely[-1] if timely else len(keys) - 1
+    bad = row["n"] - row[f"good{at}"]
+    if bad:
+        raise ValueError(f"{bad} of {row['n']} times in {keys[at]!r} are null or cannot be read")
+    ts = F.col(f"`{keys[at]}`")
+    time = parse_any(ts, (row[f"first{at}"] or 0) > 12) if text[at] else as_naive(ts, kinds[at]) if typed[at] else ts.try_cast(NTZ)
+    own = next((k for i, k in enumerate(keys) if i != at), None)
+    item = F.lit("0") if own is None else F.col(f"`{own}`").cast("string")
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in (keys[at], own)]
+    return df.select(item.alias(ITEM), time.alias(TS), *rest), {"time": keys[at], "item": own}
+
+
+def require_times(df: DataFrame, ts_col: str) -> DataFrame:
+    """The same table; null times are an error that tells their number."""
+    bad = df.agg(F.count_if(F.col(f"`{ts_col}`").isNull())).first()[0]
+    if bad:
+        raise ValueError(f"{bad} times in {ts_col!r} are null or cannot be read")
+    return df
+
+
 def single_series_name(df: DataFrame, name: str) -> DataFrame:
     """Rename the id when the table holds one series only."""
     ids = df.agg((F.min(ITEM) == F.max(ITEM)).alias("lone"))

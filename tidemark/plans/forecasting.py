@@ -213,11 +213,20 @@ def run_multi_series(df: DataFrame, config: MultiSeriesConfig | None = None, tar
                      ts_col: str | None = None, item_col: str | None = None, exog_cols: list[str] | None = None,
                      how: str = "mean", item_fallback: str = series.LONE,
                      features: FeatureConfig | None = None, options: dict | None = None,
-                     save_dir: str | None = None) -> MultiSeriesRun:
-    """Resample, hold out the tail, rank models on it, forecast with the best from all rows."""
+                     save_dir: str | None = None, keys: list[str] | None = None) -> MultiSeriesRun:
+    """Resample, hold out the tail, rank models on it, forecast with the best from all rows.
+
+    ``keys`` names the key columns where it is not known which of them is the time
+    (``series.series_keys`` finds out).  A null time is an error.
+    """
     cfg = config or MultiSeriesConfig()
     freq, season = check_freq(cfg.freq), SEASON.get(check_freq(cfg.freq), 1)
-    df, ts_col = parse_key(df, ts_col)
+    if keys:
+        df, _ = series.series_keys(df, list(keys))
+        ts_col, item_col = TS, ITEM
+    else:
+        df, ts_col = parse_key(df, ts_col)
+        df = series.require_times(df, ts_col)
     exog = list(exog_cols or [])
     target = target or profile.lenient_target(df, exog)
     long = series.to_long_series(df, ts_col, [target, *exog], item_col, target=target)

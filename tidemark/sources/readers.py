@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +38,9 @@ def read_csv(spark: SparkSession, path: str, strict: bool = True, multi_line: bo
     if strict:
         return spark.read.csv(path, schema=schema, mode="FAILFAST", **options)
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return spark.read.csv(path, schema=wide, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options)
+    # a parser that skips columns takes a row with too many or too few cells for a whole one
+    reader = spark.read.option("columnPruning", False)
+    return reader.csv(path, schema=wide, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **options)
 
 
 def trim_header(df: DataFrame) -> DataFrame:
@@ -77,16 +79,20 @@ def load_table(spark: SparkSession, path: str, name: str | None = None) -> DataF
     return read_csv(spark, path)
 
 
-def sniff_table(spark: SparkSession, path: str) -> DataFrame:
-    """Table by content: Parquet by its mark, else strict CSV, else lenient CSV."""
-    if is_parquet(spark, path):
-        return spark.read.parquet(path)
-    try:
-        table = read_csv(spark, path)
-        table.write.format("noop").mode("overwrite").save()
+def sniff_table(spark: SparkSession, path: str, seen: Observation | None = None) -> DataFrame:
+    """Table by content: Parquet by its mark, else CSV of which every row is kept.
+
+    Broken rows of a CSV table have their line in ``_corrupt_record``, a column it has in any case.
+    Nothing is read ahead to look for them: ``seen`` counts ``rows`` and ``broken`` ones while
+    the first action reads the table, whatever columns that action needs.
+    """
+    parquet = is_parquet(spark, path)
+    table = spark.read.parquet(path) if parquet else read_csv(spark, path, strict=False)
+    if seen is None:
         return table
-    except Exception:
-        return read_csv(spark, path, strict=False)
+    # Spark refuses to read that column alone
+    broken = F.lit(None) if parquet else F.when(F.col(CORRUPT).isNotNull(), F.struct(F.col(f"`{table.columns[0]}`")))
+    return table.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(broken).alias("broken"))
 
 
 def spread(df: DataFrame) -> DataFrame:
