@@ -35,6 +35,13 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*[F.col(f"c{i}").alias(new) for new, i in places.items()])
 
 
+def ids_and_texts(df: DataFrame, id_column: str, text_column: str, id_type: str | None = None) -> DataFrame:
+    """id, text of every row; a null text is empty."""
+    rows = pick(df, id=id_column, text=text_column)
+    key = F.col("id").cast(id_type) if id_type else F.col("id")
+    return rows.select(key.alias("id"), text_or_empty().alias("text"))
+
+
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, spread
+from tidemark.llm.common import ids_and_texts, map_texts, pick, spread
 from tidemark.llm.words import ALPHANUMERIC, find_words, parts, shingle_hashes, text_buffer
 
 SHINGLE = 3
@@ -60,9 +60,9 @@ def benchmark_blocks(benchmark: DataFrame, window: int, block_windows: int, id_c
 
     Items stream to the driver one by one.
     """
-    rows = (benchmark.select(F.col(f"`{id_column}`").cast("string").alias("id"),
-                             F.col(f"`{text_column}`").cast("string").alias("text"))
-                     .where("id IS NOT NULL AND text IS NOT NULL").dropDuplicates().toLocalIterator())
+    rows = (pick(benchmark, id=id_column, text=text_column)
+            .select(F.col("id").cast("string"), F.col("text").cast("string"))
+            .where("id IS NOT NULL AND text IS NOT NULL").dropDuplicates().toLocalIterator())
     items: list[str] = []
     seen: dict[bytes, int] = {}
     words_of: list[np.ndarray] = []
@@ -201,8 +201,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     take no part, repeated items count once per id.  A null document text has no words.
     Repeated documents and null ids are answered row by row; other columns are not read.
     """
-    rows = spread(docs.select(F.col(f"`{id_column}`").alias("id"),
-                              F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text")))
+    rows = spread(ids_and_texts(docs, id_column, text_column))
     id_type = rows.schema["id"].dataType.simpleString()
     state = rows.withColumns({"n_words": F.lit(None).cast("bigint"),
                               "hit": F.expr("CAST(NULL AS array<struct<start:bigint,end:bigint>>)"),

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import spread
+from tidemark.llm.common import ids_and_texts, spread
 from tidemark.llm.graph import components
 from tidemark.llm.words import SPACED, find_words, mix, parts, shingle_hashes, text_buffer
 from tidemark.session import cut_lineage, fresh_path
@@ -321,8 +321,7 @@ def find_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     is kept.  Ids are whole numbers; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = spread(docs.select(F.col(f"`{id_column}`").cast("bigint").alias("id"),
-                              F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text")))
+    rows = spread(ids_and_texts(docs, id_column, text_column, "bigint"))
     path = fresh_path(spark, "signatures")
     (rows.mapInArrow(_signed(shingle), "id bigint, n bigint, d1 bigint, d2 bigint, sig binary")
          .write.parquet(path))

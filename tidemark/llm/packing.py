@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import spread
+from tidemark.llm.common import ids_and_texts, spread
 from tidemark.llm.tokens import BYTE_BPE, KNOWN, encode_ids
 from tidemark.llm.words import parts
 
@@ -144,8 +144,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = BYTE_BPE, end_i
     document has no piece.  ``known`` bounds the words a worker remembers.  Repeated rows and null ids are packed row by row; columns other
     than id and text are not read.
     """
-    rows = spread(docs.select(F.col(f"`{id_column}`").alias("id"),
-                              F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text")))
+    rows = spread(ids_and_texts(docs, id_column, text_column))
     id_type = rows.schema["id"].dataType.simpleString()
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     schema = (f"id {id_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_texts, spread
+from tidemark.llm.common import map_texts, pick, spread
 from tidemark.session import cut_lineage, fresh_path
 
 SAMPLE = 20_000
@@ -90,6 +90,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, id_column:
     good: every label says quality 1 (or nothing) and none says toxic 1.  Rows without id or
     without either label take no part.
     """
+    labels = pick(labels, doc_id="doc_id", quality="quality", toxic="toxic")
     judged = (labels.where(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
                     .groupBy(F.col("doc_id").alias("label_id"))
                     .agg(((F.coalesce(F.min("quality"), F.lit(1)) == 1) &
@@ -97,7 +98,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, id_column:
     n = judged.count()
     share = min(1.0, sample / max(1, n))
     picked = judged.where(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = docs.select(F.col(f"`{id_column}`").alias("label_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    texts = pick(docs, label_id=id_column, text=text_column).withColumn("text", F.col("text").cast("string"))
     # the sample is bounded by a parameter, so it may travel whole
     return (texts.where("text IS NOT NULL").join(F.broadcast(picked), "label_id")
                  .groupBy(F.xxhash64("text").alias("copy")).agg(F.first("text").alias("text"), F.min("good").alias("good"))
@@ -217,8 +218,8 @@ def classify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     A null text is empty and judged as such; a null host or path is a site of its own.
     Repeated rows and null ids are judged row by row and count for their site.
     """
-    rows = spread(docs.select(F.col(f"`{id_column}`").alias("id"), *site_columns(host_column, path_column),
-                              F.col(f"`{text_column}`").alias("text")))
+    own = pick(docs, id=id_column, host=host_column, path=path_column, text=text_column)
+    rows = spread(own.select("id", *site_columns("host", "path"), "text"))
     scored = cut_lineage(with_evidence(rows, model, 3, "evidence").drop("text"))
     joined = scored.join(site_priors(scored), ["host", "path"])
     score = 1 / (1 + F.exp(-(F.col("evidence") + F.col("shift"))))

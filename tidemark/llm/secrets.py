@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, spread
+from tidemark.llm.common import ids_and_texts, map_texts, spread
 
 KINDS = ("assign", "access", "hex", "lexed")
 THRESHOLD = 1.0
@@ -187,8 +187,7 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     A null text is empty and has no span.  Repeated rows and null ids are scanned row by row;
     columns other than id and text are not read.
     """
-    rows = spread(docs.select(F.col(f"`{id_column}`").alias("id"),
-                              F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text")))
+    rows = spread(ids_and_texts(docs, id_column, text_column))
     kind = rows.schema["id"].dataType.simpleString()
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import only_keys, spread
+from tidemark.llm.common import ids_and_texts, only_keys, spread
 from tidemark.llm.suffix_order import common_prefix, order
 from tidemark.llm.words import _BASE, _BYTE_CODE, _tables, mix, parts, text_buffer
 from tidemark.session import cut_lineage, fresh_path
@@ -360,8 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id"
     are not read.
     """
     spark = docs.sparkSession
-    rows = spread(docs.select(F.col(f"`{id_column}`").alias("id"),
-                              F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text")))
+    rows = spread(ids_and_texts(docs, id_column, text_column))
     # a text is known by 96 bits of two hashes
     rows = rows.withColumns({"h": F.xxhash64("text"), "g": F.hash("text")})
     long = rows.where(F.octet_length("text") >= length)

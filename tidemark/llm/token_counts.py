@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_size, spread
+from tidemark.llm.common import by_size, ids_and_texts, spread
 from tidemark.llm.tokens import BYTE_BPE, encode_ids, load
 from tidemark.llm.words import parts
 from tidemark.session import cut_lineage
@@ -39,8 +39,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = BYTE_BPE, limit: int = 1024,
     null ids are counted row by row; columns other than id and text are not read.  Files
     ending in ``.model`` have no offsets that prove a boundary and are encoded whole.
     """
-    rows = docs.select(F.col(f"`{id_column}`").alias("id"),
-                       F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
+    rows = ids_and_texts(docs, id_column, text_column)
     rows = spread(rows)
     whole = tokenizer.endswith(".model")
     short = rows if whole else rows.where(F.length("text") <= chunk_chars)

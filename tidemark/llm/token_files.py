@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.llm.common import ids_and_texts
 from tidemark.llm.tokens import BYTE_BPE, encode_ids
 from tidemark.llm.words import parts
 from tidemark.session import cut_lineage
@@ -156,8 +157,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end
     ids follow each other in the order of a hash of their text, so they may span files.
     ``end_id`` None appends nothing.  Columns other than id and text are not read.
     """
-    rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("id"),
-                       F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
+    rows = ids_and_texts(docs, id_column, text_column, "bigint")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
     ordered = (rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(files, "id", "tie")

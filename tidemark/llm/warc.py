@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import arc
+from tidemark.llm.common import pick, text_or_empty
 from tidemark.session import cut_lineage
 
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace of URLs
@@ -58,9 +59,9 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000", id_colu
     The payload is the text in UTF-8 behind an HTTP header that carries the page's id.  A null
     payload is empty, a null or empty URL is ``-``, a null id leaves the header out.
     """
-    rows = pages.select(F.col(f"`{id_column}`").cast("bigint").alias("page_id"),
-                        F.coalesce(F.col(f"`{url_column}`").cast("string"), F.lit("-")).alias("url"),
-                        F.coalesce(F.col(f"`{payload_column}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = pick(pages, page_id=id_column, url=url_column, payload=payload_column).select(
+        F.col("page_id").cast("bigint"), F.coalesce(F.col("url").cast("string"), F.lit("-")).alias("url"),
+        text_or_empty("payload").cast("binary").alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
