@@ -40,8 +40,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets blanked; n_chars follows the text."""
     small_batches(spark)
-    clean = redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else clean
+    clean, columns = redact(docs), docs.columns
+    if "n_chars" not in columns:
+        return clean
+    plain = clean.toDF(*[f"c{i}" for i in range(len(columns))])
+    length = F.length(f"c{columns.index('text')}").cast("bigint")
+    return plain.withColumn(f"c{columns.index('n_chars')}", length).toDF(*columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
