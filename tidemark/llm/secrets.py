@@ -2,7 +2,11 @@
 
 Method: assignment-aware lexing.  Source and configuration lines are read as name-literal
 pairs: ``name = "literal"``, ``"name": "literal"``, ``name: literal``, ``export NAME=literal``,
-``<name>literal</name>`` and ``name="a" + "b"``, names and literals of any length.  A name bound to a literal is a constant;
+``<name>literal</name>`` and ``name="a" + "b"``, names and literals of any length; declared types
+(``name: str = "..."``, ``char name[] = "..."``), keys in brackets (``env["NAME"] = "..."``), escaped and
+triple quotes, YAML blocks (``name: |``), name and value apart (``"name": "...", "value": "..."`` in JSON, YAML
+or attributes), arguments (``define("NAME", "...")``) and ``ENV NAME literal``.  Lines of a literal of several
+lines are literals.  A name bound to a literal is a constant;
 ``target = other_name`` passes the constant on, through any number of hops and without cycles.
 Each literal is scored by the most sensitive name it reaches and by how random it looks; those
 at ``THRESHOLD`` or more become spans of kind ``lexed``.
@@ -41,10 +45,23 @@ _NAME_SCORES = {
 }
 # Possessive: no name or literal has a longest length, and none is scanned again after a mismatch.
 _NAME = r"[A-Za-z_][\w.-]*+"
+_DQ = r"\"(?P<dq>(?:[^\"\\\n]++|\\.)++)\""
+_SQ = r"'(?P<sq>(?:[^'\\\n]++|\\.)++)'"
+_BARE = r"(?P<bare>[^\s,;\"'{}()\[\]<>]++)"
+_TRIPLE = r"\"\"\"(?P<tdq>(?:[^\"]++|\"(?!\"\"))++)\"\"\"|'{3}(?P<tsq>(?:[^']++|'(?!''))++)'{3}"
+_TYPE = r"\x20*+:\x20*+[A-Za-z_][\w.]*+(?:\[[\w.,\x20]*+\]|<[\w.,\x20]*+>)?\??(?=\x20*+=(?!=))"
 _PAIR = re.compile(
     rf"(?:^|[\s,;{{(\[<])(?:export\s+|const\s+|let\s+|var\s+|final\s+|static\s+)*"
-    rf"(?P<q>[\"']?)(?P<name>{_NAME})(?P=q)\x20*(?P<op>:=|=>|=(?!=)|:(?!//))\x20*"
-    rf"(?:\"(?P<dq>[^\"\n]++)\"|'(?P<sq>[^'\n]++)'|(?P<bare>[^\s,;\"'{{}}()\[\]<>]++))", re.M)
+    rf"(?P<q>[\"']?)(?P<name>{_NAME})(?P=q)(?:\[\d*+\]|\])?(?:{_TYPE})?\x20*(?P<op>:=|=>|=(?!=)|:(?!//))\x20*"
+    rf"(?:[rRbBfFuU]{{0,2}}(?:{_TRIPLE}|{_DQ}|{_SQ})|{_BARE})", re.M)
+_APART = re.compile(
+    rf"\b(?:name|key)[\"']?\s*+[:=]\s*+[\"']?(?P<name>{_NAME})[\"']?\s*+,?\s*+[\"']?value[\"']?\s*+[:=]\s*+(?:{_DQ}|{_SQ}|{_BARE})")
+_ARGUMENT = re.compile(rf"\(\s*+(?P<q>[\"'])(?P<name>{_NAME})(?P=q)\s*+,\s*+(?:{_DQ}|{_SQ})\s*+\)")
+_WORD_PAIR = re.compile(rf"^\x20*+(?:ENV|ARG|setenv)\x20++(?P<name>{_NAME})\x20++(?:{_DQ}|{_SQ}|{_BARE})", re.M)
+_BLOCK = re.compile(rf"^(?P<in>\x20*+)(?:-\x20)?(?P<name>{_NAME}):\x20*+[|>][+-]?\d?\x20*+\n"
+                    r"(?P<block>(?:(?P=in)\x20++[^\n]++(?:\n|\Z))++)", re.M)
+_FORMS = ("tdq", "tsq", "dq", "sq", "bare", "block")
+_LINE = re.compile(r"\S(?:[^\n]*\S)?")
 _MORE = re.compile(r"\x20*[+.]\x20*(?:\"([^\"\n]++)\"|'([^'\n]++)')")
 _TAG = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\s]++)</(?P=name)>")
 _HEX_BYTES = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
@@ -52,6 +69,9 @@ _IDENTIFIER = re.compile(_NAME)
 _PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{?.*|%.*|your.*|example.*|changeme|none|null|true|false)$", re.I)
 
 
+_MARKS = ("=", ":", "</", "ENV ", "ARG ", "setenv ", "(")
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the fixed patterns, leftmost and non-overlapping per kind."""
     found = []
@@ -87,17 +107,29 @@ def randomness(literal: str) -> float:
     return min(1.0, bits / math.log2(min(n, 64))) * (0.55 + 0.15 * classes)
 
 
+def _form(m: re.Match) -> str:
+    return next(k for k in _FORMS if m.groupdict().get(k) is not None)
+
+
 def _pairs(text: str) -> Iterator[re.Match]:
     """Name-literal pairs, also those inside a quoted literal: a text of any length may be one."""
     at = 0
     while m := _PAIR.search(text, at):
         yield m
-        at = max(m.start("dq"), m.start("sq"), m.end() if m["bare"] is not None else -1)
+        at = m.end() if m["bare"] is not None else m.start(_form(m))
+    if "value" in text:
+        yield from _APART.finditer(text)
+    if "(" in text:
+        yield from _ARGUMENT.finditer(text)
+    if "ENV" in text or "ARG" in text or "setenv" in text:
+        yield from _WORD_PAIR.finditer(text)
+    if "|" in text or ">" in text:
+        yield from _BLOCK.finditer(text)
 
 
 def lexed_spans(text: str) -> list[tuple[int, str, int]]:
     """Literals whose most sensitive target and own randomness together reach ``THRESHOLD``."""
-    if "=" not in text and ":" not in text and "</" not in text:
+    if not any(mark in text for mark in _MARKS):
         return []
     constants: dict[str, list[tuple[int, int]]] = {}
     targets: dict[tuple[int, int], float] = {}
@@ -111,9 +143,12 @@ def lexed_spans(text: str) -> list[tuple[int, str, int]]:
         targets[start, end] = max(targets.get((start, end), 0.0), scores[name])
 
     for m in _pairs(text):
-        kind = "dq" if m["dq"] is not None else "sq" if m["sq"] is not None else "bare"
-        name = m["name"]
+        kind, name = _form(m), m["name"]
         start, end = m.span(kind)
+        if kind in ("tdq", "tsq", "block"):
+            for line in _LINE.finditer(text, start, end):
+                bind(name, *line.span())
+            continue
         bind(name, start, end)
         if kind == "bare":
             if _IDENTIFIER.fullmatch(m["bare"]):
@@ -126,17 +161,22 @@ def lexed_spans(text: str) -> list[tuple[int, str, int]]:
     for m in _TAG.finditer(text):
         bind(m["name"], *m.span("value"))
 
-    # a name's score flows to the constants it was assigned from; each pass is one more hop
+    # a name's score flows to the constants it was assigned from: the most sensitive names first, and
+    # again from every name that was raised
     for name in {n for pair in links for n in pair} - scores.keys():
         scores[name] = name_score(name)
-    for _ in range(len(links)):
-        raised = False
-        for target, source in links:
-            if source in constants and scores[target] > scores[source]:
+    sources: dict[str, set[str]] = {}
+    for target, source in links:
+        if source in constants:
+            sources.setdefault(target, set()).add(source)
+    waiting = sorted(sources, key=scores.__getitem__)
+    while waiting:
+        target = waiting.pop()
+        for source in sources[target]:
+            if scores[target] > scores[source]:
                 scores[source] = scores[target]
-                raised = True
-        if not raised:
-            break
+                if source in sources:
+                    waiting.append(source)
     references = {s for _, s in links if s in constants}
     found = []
     for name, places in constants.items():
