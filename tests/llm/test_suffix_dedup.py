@@ -89,3 +89,33 @@ def test_long_texts_in_pieces():
             assert sorted(covered) == want and set(covered.values()) == {1}
     finally:
         suffix_dedup._PIECE = size
+
+
+def test_memory_of_workers(spark):
+    import tracemalloc
+
+    import numpy as np
+
+    # a task's search for anchors holds little beside its texts
+    r = np.random.default_rng(3)
+    data = r.integers(97, 123, 4 << 20, np.uint8)
+    bounds = np.arange(0, len(data) + 1, 2048)
+    suffix_dedup.anchors(data[:4096], bounds[:3], 400)  # tables that are kept
+    tracemalloc.start()
+    try:
+        suffix_dedup.anchors(data, bounds, 400)
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+    # batches for Python are small, and no task of the last step needs two workers
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    try:
+        found = remove_repeats(spark.createDataFrame([(1, "a" * 500), (2, "b" * 500 + "c")], "doc_id long, text string"))
+        assert spark.conf.get(key) == "8m"
+        last = found._jdf.queryExecution().optimizedPlan().children().last().toString()  # of the union: texts that stay whole
+        assert "MapInArrow" in last and "ArrowEvalPython" not in last
+        assert sorted((x.doc_id, x.n_bytes, x.n_removed) for x in found.collect()) == [(1, 500, 500), (2, 501, 500)]
+    finally:
+        spark.conf.set(key, was)
