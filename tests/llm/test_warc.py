@@ -119,3 +119,36 @@ def test_files_of_many_members_take_linear_time():
     assert arc.inflate(both) == long + b"end" and arc.inflate(both + b"junk") == long + b"end"
     assert arc.inflate(gzip.compress(long)[:-5000]) == long[:len(arc.inflate(gzip.compress(long)[:-5000]))]
     assert arc.inflate(b"plain") == b"plain" and arc.inflate(b"") == b""
+
+
+def test_archives_cost_little_time_and_leave_no_shuffle(spark, tmp_path):
+    import random
+    import time
+    import zlib
+
+    from tidemark.llm.warc import write_arc
+
+    def shuffled():
+        disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        files = disk.getAllFiles()
+        names = [files.apply(i) for i in range(files.size())]
+        return {f.getName(): f.length() for f in names if f.getName().startswith("shuffle_")}
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    pages = [(k, f"http://h/{k}", " ".join(r.choices(words, k=2000))) for k in range(400)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = shuffled(), spark.conf.get(key, None)
+    write_arc(df, f"{tmp_path}/a")
+    assert spark.conf.get(key, None) == was
+    for _ in range(50):
+        left = sum(n for name, n in shuffled().items() if name not in before)
+        if left < 100_000:
+            break
+        time.sleep(0.2)
+    assert left < 100_000  # the payloads have 5 MB
+    written = [f.read_bytes() for f in tmp_path.glob("a/part-*")]
+    packed = {level: sum(len(zlib.compress(gzip.decompress(w), level)) for w in written) for level in (1, 4, 6)}
+    assert packed[6] < packed[4] < packed[1]
+    assert (packed[6] + packed[4]) / 2 < sum(map(len, written)) < packed[1]
