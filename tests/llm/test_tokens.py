@@ -29,6 +29,39 @@ def test_word_encoder_matches_library(library):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library(x) for x in texts]
 
 
+def test_columns_match_library_and_send_each_piece_once(library):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm.tokens import BYTE_BPE, PieceEncoder, encode_column
+
+    marks = ["a", "Zé", " ", "  ", "\n", "\t", "\x1c", "\u3000", "\xa0", "\u2009", "”", ",", "|", "<", "'s", "'", "9", "漢", "<|endoftext|>", "\r\n", "\x85", "»"]
+    r = random.Random(3)
+    texts = [x or "" for x in HARD] + ["".join(r.choices(marks, k=r.randrange(1, 30))) for _ in range(20_000)]
+    ids, n = encode_column(BYTE_BPE, pa.array(["left out", *texts]).slice(1))
+    want = [library(x) for x in texts]
+    assert n.tolist() == list(map(len, want))
+    assert ids.tolist() == [i for w in want for i in w]
+    assert encode_column(BYTE_BPE, pa.array([], pa.string()))[1].tolist() == []
+
+    # words with marks and at line starts are the word again: the library and the memory see it once
+    encoder, asked = PieceEncoder(BYTE_BPE), []
+    split, one = encoder.split, encoder._one
+    encoder.split = lambda x: asked.append(x) or split(x)
+    encoder._one = lambda x: asked.append(x) or one(x)
+    text = "\n".join(["word", "and word, and word.", "word! and word", "word: and word;"])
+    for _ in range(2):
+        ids, n = encoder.encode_column(pa.array([text, text]))
+        assert ids.tolist() == library(text) * 2 and n.tolist() == [len(library(text))] * 2
+    assert sorted(asked) == sorted(["word", "and", "Ġand", "Ġword", ",", ".", "!", ":", ";", "\n"])
+    encoder.known = 3
+    for _ in range(3):
+        ids, _ = encoder.encode_column(pa.array([text]))
+        assert ids.tolist() == library(text) and len(encoder) <= 10
+
+
 @pytest.mark.parametrize("chunk,overlap", [(200, 64), (1000, 100), (16_384, 512)])
 def test_counts_of_hard_texts(spark, library, chunk, overlap):
     rows = [(i if i else None, t, 7) for i, t in enumerate(HARD)]

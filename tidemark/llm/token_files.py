@@ -25,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.llm.common import ids_and_texts
-from tidemark.llm.tokens import BYTE_BPE, encode_ids
+from tidemark.llm.tokens import BYTE_BPE, encode_column
 from tidemark.llm.words import parts
 from tidemark.session import cut_lineage
 
@@ -76,9 +77,12 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
             near = _wider(near, near, half)
             half *= 2
         widest[n] = _wider(near, near, n - half)
-    choice = np.full((blocks, BLOCK), len(COUNTS) - 1, np.uint8)
-    for s in range(len(COUNTS) - 2, -1, -1):
-        np.copyto(choice, np.uint8(s), where=widest[int(COUNTS[s])][:, :BLOCK] <= BITS[s])
+    last = np.uint8(len(COUNTS) - 1)
+    choice = np.full((blocks, BLOCK), last)
+    for s in range(last):
+        fits = widest[int(COUNTS[s])][:, :BLOCK] <= BITS[s]
+        if fits.any():
+            np.minimum(choice, last - fits * (last - np.uint8(s)), out=choice)
     # all blocks walk from word to word together
     place = np.arange(blocks, dtype=np.int64) * BLOCK
     stop = place + BLOCK
@@ -162,11 +166,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end
     files = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // file_bytes))
     ordered = (rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(files, "id", "tie")
                    .sortWithinPartitions("id", "tie").drop("tie"))
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, blocks, docs_seen = 0, [], []
-        waiting: list[bytes] = []  # ids not yet in a block
+        waiting: list[np.ndarray] = []  # ids not yet in a block
         held = 0
 
         def rows_of(packed: list) -> Iterator[pa.RecordBatch]:
@@ -180,18 +183,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end
                 yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], ["value"])
 
         for batch in batches:
-            for first, last in parts(batch.column(1), _AT_ONCE):
-                names, texts = (batch.column(k).slice(first, last - first).to_pylist() for k in (0, 1))
-                coded = [c + end for c in encode_ids(tokenizer, texts)]
-                docs_seen.append(np.array([(i or 0, i is None, len(c) // 4) for i, c in zip(names, coded)], _DOC))
-                waiting += coded
-                held += sum(map(len, coded)) // 4
+            for first, last in parts(batch.column(1)):
+                names, texts = (batch.column(k).slice(first, last - first) for k in (0, 1))
+                ids, n = encode_column(tokenizer, texts)
+                if end_id is not None:
+                    ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+                seen = np.zeros(len(n), _DOC)
+                seen["id"], seen["null"], seen["n"] = pc.fill_null(names, 0).to_numpy(), names.is_null().to_numpy(False), n
+                docs_seen.append(seen)
+                waiting.append(ids)
+                held += len(ids)
                 if held >= _AT_ONCE:
-                    ids = np.frombuffer(b"".join(waiting), "<u4")
+                    ids = np.concatenate(waiting)
                     whole = held // BLOCK * BLOCK
                     yield from rows_of(encode_blocks(ids[:whole]))
-                    waiting, held = [ids[whole:].tobytes()], held - whole
-        yield from rows_of(encode_blocks(np.frombuffer(b"".join(waiting), "<u4")))
+                    waiting, held = [ids[whole:]], held - whole
+        yield from rows_of(encode_blocks(np.concatenate([np.zeros(0, "<u4"), *waiting])))
         table = np.concatenate(docs_seen) if docs_seen else np.zeros(0, _DOC)
         tail = np.array([(at, TaskContext.get().partitionId(), len(blocks), len(table), MAGIC)], _TAIL)
         footer = np.array(blocks, _BLOCK).tobytes() + table.tobytes() + tail.tobytes()
