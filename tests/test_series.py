@@ -1,8 +1,10 @@
 import datetime as dt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.catalog import prepare
 from tidemark.functions.calendar import check_freq
 from tidemark.operators import exog, future, series, split
 from tidemark.operators.series import ITEM, TS, Y
@@ -113,6 +115,29 @@ def test_exog_cleaning(spark):
     assert values(out, "x") == [1.0, 1.0, 3.0] and values(out, "word") == [0.0, 0.0, 7.0]
 
 
+def test_required_covariates_stay_when_constant(spark):
+    df = make(spark, [("a", D(2024, 1, i), 1.0) for i in (1, 2)]).withColumns({"flat": F.lit(2.0), "level": F.lit(1.0)})
+    out, kept = exog.clean_exog(df, ["flat", "level"], add_calendar=False, required=("flat",))
+    assert kept == ["flat"] and "level" not in out.columns and values(out, "flat") == [2.0, 2.0]
+
+
+@pytest.mark.parametrize("lines", [
+    [(1, "A"), (1, "A"), (1, "A")],  # first_line is constant
+    [(1, "A"), (2, None), (None, "A"), (1, None)],  # null items have no rows in the join: level is not constant
+])
+def test_exog_clean_query_with_constants_and_nulls(spark, tmp_path, lines):
+    rows = [(n, 0.01 * i, flag, "F", D(2024, 1, 1 + 2 * i)) for i, (n, flag) in enumerate(lines)]
+    spark.createDataFrame([(*r, 1.0) for r in rows], "l_linenumber int, l_discount double, l_returnflag string, "
+                          "l_linestatus string, l_shipdate timestamp_ntz, l_quantity double").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    relation = con.execute(prepare.ORACLES["exog_clean"])
+    names = [c[0] for c in relation.description]
+    ours = prepare.QUERIES["exog_clean"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, ours), key=str) == sorted(relation.fetchall(), key=str)
+
+
 def test_thinning_and_window(spark):
     df = make(spark, [("a", D(2024, 1, 1) + dt.timedelta(days=i), float(i)) for i in range(10)])
     assert values(series.thin(df, 3)) == [0.0, 3.0, 6.0, 9.0]

@@ -251,11 +251,10 @@ def covariates_on_grid(spark, d):
     (isodow(ts) - 1)::DOUBLE AS dow, month(ts)::DOUBLE AS month
   FROM j WINDOW w AS (PARTITION BY item_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def exog_clean(spark, d):
-    x = shipments_exog(spark, d)
+    x = shipments_exog(spark, d).fillna(0.0, ["first_line"])  # an unknown line number is not the first
     joined = series.step_grid(x, "D").drop("step").join(x, [ITEM, TS], "left")
-    # level is constant on the days that have rows, and those are all it can be carried from
-    out, kept = exog.clean_exog(joined.drop(Y), ["disc", "first_line", "level"])
-    assert "level" not in kept
+    # level is constant on the days that have rows, all it can be carried from; a null item has none in the join
+    out, _ = exog.clean_exog(joined.drop(Y), ["disc", "first_line", "level"], required=("disc", "first_line"))
     return rounded(out.select(ITEM, TS, "disc", "first_line", "dow", "month"))
 
 

@@ -17,11 +17,12 @@ from tidemark.operators.series import ITEM, TS, by_item
 MIN_SIGMA = 1e-12  # fixed value: below this spread a column counts as constant
 
 
-def clean_exog(df: DataFrame, columns: list[str], add_calendar: bool = True,
-               drop_constant: bool = True) -> tuple[DataFrame, list[str]]:
+def clean_exog(df: DataFrame, columns: list[str], add_calendar: bool = True, drop_constant: bool = True,
+               required: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """Infinite to null, forward fill, rest 0, constants out, calendar in.
 
-    A text column that is no number becomes 0 after the fill, as a bad value would.
+    A text column that is no number becomes 0 after the fill, as a bad value would.  ``required``
+    columns stay when they are constant.
     """
     casts = {}
     for c in columns:
@@ -34,7 +35,7 @@ def clean_exog(df: DataFrame, columns: list[str], add_calendar: bool = True,
     keep = list(columns)
     if drop_constant and columns:
         spread = out.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
-        keep = [c for c in columns if (spread[c] or 0.0) > MIN_SIGMA]
+        keep = [c for c in columns if c in required or (spread[c] or 0.0) > MIN_SIGMA]
     out = out.drop(*[c for c in columns if c not in keep])
     if add_calendar:
         calendar = {k: v.cast("double") for k, v in calendar_columns(F.col(TS)).items()}
