@@ -1,14 +1,16 @@
 """Number of boosted trees and grouped ranking quality against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tidemark.operators import binary, boosting
+from tidemark.operators import binary, boosting, histograms
 from tidemark.plans.classification import row_digest
 
 
@@ -82,3 +84,52 @@ def test_row_digest_keeps_places_and_nulls_apart(spark):
     assert df.select(row_digest(df, ["x", "y"])).distinct().count() == 5
     same = df.union(df).select(row_digest(df, ["x", "y", "z"]).alias("k"))
     assert same.distinct().count() == 5 and same.groupBy("k").count().where(F.col("count") != 2).isEmpty()
+
+
+def _sparse_table(spark, n=1500, terms=40):
+    """Three numbers, a flag and ``terms`` rare weights, as sparse and dense vectors; two classes of unequal weight."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(n):
+        v = {0: rng.normal(), 1: rng.normal(), 2: float(rng.integers(-2, 3)), 3: float(i % 2)}
+        v |= {4 + int(j): float(rng.choice([1.0, 0.7])) for j in rng.choice(terms, size=rng.integers(0, 6), replace=False)}
+        y = float(v[0] + v[1] * v[2] + 2 * v.get(5, 0) - v.get(9, 0) + rng.normal() > 0.3)
+        width = 4 + terms
+        rows.append((y, 2.5 if y else 1.0, Vectors.sparse(width, v) if i % 3 else
+                     Vectors.dense([v.get(k, 0.0) for k in range(width)])))
+    return spark.createDataFrame(rows, ["y", "w", "features"]).repartition(3).persist()
+
+
+def test_sparse_trees_are_those_of_spark(spark):
+    df = _sparse_table(spark)
+    gbt = GBTClassifier(labelCol="y", weightCol="w", maxDepth=4, maxIter=12, subsamplingRate=0.8, seed=42,
+                        featureSubsetStrategy="0.7", minInstancesPerNode=30)
+    want = gbt.fit(df)
+    fit = histograms.Boosting(gbt, df, dense_cells=0)
+    assert fit.grow(5).getNumTrees == 5
+    made = fit.grow(12)
+    fit.close()
+    number = r"-?\d+\.\d+(?:E-?\d+)?"
+    for a, b in zip(want.trees, made.trees):
+        a, b = (t.toDebugString.split("\n", 1)[1] for t in (a, b))
+        assert re.sub(number, "", a) == re.sub(number, "", b)
+        assert [float(x) for x in re.findall(number, a)] == pytest.approx([float(x) for x in re.findall(number, b)])
+    assert made.treeWeights == want.treeWeights and made.numFeatures == want.numFeatures
+    assert made.getFeaturesCol() == "features" and made.getMaxDepth() == 4
+    df.unpersist()
+
+
+def test_a_wide_row_costs_what_it_holds(spark):
+    df = _sparse_table(spark, 300)
+    fit = histograms.Boosting(GBTClassifier(labelCol="y", maxDepth=2, maxIter=1), df, dense_cells=0)
+    kept = sum(len(b.rows) for b in fit.blocks.collect())
+    full = df.select(F.sum(F.aggregate(vector_to_array("features"), F.lit(0), lambda n, x: n + (x != 0).cast("int")))).first()[0]
+    assert 0 < kept <= full < 300 * 44 / 4
+    fit.close()
+
+
+def test_draws_are_those_of_spark(spark):
+    for seed in (42, -7, 2 ** 62 + 5):
+        theirs = spark._jvm.org.apache.spark.util.random.XORShiftRandom(seed)
+        want = [theirs.nextDouble() for _ in range(40)]
+        assert histograms.uniform(seed, 0, 40).tolist() == want and histograms.uniform(seed, 33, 7).tolist() == want[33:]

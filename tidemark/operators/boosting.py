@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.binary import grouped_auroc
+from tidemark.operators.histograms import Boosting
 
 
 def leaf_values(model: GBTClassificationModel) -> list[np.ndarray]:
@@ -85,10 +86,11 @@ def fit_boosted(gbt: GBTClassifier, train: DataFrame, valid: DataFrame, label: s
     Fits of two, four, ... times ``patience`` rounds, until patience has run out or all
     ``rounds`` are done; the seed fixes each round, so a longer fit begins with the shorter one's trees.
     """
-    n = min(rounds, 2 * patience)
+    n, fit = min(rounds, 2 * patience), Boosting(gbt, train)
     while True:
-        model = gbt.copy({gbt.maxIter: n}).fit(train)
+        model = fit.grow(n)
         best, over = best_prefix(prefix_quality(model, valid, label), patience)
         if over or n >= rounds:
+            fit.close()
             return truncated(model, best), best
         n = min(rounds, 2 * n)

@@ -151,10 +151,11 @@ def fit_encoder(train: DataFrame, groups: dict[str, list[str]], cfg: ClassifyCon
     fitted = {"medians": {c: (0.0 if v is None else v) for c, v in medians.items()},
               "modes": {}, "labels": {}, "terms": {}}
     if groups["categorical"]:
-        counts = category_counts(train, groups["categorical"])
+        counts = category_counts(train, groups["categorical"]).persist()  # read several times
         fitted["modes"] = {r["column"]: r["mode"] for r in column_modes(counts).collect()}
         kept = kept_categories(rare_buckets(imputed_counts(counts), cfg))
         fitted["labels"] = {c: {"kept": k["kept"], "rare": k["rare"]} for c, k in kept.items()}
+        counts.unpersist()
     n_docs = train.count() if groups["text"] else 0
     for c in groups["text"]:
         top = vocabulary(train.select(F.col(f"`{c}`").alias("__text")), "__text", n_docs, cfg).collect()

@@ -71,15 +71,17 @@ def stratified_split(df: DataFrame, label: str, keys: list[str], test_share: flo
     if len(sizes) < 2:
         return df.withColumn("part", F.lit("train"))
     share = max(test_share, 2.0 / sum(sizes.values()))
+    hashed = df.select(F.col(label).alias("label"), hash_key(keys, seed).alias("key")).persist()  # read several times
     asks = {}
     for value, n in sizes.items():
         k = max(1, int(share * n + 0.5))
-        asks[value] = Rank(F.when(F.col(label) == value, hash_key(keys, seed)), lambda _, k=k: [k - 1], k / n)
-    cuts = order_statistics(df, asks)
+        asks[value] = Rank(F.when(F.col("label") == value, F.col("key")), lambda _, k=k: [k - 1], k / n)
+    cuts = order_statistics(hashed, asks)
+    below = hashed.agg(*[f for i, (value, (cut,)) in enumerate(cuts.items()) for f in (
+        F.count_if((F.col("label") == value) & (F.col("key") < cut)).alias(f"b{i}"),
+        F.count_if((F.col("label") == value) & (F.col("key") == cut)).alias(f"e{i}"))]).first()
+    hashed.unpersist()
     key = hash_key(keys, seed)
-    below = df.agg(*[f for i, (value, (cut,)) in enumerate(cuts.items()) for f in (
-        F.count_if((F.col(label) == value) & (key < cut)).alias(f"b{i}"),
-        F.count_if((F.col(label) == value) & (key == cut)).alias(f"e{i}"))]).first()
     place = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     in_test = F.lit(False)
     for i, (value, (cut,)) in enumerate(cuts.items()):
