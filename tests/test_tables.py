@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Observation
@@ -298,3 +299,33 @@ def test_worker_errors_name_the_cause(spark):
     with pytest.raises(Exception) as e:
         spark.range(1).select(fail("id")).collect()
     assert first_line(e.value) == "KeyError: 'lost it'"
+
+
+def test_silhouette_deals_out_no_copies_of_points(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2))
+    rows = [(None if i % 50 == 7 else i // 2 if i < 20 else i, [None, 5, 7, 7][i % 4], float(a), float(b))
+            for i, (a, b) in enumerate(x)]  # ids twice and null, points without a label
+    df = spark.createDataFrame(rows, "id int, c int, x double, y double").repartition(3)
+    monkeypatch.setattr(cluster, "PIECE_BYTES", 16 * 40)
+    monkeypatch.setattr(cluster, "RIGHT_BYTES", 16 * 150)
+    points = cluster.silhouette_points(df, "id", "c", ["x", "y"], block=16)
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Window" not in plan  # no dealing out of blocks to pairs of blocks
+    found = {(r["id"], r["c"]): (r["a"], r["b"], r["s"]) for r in points.collect()}
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    sizes = {c: sum(r[1] == c for r in rows) for c in (5, 7)}
+    want = {}
+    for i, (key, c, *_) in enumerate(rows):
+        far = [0.0 if key is not None and key == r[0] else dist[i, j] for j, r in enumerate(rows)]
+        totals = want.setdefault((key, c), {5: 0.0, 7: 0.0})
+        for k in totals:
+            totals[k] += sum(d for d, r in zip(far, rows) if r[1] == k)
+    assert set(found) == set(want)
+    for (key, c), totals in want.items():
+        if c is None:
+            assert found[key, c][0] is None and found[key, c][2] == 0.0
+        else:
+            a, b = totals[c] / (sizes[c] - 1), totals[12 - c] / sizes[12 - c]
+            assert found[key, c] == pytest.approx((a, b, (b - a) / max(a, b)))
+    spark.catalog.clearCache()

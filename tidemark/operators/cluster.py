@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.keyed import hash_rank
 from tidemark.operators.profile import numeric_columns
 
 
@@ -25,45 +26,79 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: (F.col(c) - F.lit(row[c]["m"])) / F.lit(row[c]["s"] or 1.0) for c in columns})
 
 
+PIECE_BYTES = 1 << 22  # fixed value: points that travel together
+RIGHT_BYTES = 1 << 27  # fixed value: points that one task goes over for each of its own
+
+
 def silhouette_points(df: DataFrame, key: str, label: str, columns: list[str], block: int = 2048) -> DataFrame:
     """(key, label, a, b, s) with Euclidean distances between all points.
 
-    The measure is quadratic by definition.  Points are cut into even blocks by hash rank and
-    each pair of blocks is one task: it adds up distances per cluster in NumPy, so point
-    pairs are never rows and no task holds more than two blocks.  For tables beyond what n^2
-    allows use ``squared_silhouette``.
+    The measure is quadratic by definition.  Points are packed into pieces, and a task takes some of
+    them through a large part of all by a cartesian product of the two: nothing is shuffled for it but each
+    point's sums of distances per cluster, once per part.  NumPy adds them up in tiles of ``block``
+    by ``block`` points, so point pairs are never rows and no task holds more than two pieces and its part.
+    A point without a label belongs to no cluster.  For tables beyond what n^2 allows use ``squared_silhouette``.
     """
-    n = df.count()
-    k_blocks = max(1, -(-n // block))
     points = df.select(F.col(key).alias("id"), F.col(label).alias("label"),
                        F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    placed = hash_rank(points, [], ["id"], name="r").withColumn("blk", ((F.col("r") - 1) % k_blocks).cast("int"))
     sizes = {r["label"]: r["count"] for r in points.groupBy("label").count().collect()}
-    labels = sorted(sizes)
-    others = F.explode(F.sequence(F.lit(0), F.lit(k_blocks - 1)))
-    left = placed.select("id", "label", "x", F.col("blk").alias("i"), others.alias("j"), F.lit(0).alias("side"))
-    right = placed.select("id", "label", "x", others.alias("i"), F.col("blk").alias("j"), F.lit(1).alias("side"))
-
-    def distances(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "label": [], "sums": []})
-        x, y = np.vstack(a.x), np.vstack(b.x)
-        sq = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * x @ y.T
-        dist = np.sqrt(np.maximum(sq, 0.0))
-        dist[a.id.to_numpy()[:, None] == b.id.to_numpy()[None, :]] = 0.0
-        member = (b.label.to_numpy()[:, None] == np.asarray(labels)[None, :]).astype(float)
-        return pd.DataFrame({"id": a.id.to_numpy(), "label": a.label.to_numpy(), "sums": list(dist @ member)})
+    labels = sorted(v for v in sizes if v is not None)
+    width = len(columns)
+    most = max(1, PIECE_BYTES // (8 * max(1, width)))
+
+    def packed(batches):
+        held = []
+
+        def piece() -> pa.RecordBatch:
+            ids, names = (pa.concat_arrays([h.column(i) for h in held]) for i in (0, 1))
+            x = np.concatenate([h.column(2).flatten().to_numpy(zero_copy_only=False) for h in held])
+            whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+            return pa.RecordBatch.from_arrays([whole(ids), whole(names), pa.array([x.astype(float).tobytes()], pa.binary())],
+                                              ["ids", "labels", "x"])
+
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, most - sum(h.num_rows for h in held))
+                held, batch = [*held, part], batch.slice(part.num_rows)
+                if sum(h.num_rows for h in held) == most:
+                    yield piece()
+                    held = []
+        if held:
+            yield piece()
+
+    def distances(batches):
+        done = sums = None  # the piece at hand, by its ids, labels and numbers
+        for batch in batches:
+            for i in range(batch.num_rows):
+                mine, theirs = ([batch.column(c)[i] for c in at] for at in ((0, 1, 2), (3, 4, 5)))
+                x, y = (np.frombuffer(p[2].as_buffer()).reshape(-1, width) for p in (mine, theirs))
+                if done is None or not (done[2] == mine[2] and done[0] == mine[0]):
+                    if done is not None:
+                        yield _summed(done, sums)
+                    done, sums = mine, np.zeros((len(x), len(labels)))
+                code = pc.index_in(theirs[1].values, value_set=pa.array(labels, theirs[1].values.type))
+                code = code.fill_null(-1).to_numpy(zero_copy_only=False)
+                member = (code[:, None] == np.arange(len(labels))[None, :]).astype(float)
+                add_distances(sums, x, y, member, *_codes(mine[0].values, theirs[0].values), block)
+        if done is not None:
+            yield _summed(done, sums)
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    partial = (left.unionByName(right).groupBy("i", "j")
-               .applyInPandas(distances, f"id {kinds['id']}, label {kinds['label']}, sums array<double>"))
-    totals = partial.groupBy("id", "label").agg(*[F.sum(F.col("sums")[c]).alias(f"c{c}") for c in range(len(labels))])
-    own = F.coalesce(*[F.when(F.col("label") == v, F.col(f"c{c}") / max(1, sizes[v] - 1))
-                       for c, v in enumerate(labels)])
-    alone = F.col("label").isin([v for v in labels if sizes[v] == 1])
-    nearest = F.array_min(F.array(*[F.when(F.col("label") != v, F.col(f"c{c}") / sizes[v])
-                                    for c, v in enumerate(labels)]))
+    pieces = points.mapInArrow(packed, f"ids array<{kinds['id']}>, labels array<{kinds['label']}>, x binary").persist()
+    parts = max(1, -(-8 * width * sum(sizes.values()) // RIGHT_BYTES))
+    right = pieces.select(*[F.col(c).alias(f"r_{c}") for c in pieces.columns]).coalesce(parts)
+    tasks = min(pieces.count(), df.sparkSession.sparkContext.defaultParallelism)
+    left = pieces.repartition(tasks) if pieces.rdd.getNumPartitions() < tasks else pieces  # few came, and heavy ones
+    partial = left.crossJoin(right).mapInArrow(
+        distances, f"id {kinds['id']}, label {kinds['label']}, sums array<double>")
+    totals = partial.groupBy("id", "label").agg(*[F.sum(F.col("sums")[c]).alias(f"c{c}") for c in range(len(labels))],
+                                                F.count(F.lit(1)).alias("n"))  # never without an aggregate
+    none = F.lit(None).cast("double")
+    own = F.coalesce(none, *[F.when(F.col("label") == v, F.col(f"c{c}") / max(1, sizes[v] - 1))
+                             for c, v in enumerate(labels)])
+    alone = F.col("label").isNull() | F.col("label").isin([v for v in labels if sizes[v] == 1])
+    nearest = F.array_min(F.array(none, *[F.when(F.col("label") != v, F.col(f"c{c}") / sizes[v])
+                                          for c, v in enumerate(labels)]))
     ab = totals.select(F.col("id").alias(key), F.col("label").alias(label), own.alias("a"), nearest.alias("b"),
                        alone.alias("alone"))
     s = F.when(F.col("alone"), 0.0).otherwise(
@@ -71,6 +106,38 @@ def silhouette_points(df: DataFrame, key: str, label: str, columns: list[str], b
     return ab.select(key, label, "a", "b", s.alias("s"))
 
 
+def add_distances(sums: np.ndarray, x: np.ndarray, y: np.ndarray, member: np.ndarray, x_ids: np.ndarray,
+                  y_ids: np.ndarray, block: int) -> None:
+    """Adds to ``sums`` the distances from each x to the y of each cluster; equal ids are 0 apart."""
+    xx, yy, twice = (x * x).sum(1), (y * y).sum(1), -2.0 * y.T
+    shared = np.isin(x_ids, y_ids)
+    for i in range(0, len(x), block):
+        rows = slice(i, i + block)
+        for j in range(0, len(y), block):
+            others = slice(j, j + block)
+            dist = x[rows] @ twice[:, others]
+            dist += xx[rows, None]
+            dist += yy[others]
+            np.sqrt(np.maximum(dist, 0.0, out=dist), out=dist)
+            if shared[rows].any():
+                dist[x_ids[rows, None] == y_ids[others]] = 0.0
+            sums[rows] += dist @ member[others]
+
+
+def _codes(x_ids: pa.Array, y_ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that are equal where ids are; a null equals nothing."""
+    code = pa.concat_arrays([x_ids, y_ids]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+    x, y = code[:len(x_ids)], code[len(x_ids):]
+    y[y < 0] = -2
+    return x, y
+
+
+def _summed(piece: list, sums: np.ndarray) -> pa.RecordBatch:
+    width = sums.shape[1]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * width, pa.int32()), pa.array(sums.ravel()))
+    return pa.RecordBatch.from_arrays([piece[0].values, piece[1].values, lists], ["id", "label", "sums"])
+
+
 def silhouette(df: DataFrame, key: str, label: str, columns: list[str], block: int = 2048) -> DataFrame:
     """One row: mean Euclidean silhouette."""
     return silhouette_points(df, key, label, columns, block).agg(F.avg("s").alias("silhouette"))
