@@ -66,14 +66,15 @@ def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5
         precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
-def grouped_auroc(df: DataFrame, within: str, label: str, score: str) -> DataFrame:
+def grouped_auroc(df: DataFrame, within: str, label: str, score: str, rows: str | None = None) -> DataFrame:
     """(within, pos, neg, auroc): ties averaged, null where a group lacks one of the classes.
 
     One pass counts both classes per group and distinct score; equal scores meet before they travel.
+    ``rows`` says for how many rows a row stands.
     """
-    y = F.col(label)
+    y, n = F.col(label), F.lit(1) if rows is None else F.col(rows)
     counts = (df.where(y.isNotNull() & F.col(score).isNotNull() & F.col(within).isNotNull()).groupBy(within, score)
-                .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
+                .agg(F.sum(F.when(y == 1, n).otherwise(0)).alias("pos"), F.sum(F.when(y == 0, n).otherwise(0)).alias("neg")))
     ranked = grouped_totals(counts, within, score, ["neg"])
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     sums = ranked.groupBy(within).agg(

@@ -26,8 +26,12 @@ def leaf_values(model: GBTClassificationModel) -> list[np.ndarray]:
             for tree, w in zip(model.trees, model.treeWeights)]
 
 
-def prefix_margins(model: GBTClassificationModel, df: DataFrame, label: str) -> DataFrame:
-    """(label, margins): the margin of each row after the first, second, ... tree; one pass over the rows."""
+def leaf_numbers(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
+    """Rows with ``__leaf``, the leaf of each tree."""
+    return model.copy().setLeafCol("__leaf").transform(df).withColumn("__leaf", vector_to_array("__leaf"))
+
+
+def _running(model: GBTClassificationModel):
     values = leaf_values(model)
     table = np.zeros((len(values), max(len(v) for v in values)))
     for i, v in enumerate(values):
@@ -41,14 +45,22 @@ def prefix_margins(model: GBTClassificationModel, df: DataFrame, label: str) ->
         picked = table[trees, np.vstack(leaves.to_numpy()).astype(np.int64)]
         return pd.Series(list(np.cumsum(picked, axis=1)))
 
-    leaves = model.copy().setLeafCol("__leaf").transform(df)
-    return leaves.select(label, running(vector_to_array("__leaf")).alias("margins"))
+    return running
+
+
+def prefix_margins(model: GBTClassificationModel, df: DataFrame, label: str) -> DataFrame:
+    """(label, margins): the margin of each row after the first, second, ... tree; one pass over the rows."""
+    return leaf_numbers(model, df).select(label, _running(model)("__leaf").alias("margins"))
 
 
 def prefix_quality(model: GBTClassificationModel, valid: DataFrame, label: str) -> list[float | None]:
-    """AUROC on ``valid`` after each tree: one value per tree reaches the driver."""
-    rows = prefix_margins(model, valid, label).select(label, F.posexplode("margins").alias("trees", "margin"))
-    found = {r["trees"]: r["auroc"] for r in grouped_auroc(rows, "trees", label, "margin").collect()}
+    """AUROC on ``valid`` after each tree: one value per tree reaches the driver.
+
+    Rows in the same leaves have the same margins and are counted first.
+    """
+    alike = leaf_numbers(model, valid).groupBy(label, "__leaf").agg(F.count(F.lit(1)).alias("rows"))
+    rows = alike.select(label, "rows", F.posexplode(_running(model)("__leaf")).alias("trees", "margin"))
+    found = {r["trees"]: r["auroc"] for r in grouped_auroc(rows, "trees", label, "margin", "rows").collect()}
     return [found.get(i) for i in range(len(model.treeWeights))]
 
 
